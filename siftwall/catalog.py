@@ -271,17 +271,17 @@ def request_features(spark, sf_dir):
 
 @query
 def sqli_requests(spark, sf_dir):
-    return X.access_events(spark, sf_dir).where(P.sql_injection()).select("ip", _ts(), "path")
+    return X.access_events(spark, sf_dir).where(P.SQL_INJECTION).select("ip", _ts(), "path")
 
 
 @query
 def cmdi_requests(spark, sf_dir):
-    return X.access_events(spark, sf_dir).where(P.command_injection()).select("ip", _ts(), "path")
+    return X.access_events(spark, sf_dir).where(P.COMMAND_INJECTION).select("ip", _ts(), "path")
 
 
 @query
 def failed_logins(spark, sf_dir):
-    return X.access_events(spark, sf_dir).where(P.failed_login()).select("ip", _ts(), "path")
+    return X.access_events(spark, sf_dir).where(P.FAILED_LOGIN).select("ip", _ts(), "path")
 
 
 @query
@@ -289,14 +289,12 @@ def denied_connections(spark, sf_dir):
     rows = X.firewall_events(spark, sf_dir)
     # rows without an action are taken by their status
     rows = rows.withColumn("action", F.when(F.col("count") % 4 != 0, F.col("action")))
-    return rows.where(P.denied_ssh()).select("ip", _ts(), "path", "action")
+    return rows.where(P.DENIED_SSH).select("ip", _ts(), "path", "action")
 
 
 @query
 def auth_failures(spark, sf_dir):
-    failure = (
-        P.ssh_event("ssh/failed_password") | P.ssh_event("ssh/invalid_user") | P.sudo_failure()
-    )
+    failure = " OR ".join([P.SSH_FAILED_PASSWORD, P.SSH_INVALID_USER, P.SUDO_FAILURE])
     return X.auth_events(spark, sf_dir).where(failure).select("ip", _ts(), "path", "auth_user")
 
 
@@ -319,7 +317,7 @@ def align_features(spark, sf_dir):
 
 @query
 def burst_sessions_all(spark, sf_dir):
-    rule = BurstRule("failed_login", P.failed_login, 1, 60, 0.5)
+    rule = BurstRule("failed_login", P.FAILED_LOGIN, 1, 60, 0.5)
     return burst_sessions(X.access_events(spark, sf_dir), [rule])
 
 

@@ -21,14 +21,14 @@ YEAR = 2026
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     use_utc(spark)
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    pressed = F.lit(TO_MICROS) + F.floor((micros - FROM_MICROS) / 1000)
-    return raw.select(
-        F.col("event_id").alias("k"),
+    return raw.selectExpr(
+        "event_id AS k",
         "user_id",
-        F.col("event_type").alias("what"),
+        "event_type AS what",
         "value",
-        F.timestamp_micros(pressed).alias("timestamp"),
+        f"timestamp_micros({TO_MICROS} + (unix_micros(cast(ts AS timestamp)) - {FROM_MICROS})"
+        " div 1000) AS timestamp",
+        "concat('10.0.', user_id % 4, '.', user_id % 5) AS address",
     )
 
 
@@ -39,119 +39,89 @@ def _case(*pairs, otherwise=None) -> Column:
     return chain if otherwise is None else chain.otherwise(otherwise)
 
 
-def _address() -> Column:
-    return F.concat(
-        F.lit("10.0."), F.col("user_id") % 4, F.lit("."), F.col("user_id") % 5
-    )
-
-
 def access_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, what = F.col("k"), F.col("what")
-    path = _case(
-        (k % 11 == 0, "/search?q=' OR 1=1 --"),
-        (k % 13 == 0, "/status?check=value&&x"),
-        (what == "signup", "/login"),
-        (what == "error", F.concat(F.lit("/p"), k % 40)),
-        otherwise=F.lit("/products"),
-    )
-    status = _case(
-        (what == "signup", 401),
-        ((what == "error") & (k % 3 == 0), 500),
-        (what == "error", 404),
-        otherwise=F.lit(200),
-    )
-    size = F.when(what == "purchase", F.floor(F.col("value") * 10000)).otherwise(k % 5000)
-    label = _case(
-        (k % 11 == 0, "access_sql_injection"),
-        (k % 13 == 0, "access_command_injection"),
-        (what == "signup", "access_brute_force"),
-        otherwise=F.lit("normal"),
-    )
-    return conform(
-        _base(spark, sf_dir).select(
-            _address().alias("ip"),
-            "timestamp",
-            F.when(what == "signup", F.lit("POST")).otherwise(F.lit("GET")).alias("method"),
-            path.alias("path"),
-            status.alias("status"),
-            size.alias("bytes_sent"),
-            F.lit("-").alias("referer"),
-            F.concat(F.lit("agent-"), k % 12).alias("agent"),
-            label.alias("classification"),
-            (k % 37).alias("count"),
-            F.lit("access").alias("log_source"),
-        ),
-        EVENT_SCHEMA,
+    rows = _base(spark, sf_dir).selectExpr(
+        "address AS ip",
+        "timestamp",
+        "if(what = 'signup', 'POST', 'GET') AS method",
+        """CASE WHEN k % 11 = 0 THEN "/search?q=' OR 1=1 --"
+             WHEN k % 13 = 0 THEN '/status?check=value&&x'
+             WHEN what = 'signup' THEN '/login'
+             WHEN what = 'error' THEN concat('/p', k % 40)
+             ELSE '/products' END AS path""",
+        """CASE WHEN what = 'signup' THEN 401 WHEN what = 'error' AND k % 3 = 0 THEN 500
+             WHEN what = 'error' THEN 404 ELSE 200 END AS status""",
+        "if(what = 'purchase', floor(value * 10000), k % 5000) AS bytes_sent",
+        "'-' AS referer",
+        "concat('agent-', k % 12) AS agent",
+        """CASE WHEN k % 11 = 0 THEN 'access_sql_injection'
+             WHEN k % 13 = 0 THEN 'access_command_injection'
+             WHEN what = 'signup' THEN 'access_brute_force' ELSE 'normal' END
+           AS classification""",
+        "k % 37 AS count",
+        "'access' AS log_source",
     )
+    return conform(rows, EVENT_SCHEMA)
 
 
 def auth_events(spark: SparkSession, sf_dir: str, labeled: bool = False) -> DataFrame:
-    k, what = F.col("k"), F.col("what")
-    path = _case(
-        (what == "signup", "ssh/accepted"),
-        (what == "error", "ssh/failed_password"),
-        (what == "click", "ssh/invalid_user"),
-        (what == "view", "sudo/auth_failure"),
-        otherwise=F.lit("sudo/command"),
-    )
-    ssh = F.startswith(F.col("path"), F.lit("ssh/"))
-    episode = what.isin("signup", "view") & (k % 10 == 0) & F.lit(labeled)
+    episode = "what IN ('signup', 'view') AND k % 10 = 0" if labeled else "false"
     rows = (
         _base(spark, sf_dir)
-        .withColumn("path", path)
-        .select(
-            F.when(ssh, _address()).otherwise(F.lit("127.0.0.1")).alias("ip"),
+        .selectExpr(
+            "*",
+            """CASE what WHEN 'signup' THEN 'ssh/accepted' WHEN 'error' THEN 'ssh/failed_password'
+                 WHEN 'click' THEN 'ssh/invalid_user' WHEN 'view' THEN 'sudo/auth_failure'
+                 ELSE 'sudo/command' END AS path""",
+        )
+        .selectExpr("*", "startswith(path, 'ssh/') AS ssh")
+        .selectExpr(
+            "if(ssh, address, '127.0.0.1') AS ip",
             "timestamp",
-            F.when(ssh, F.lit("SSH")).otherwise(F.lit("SUDO")).alias("method"),
+            "if(ssh, 'SSH', 'SUDO') AS method",
             "path",
-            F.when(F.col("path").isin("ssh/accepted", "sudo/command"), F.lit(200))
-            .otherwise(F.lit(401))
-            .alias("status"),
-            F.lit(0).alias("bytes_sent"),
-            F.when(F.col("path") == "sudo/command", F.lit("root"))
-            .otherwise(F.lit(""))
-            .alias("referer"),
-            F.when(ssh, F.lit("sshd")).otherwise(F.lit("sudo")).alias("agent"),
-            F.when(episode, F.lit("auth_privilege_escalation"))
-            .otherwise(F.lit("normal"))
-            .alias("classification"),
-            (k % 3).alias("count"),
-            F.lit("auth").alias("log_source"),
-            F.when(ssh, F.lit("sshd")).otherwise(F.lit("sudo")).alias("service"),
-            F.concat(F.lit("u"), F.col("user_id") % 6).alias("auth_user"),
-            F.when(ssh, 1024 + k % 5000).alias("ssh_port"),
+            "if(path IN ('ssh/accepted', 'sudo/command'), 200, 401) AS status",
+            "0 AS bytes_sent",
+            "if(path = 'sudo/command', 'root', '') AS referer",
+            "if(ssh, 'sshd', 'sudo') AS agent",
+            f"if({episode}, 'auth_privilege_escalation', 'normal') AS classification",
+            "k % 3 AS count",
+            "'auth' AS log_source",
+            "if(ssh, 'sshd', 'sudo') AS service",
+            "concat('u', user_id % 6) AS auth_user",
+            "if(ssh, 1024 + k % 5000, null) AS ssh_port",
         )
     )
     return conform(rows, EVENT_SCHEMA)
 
 
 def firewall_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, what = F.col("k"), F.col("what")
     rows = (
         _base(spark, sf_dir)
-        .withColumn("dst_port", F.when(k % 3 == 0, F.lit(22)).otherwise(1000 + k % 50))
-        .withColumn("protocol", F.when(k % 5 == 0, F.lit("udp")).otherwise(F.lit("tcp")))
-        .withColumn("deny", what.isin("error", "click", "signup"))
-        .select(
-            _address().alias("ip"),
+        .selectExpr(
+            "*",
+            "if(k % 3 = 0, 22L, 1000 + k % 50) AS dst_port",
+            "if(k % 5 = 0, 'udp', 'tcp') AS protocol",
+            "what IN ('error', 'click', 'signup') AS deny",
+        )
+        .selectExpr(
+            "address AS ip",
             "timestamp",
-            F.lit("FIREWALL").alias("method"),
-            F.concat(F.lit("10.9.0.1:"), "dst_port", F.lit("/"), "protocol").alias("path"),
-            F.when(F.col("deny"), F.lit(403)).otherwise(F.lit(200)).alias("status"),
-            F.floor(F.col("value") * 10000).alias("bytes_sent"),
-            F.lit("firewall").alias("agent"),
-            F.when(F.col("deny") & (k % 3 == 0), F.lit("firewall_ssh_bruteforce"))
-            .otherwise(F.lit("normal"))
-            .alias("classification"),
-            (k % 37).alias("count"),
-            F.lit("firewall").alias("log_source"),
-            F.lit("fw-1").alias("firewall_host"),
-            F.lit("10.9.0.1").alias("dst_ip"),
-            (1024 + k % 6000).alias("src_port"),
+            "'FIREWALL' AS method",
+            "concat('10.9.0.1:', dst_port, '/', protocol) AS path",
+            "if(deny, 403, 200) AS status",
+            "floor(value * 10000) AS bytes_sent",
+            "'firewall' AS agent",
+            "if(deny AND k % 3 = 0, 'firewall_ssh_bruteforce', 'normal') AS classification",
+            "k % 37 AS count",
+            "'firewall' AS log_source",
+            "'fw-1' AS firewall_host",
+            "'10.9.0.1' AS dst_ip",
+            "1024 + k % 6000 AS src_port",
             "dst_port",
             "protocol",
-            (1 + k % 200).alias("packets"),
-            F.when(F.col("deny"), F.lit("DENY")).otherwise(F.lit("ALLOW")).alias("action"),
+            "1 + k % 200 AS packets",
+            "if(deny, 'DENY', 'ALLOW') AS action",
         )
     )
     return conform(rows, EVENT_SCHEMA)
@@ -159,28 +129,24 @@ def firewall_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def visitor_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Access rows with one address per user; every third user shows attack labels."""
-    k, what, user = F.col("k"), F.col("what"), F.col("user_id")
-    attacker = user % 3 == 0
-    rows = _base(spark, sf_dir).select(
-        F.concat(
-            F.lit("10.1."), F.floor(user / 250), F.lit("."), user % 250
-        ).alias("ip"),
-        "timestamp",
-        F.when(what == "signup", F.lit("POST")).otherwise(F.lit("GET")).alias("method"),
-        F.when(attacker, F.concat(F.lit("/p"), k % 40))
-        .otherwise(F.concat(F.lit("/p"), k % 4))
-        .alias("path"),
-        F.when(attacker & (what != "view"), F.lit(404)).otherwise(F.lit(200)).alias("status"),
-        (k % 5000).alias("bytes_sent"),
-        F.lit("-").alias("referer"),
-        F.concat(F.lit("agent-"), k % 12).alias("agent"),
-        _case(
-            (attacker & (user % 2 == 0) & (what != "view"), "access_directory_scan"),
-            (attacker & (what != "view"), "access_brute_force"),
-            otherwise=F.lit("normal"),
-        ).alias("classification"),
-        (k % 37).alias("count"),
-        F.lit("access").alias("log_source"),
+    rows = (
+        _base(spark, sf_dir)
+        .selectExpr("*", "user_id % 3 = 0 AS attacker")
+        .selectExpr("*", "attacker AND what <> 'view' AS attack")
+        .selectExpr(
+            "concat('10.1.', user_id div 250, '.', user_id % 250) AS ip",
+            "timestamp",
+            "if(what = 'signup', 'POST', 'GET') AS method",
+            "concat('/p', if(attacker, k % 40, k % 4)) AS path",
+            "if(attack, 404, 200) AS status",
+            "k % 5000 AS bytes_sent",
+            "'-' AS referer",
+            "concat('agent-', k % 12) AS agent",
+            """CASE WHEN attack AND user_id % 2 = 0 THEN 'access_directory_scan'
+                 WHEN attack THEN 'access_brute_force' ELSE 'normal' END AS classification""",
+            "k % 37 AS count",
+            "'access' AS log_source",
+        )
     )
     return conform(rows, EVENT_SCHEMA)
 
@@ -195,18 +161,8 @@ def all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def actors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``ip, profile`` of every address seen; a profile per address block."""
-    block = F.col("user_id") % 4
-    profile = _case(
-        (block == 0, "normal"),
-        (block == 1, "scanner"),
-        (block == 2, "attacker"),
-        otherwise=F.lit("compromised"),
-    )
-    return (
-        _base(spark, sf_dir)
-        .select(_address().alias("ip"), profile.alias("profile"))
-        .distinct()
-    )
+    profile = "element_at(array('normal', 'scanner', 'attacker', 'compromised'), 1 + cast(user_id % 4 AS int))"
+    return _base(spark, sf_dir).selectExpr("address AS ip", f"{profile} AS profile").distinct()
 
 
 # -- the same rows as text lines --------------------------------------------------

@@ -1,12 +1,7 @@
-"""Row predicates over the common event schema."""
+"""Row predicates over the common event schema, as SQL text."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Request-path tokens that mark SQL injection.
 SQL_INJECTION_TOKENS = (
     " or 1=1",
@@ -43,51 +38,35 @@ SQL_KEYWORDS = r"(?iu)'|union|select|drop|insert|update"
 ADMIN_PATHS = r"(?iu)/admin|wp-admin|\.env|\.git|phpmyadmin"
 
 
-def _contains_any(text: Column, tokens) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in tokens])
-
-
-def sql_injection() -> Column:
-    return F.coalesce(_contains_any(F.lower("path"), SQL_INJECTION_TOKENS), F.lit(False))
-
-
-def command_injection() -> Column:
-    return F.coalesce(_contains_any(F.lower("path"), COMMAND_INJECTION_TOKENS), F.lit(False))
-
 
-def family(name: str) -> Column:
-    return F.col("log_source") == name
+def quoted(text: str) -> str:
+    """``text`` as a SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def failed_login() -> Column:
-    return (
-        (F.col("path") == "/login") & (F.col("status") == 401) & (F.col("method") == "POST")
-    )
+def _path_contains_any(tokens) -> str:
+    """False, not null, for a null path."""
+    tests = " OR ".join(f"contains(lower(path), {quoted(t)})" for t in tokens)
+    return f"coalesce({tests}, false)"
 
 
-def not_found() -> Column:
-    return F.col("status") == 404
+SQL_INJECTION = _path_contains_any(SQL_INJECTION_TOKENS)
+COMMAND_INJECTION = _path_contains_any(COMMAND_INJECTION_TOKENS)
 
+ACCESS = "log_source = 'access'"
+FIREWALL = "log_source = 'firewall'"
 
-def denied(fallback_status: bool = False) -> Column:
-    """Denied firewall rows; optionally status 403 stands in for a missing action."""
-    by_action = F.upper("action") == "DENY"
-    if not fallback_status:
-        return by_action
-    return F.coalesce(by_action, F.col("status") == 403)
+FAILED_LOGIN = "(path = '/login' AND status = 401 AND method = 'POST')"
+NOT_FOUND = "status = 404"
 
+SSH_FAILED_PASSWORD = "(method = 'SSH' AND path = 'ssh/failed_password')"
+SSH_INVALID_USER = "(method = 'SSH' AND path = 'ssh/invalid_user')"
+SSH_ACCEPTED = "(method = 'SSH' AND path = 'ssh/accepted')"
+SUDO_FAILURE = "(method = 'SUDO' AND path = 'sudo/auth_failure')"
 
-def denied_tcp(fallback_status: bool = False) -> Column:
-    return denied(fallback_status) & (F.lower("protocol") == "tcp")
-
-
-def denied_ssh() -> Column:
-    return denied_tcp(fallback_status=True) & (F.col("dst_port") == 22)
-
-
-def ssh_event(path: str) -> Column:
-    return (F.col("method") == "SSH") & (F.col("path") == path)
-
-
-def sudo_failure() -> Column:
-    return (F.col("method") == "SUDO") & (F.col("path") == "sudo/auth_failure")
+DENIED = "upper(action) = 'DENY'"
+DENIED_TCP = f"({DENIED} AND lower(protocol) = 'tcp')"
+# where a row has no action, its status stands in
+DENIED_SSH = (
+    f"(coalesce({DENIED}, status = 403) AND lower(protocol) = 'tcp' AND dst_port = 22)"
+)

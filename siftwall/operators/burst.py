@@ -11,13 +11,14 @@ these cells are ordered in a window.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.predicates import quoted
 from ..schema import ALERT_SCHEMA, conform
 
 
@@ -25,11 +26,12 @@ from ..schema import ALERT_SCHEMA, conform
 class BurstRule:
     """One burst detector: which rows, what is measured, and when it alerts.
 
-    ``measure`` is ``rows``, ``sum`` or ``distinct``; the last two look at ``column``.
+    ``where`` is a SQL predicate over the event schema. ``measure`` is ``rows``,
+    ``sum`` or ``distinct``; the last two look at ``column``.
     """
 
     kind: str
-    where: Callable[[], Column]
+    where: str
     threshold: int
     gap_seconds: float
     confidence: float
@@ -60,74 +62,77 @@ def burst_sessions(events: DataFrame, rules: Sequence[BurstRule]) -> DataFrame:
 
 def burst_alerts(events: DataFrame, rules: Sequence[BurstRule]) -> DataFrame:
     """Sessions whose amount reaches the threshold of their rule, as alerts."""
-    rule_of = {r.kind: r for r in rules}
-    threshold = _by_kind({k: F.lit(r.threshold) for k, r in rule_of.items()})
-    confidence = _by_kind({k: F.lit(r.confidence) for k, r in rule_of.items()})
-    alerts = burst_sessions(events, rules).where(F.col("amount") >= threshold)
+
+    def of_rule(attribute: str) -> str:
+        pick = " ".join(f"WHEN {quoted(r.kind)} THEN {getattr(r, attribute)}" for r in rules)
+        return f"CASE kind {pick} END"
+
+    alerts = burst_sessions(events, rules).where(f"amount >= {of_rule('threshold')}")
     return conform(
-        alerts.select(
+        alerts.selectExpr(
             "ip",
-            F.timestamp_micros("end_us").alias("timestamp"),
+            "timestamp_micros(end_us) AS timestamp",
             "kind",
-            F.col("amount").alias("count"),
-            confidence.alias("confidence"),
+            "amount AS count",
+            f"{of_rule('confidence')} AS confidence",
         ),
         ALERT_SCHEMA,
     )
 
 
-def _by_kind(values: dict[str, Column]) -> Column:
-    if len(values) == 1:
-        return next(iter(values.values()))
-    return reduce(
-        lambda chain, kv: chain.when(F.col("kind") == kv[0], kv[1]), values.items(), F
-    )
-
-
 def _hits(events: DataFrame, rules: Sequence[BurstRule], payload) -> DataFrame:
     """One row ``ip, ts, rule, cell, payload`` per event and rule that takes it."""
-    ts = F.unix_micros("timestamp")
-    usable = F.col("ip").isNotNull() & F.col("timestamp").isNotNull()
-
-    def hit(i: int, rule: BurstRule) -> Column:
-        return F.struct(
-            F.lit(i).alias("rule"),
-            (ts - F.pmod(ts, F.lit(rule.gap_micros))).alias("cell"),
-            payload(rule),
-        )
+    any_rule = " OR ".join(f"({r.where})" for r in rules)
+    rows = events.where(f"ip IS NOT NULL AND timestamp IS NOT NULL AND ({any_rule})")
+    ts = "unix_micros(timestamp)"
+
+    def cell(rule: BurstRule) -> str:
+        return f"{ts} - pmod({ts}, {rule.gap_micros}) AS cell"
 
     if len(rules) == 1:
-        one = events.where(usable & rules[0].where())
-        return one.select("ip", ts.alias("ts"), hit(0, rules[0]).alias("hit")).select(
-            "ip", "ts", "hit.*"
-        )
-    any_rule = reduce(lambda a, b: a | b, [r.where() for r in rules])
-    hits = F.array_compact(F.array(*[F.when(r.where(), hit(i, r)) for i, r in enumerate(rules)]))
-    return events.where(usable & any_rule).select("ip", ts.alias("ts"), F.inline(hits))
+        # a plain filter, which reaches the scan
+        return rows.selectExpr("ip", f"{ts} AS ts", "0 AS rule", cell(rules[0]), payload(rules[0]))
+    per_rule = ", ".join(
+        f"struct({i} AS rule, {cell(r)}, {payload(r)}, ({r.where}) AS taken)"
+        for i, r in enumerate(rules)
+    )
+    return (
+        rows.selectExpr("ip", f"{ts} AS ts", f"inline(array({per_rule}))")
+        .where("taken")
+        .drop("taken")
+    )
+
+
+def _of_rule(values: list) -> str:
+    if len(values) == 1:
+        return str(values[0])
+    return f"get(array({', '.join(map(str, values))}), rule)"
 
 
 def _with_starts(cells: DataFrame, rules: Sequence[BurstRule]) -> DataFrame:
     """Add to each cell the first instant of the session it belongs to."""
     in_order = Window.partitionBy("ip", "rule").orderBy("cell")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    gap = _lookup([r.gap_micros for r in rules])
-    before = F.lag("last_us").over(in_order)
-    opens = before.isNull() | (F.col("first_us") - before > gap)
-    return cells.withColumn("opened_us", F.when(opens, F.col("first_us"))).withColumn(
-        "start_us", F.max("opened_us").over(so_far)
+    gap = _of_rule([r.gap_micros for r in rules])
+    return (
+        cells.withColumn("before", F.lag("last_us").over(in_order))
+        .withColumn(
+            "opened_us",
+            F.expr(f"CASE WHEN before IS NULL OR first_us - before > {gap} THEN first_us END"),
+        )
+        .withColumn("start_us", F.max("opened_us").over(so_far))
     )
 
 
-def _lookup(values: list) -> Column:
-    if len(values) == 1:
-        return F.lit(values[0])
-    return F.get(F.array(*[F.lit(v) for v in values]), F.col("rule"))
+def _named(sessions: DataFrame, rules: Sequence[BurstRule]) -> DataFrame:
+    kind = _of_rule([quoted(r.kind) for r in rules])
+    return sessions.selectExpr(f"{kind} AS kind", "ip", "start_us", "end_us", "amount")
 
 
 def _additive_sessions(events: DataFrame, rules: Sequence[BurstRule]) -> DataFrame:
-    def payload(rule: BurstRule) -> Column:
-        one = F.lit(1) if rule.measure == "rows" else F.coalesce(F.col(rule.column), F.lit(0))
-        return one.cast("bigint").alias("amount")
+    def payload(rule: BurstRule) -> str:
+        one = "1" if rule.measure == "rows" else f"coalesce({rule.column}, 0)"
+        return f"cast({one} AS bigint) AS amount"
 
     cells = (
         _hits(events, rules, payload)
@@ -138,12 +143,12 @@ def _additive_sessions(events: DataFrame, rules: Sequence[BurstRule]) -> DataFra
             F.sum("amount").alias("amount"),
         )
     )
-    return (
+    sessions = (
         _with_starts(cells, rules)
         .groupBy("ip", "rule", "start_us")
         .agg(F.max("last_us").alias("end_us"), F.sum("amount").alias("amount"))
-        .select(_lookup([r.kind for r in rules]).alias("kind"), "ip", "start_us", "end_us", "amount")
     )
+    return _named(sessions, rules)
 
 
 def _distinct_sessions(events: DataFrame, rules: Sequence[BurstRule]) -> DataFrame:
@@ -154,23 +159,30 @@ def _distinct_sessions(events: DataFrame, rules: Sequence[BurstRule]) -> DataFra
     very many values is spread over all tasks.
     """
 
-    def payload(rule: BurstRule) -> Column:
-        return F.col(rule.column).cast("string").alias("item")
+    def payload(rule: BurstRule) -> str:
+        return f"cast({rule.column} AS string) AS item"
 
     items = (
         _hits(events, rules, payload)
+        .where("cell IS NOT NULL")
         .groupBy("ip", "rule", "cell", "item")
         .agg(F.min("ts").alias("first_us"), F.max("ts").alias("last_us"))
     )
     cells = items.groupBy("ip", "rule", "cell").agg(
         F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us")
     )
-    starts = _with_starts(cells, rules).select("ip", "rule", "cell", "start_us")
-    return (
+    starts = _with_starts(cells, rules).selectExpr("ip", "rule", "cell", "start_us AS session")
+    # both uses of items need the same columns, so that its shuffle is shared
+    sessions = (
         items.join(starts, ["ip", "rule", "cell"])
-        .groupBy("ip", "rule", "start_us", "item")
-        .agg(F.max("last_us").alias("last_us"))
-        .groupBy("ip", "rule", "start_us")
-        .agg(F.max("last_us").alias("end_us"), F.count("item").alias("amount"))
-        .select(_lookup([r.kind for r in rules]).alias("kind"), "ip", "start_us", "end_us", "amount")
+        .groupBy("ip", "rule", "session", "item")
+        .agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+        .groupBy("ip", "rule", "session")
+        .agg(
+            F.min("first_us").alias("start_us"),
+            F.max("last_us").alias("end_us"),
+            F.count("item").alias("amount"),
+        )
+        .where("start_us IS NOT NULL")
     )
+    return _named(sessions, rules)

@@ -75,47 +75,52 @@ def _interval_totals(events: DataFrame, labeled: Column, config: DetectorConfig)
     grace = config.priv_esc_first_failure_seconds * 1_000_000
     if not 0 <= grace <= width:
         raise ValueError("the first-failure limit must lie within the window")
-    ts = F.unix_micros("timestamp")
-    login = P.ssh_event("ssh/accepted") & (
-        ~labeled | (F.col("classification") == KIND)
-    )
+    login = F.expr(P.SSH_ACCEPTED) & (~labeled | (F.col("classification") == KIND))
     # The chain follows the event id alone, whatever the method says.
-    failure = F.col("path") == "sudo/auth_failure"
-
-    def mark(at: Column, order: int) -> Column:
-        return F.struct(at.alias("at"), F.lit(order).alias("order"))
-
-    usable = F.col("auth_user").isNotNull() & F.col("timestamp").isNotNull()
+    failure = F.expr("path = 'sudo/auth_failure'")
     # Equal rows are folded first: a hot account leaves one row per instant.
     rows = (
-        events.where(usable & (login | failure))
+        events.where("auth_user IS NOT NULL AND timestamp IS NOT NULL")
+        .where(login | failure)
         .select(
             "auth_user",
             F.when(labeled, F.col("count")).otherwise(F.lit(0)).alias("episode"),
-            F.when(login, F.struct("ip", ts.alias("t0"))).alias("login"),
-            ts.alias("ts"),
             failure.alias("is_failure"),
+            F.expr("unix_micros(timestamp) AS ts"),
+            "ip",
+        )
+        .selectExpr(
+            "auth_user",
+            "episode",
+            "CASE WHEN NOT is_failure THEN struct(ip, ts AS t0) END AS login",
+            "ts",
         )
-        .groupBy("auth_user", "episode", "login", "ts", "is_failure")
+        .groupBy("auth_user", "episode", "login", "ts")
         .agg(F.count("*").alias("copies"))
     )
-    at = F.col("ts")
-    opened = F.array(mark(at, _OPEN), mark(at + grace, _EARLY), mark(at + width, _CLOSE))
-    failed = F.array(mark(at, _FAILURE))
-    marks = rows.select(
+
+    def marks_at(*ends: tuple[str, int]) -> str:
+        return "array(" + ", ".join(f"struct({at} AS at, {o} AS order)" for at, o in ends) + ")"
+
+    failed = marks_at(("ts", _FAILURE))
+    opened = marks_at(("ts", _OPEN), (f"ts + {grace}", _EARLY), (f"ts + {width}", _CLOSE))
+    marks = rows.selectExpr(
         "auth_user",
         "episode",
         "login",
         "copies",
-        F.inline(F.when(F.col("is_failure"), failed).otherwise(opened)),
-    ).withColumn("slot", F.col("at") - F.pmod(F.col("at"), F.lit(width)))
+        f"inline(CASE WHEN login IS NULL THEN {failed} ELSE {opened} END)",
+    ).selectExpr(
+        "*",
+        f"at - pmod(at, {width}) AS slot",
+        f"CASE WHEN order = {_FAILURE} THEN copies END AS hits",
+        f"CASE WHEN order = {_FAILURE} THEN at END AS hit_at",
+    )
 
     slot = Window.partitionBy("auth_user", "episode", "slot")
     so_far = slot.orderBy("at", "order").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    hits = F.when(F.col("order") == _FAILURE, F.col("copies"))
-    seen_at = F.when(F.col("order") == _FAILURE, F.col("at"))
     counted = marks.select(
         "auth_user",
         "episode",
@@ -123,36 +128,30 @@ def _interval_totals(events: DataFrame, labeled: Column, config: DetectorConfig)
         "copies",
         "slot",
         "order",
-        F.coalesce(F.sum(hits).over(so_far), F.lit(0)).alias("passed"),
-        F.max(seen_at).over(so_far).alias("passed_at"),
-        F.coalesce(F.sum(hits).over(slot), F.lit(0)).alias("in_slot"),
-        F.max(seen_at).over(slot).alias("slot_last"),
-    ).where(F.col("login").isNotNull())
+        F.sum("hits").over(so_far).alias("passed"),
+        F.max("hit_at").over(so_far).alias("passed_at"),
+        F.sum("hits").over(slot).alias("in_slot"),
+        F.max("hit_at").over(slot).alias("slot_last"),
+    ).where("login IS NOT NULL")
 
     def at_mark(order: int, value: str) -> Column:
-        return F.max(F.when(F.col("order") == order, F.col(value)))
+        return F.expr(f"max(CASE WHEN order = {order} THEN {value} END)")
 
     per_login = counted.groupBy("auth_user", "episode", "login").agg(
         F.max("copies").alias("copies"),
         at_mark(_OPEN, "slot").alias("open_slot"),
-        at_mark(_OPEN, "passed").alias("open_passed"),
-        at_mark(_OPEN, "in_slot").alias("open_total"),
+        at_mark(_OPEN, "coalesce(in_slot, 0) - coalesce(passed, 0)").alias("rest"),
+        at_mark(_OPEN, "coalesce(passed, 0)").alias("open_passed"),
         at_mark(_OPEN, "slot_last").alias("open_last"),
         at_mark(_EARLY, "slot").alias("early_slot"),
-        at_mark(_EARLY, "passed").alias("early_passed"),
-        at_mark(_CLOSE, "passed").alias("close_passed"),
+        at_mark(_EARLY, "coalesce(passed, 0)").alias("early_passed"),
+        at_mark(_CLOSE, "coalesce(passed, 0)").alias("close_passed"),
         at_mark(_CLOSE, "passed_at").alias("close_last"),
     )
-    rest = F.col("open_total") - F.col("open_passed")
-    return per_login.select(
-        F.col("login.ip").alias("ip"),
+    return per_login.selectExpr(
+        "login.ip AS ip",
         "copies",
-        (rest + F.col("close_passed")).alias("failures"),
-        F.when(
-            F.col("early_slot") == F.col("open_slot"),
-            F.col("early_passed") - F.col("open_passed"),
-        )
-        .otherwise(rest + F.col("early_passed"))
-        .alias("early"),
-        F.coalesce("close_last", "open_last").alias("last_us"),
+        "rest + close_passed AS failures",
+        "early_passed + CASE WHEN early_slot = open_slot THEN -open_passed ELSE rest END AS early",
+        "coalesce(close_last, open_last) AS last_us",
     )

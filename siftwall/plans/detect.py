@@ -26,14 +26,14 @@ def burst_rules(config: DetectorConfig | None = None) -> dict[str, BurstRule]:
     rules = [
         BurstRule(
             "access_brute_force",
-            lambda: P.family("access") & P.failed_login(),
+            f"{P.ACCESS} AND {P.FAILED_LOGIN}",
             c.access_brute_force_min_rows,
             c.access_brute_force_gap_seconds,
             0.95,
         ),
         BurstRule(
             "access_directory_scan",
-            lambda: P.family("access") & P.not_found(),
+            f"{P.ACCESS} AND {P.NOT_FOUND}",
             c.access_directory_scan_min_paths,
             c.access_directory_scan_gap_seconds,
             0.85,
@@ -42,21 +42,21 @@ def burst_rules(config: DetectorConfig | None = None) -> dict[str, BurstRule]:
         ),
         BurstRule(
             "access_request_flood",
-            lambda: P.family("access"),
+            P.ACCESS,
             c.access_request_flood_min_rows,
             c.access_request_flood_gap_seconds,
             0.90,
         ),
         BurstRule(
             "access_sql_injection",
-            lambda: P.family("access") & P.sql_injection(),
+            f"{P.ACCESS} AND {P.SQL_INJECTION}",
             c.access_sql_injection_min_rows,
             c.access_sql_injection_gap_seconds,
             0.9,
         ),
         BurstRule(
             "access_data_exfiltration",
-            lambda: P.family("access"),
+            P.ACCESS,
             c.access_data_exfiltration_min_bytes,
             c.access_data_exfiltration_gap_seconds,
             0.85,
@@ -65,7 +65,7 @@ def burst_rules(config: DetectorConfig | None = None) -> dict[str, BurstRule]:
         ),
         BurstRule(
             "access_command_injection",
-            lambda: P.family("access") & P.command_injection(),
+            f"{P.ACCESS} AND {P.COMMAND_INJECTION}",
             c.access_command_injection_min_rows,
             c.access_command_injection_gap_seconds,
             0.9,
@@ -73,28 +73,28 @@ def burst_rules(config: DetectorConfig | None = None) -> dict[str, BurstRule]:
         # the auth detectors go by event, whatever the name of the source
         BurstRule(
             "auth_ssh_bruteforce",
-            lambda: P.ssh_event("ssh/failed_password"),
+            P.SSH_FAILED_PASSWORD,
             c.auth_ssh_bruteforce_min_rows,
             c.auth_ssh_bruteforce_gap_seconds,
             0.92,
         ),
         BurstRule(
             "auth_ssh_user_enum",
-            lambda: P.ssh_event("ssh/invalid_user"),
+            P.SSH_INVALID_USER,
             c.auth_ssh_user_enum_min_rows,
             c.auth_ssh_user_enum_gap_seconds,
             0.92,
         ),
         BurstRule(
             "auth_sudo_bruteforce",
-            P.sudo_failure,
+            P.SUDO_FAILURE,
             c.auth_sudo_bruteforce_min_rows,
             c.auth_sudo_bruteforce_gap_seconds,
             0.92,
         ),
         BurstRule(
             "firewall_port_scan",
-            lambda: P.family("firewall") & P.denied_tcp(),
+            f"{P.FIREWALL} AND {P.DENIED_TCP}",
             c.firewall_port_scan_min_ports,
             c.firewall_port_scan_gap_seconds,
             0.9,
@@ -103,14 +103,14 @@ def burst_rules(config: DetectorConfig | None = None) -> dict[str, BurstRule]:
         ),
         BurstRule(
             "firewall_ssh_bruteforce",
-            lambda: P.family("firewall") & P.denied_ssh(),
+            f"{P.FIREWALL} AND {P.DENIED_SSH}",
             c.firewall_ssh_bruteforce_min_rows,
             c.firewall_ssh_bruteforce_gap_seconds,
             0.8,
         ),
         BurstRule(
             "firewall_syn_flood",
-            lambda: P.family("firewall") & P.denied_tcp(),
+            f"{P.FIREWALL} AND {P.DENIED_TCP}",
             c.firewall_syn_flood_min_packets,
             c.firewall_syn_flood_gap_seconds,
             0.85,
@@ -119,7 +119,7 @@ def burst_rules(config: DetectorConfig | None = None) -> dict[str, BurstRule]:
         ),
         BurstRule(
             "firewall_egress_exfiltration",
-            lambda: P.family("firewall") & P.denied(),
+            f"{P.FIREWALL} AND {P.DENIED}",
             c.firewall_egress_exfiltration_min_bytes,
             c.firewall_egress_exfiltration_gap_seconds,
             0.88,

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FAMILIES = ("access", "auth", "firewall")
@@ -72,11 +71,10 @@ NORMAL = "normal"
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project ``df`` onto ``schema``: by name, cast, absent columns null."""
     present = set(df.columns)
-    return df.select(
+    return df.selectExpr(
         *[
-            (F.col(f"`{f.name}`") if f.name in present else F.lit(None))
-            .cast(f.dataType)
-            .alias(f.name)
+            f"cast({f'`{f.name}`' if f.name in present else 'null'} "
+            f"as {f.dataType.simpleString()}) as `{f.name}`"
             for f in schema.fields
         ]
     )
