@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,19 +20,27 @@ def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def capture(text: Column, pattern: str, groups: int) -> Column:
-    """The groups 1..n of the leftmost match, at the positions 1..n of an array.
+    """The leftmost match of ``pattern`` as an array of strings.
+
+    Position 0 holds the text before the match, 1..n its groups, ``""`` for a group
+    that took no part. Without a match the array has one element, see ``matched``.
 
-    A group that took no part is ``""``. Without a match the array has one element,
-    see ``matched``. The line is rewritten to its groups in one replace and then
-    split; lines that already hold the mark take the group-by-group way.
+    One ``regexp_extract`` per group would run the pattern once per group. Here the
+    match is replaced by its marked groups in one go and the line is split at the
+    marks; what follows the first n groups (the rest of the line, further matches) is
+    not looked at. Lines that already hold the mark take the group-by-group way.
     """
-    template = "".join(f"{_MARK}${g}" for g in range(1, groups + 1))
-    rewritten = F.regexp_replace(text, f"(?s)^.*?{_scoped(pattern)}.*$", template)
-    extracted = [F.regexp_extract(text, pattern, g) for g in range(1, groups + 1)]
+    marked = "".join(f"{_MARK}${g}" for g in range(1, groups + 1)) + _MARK
+    fast = F.split(F.regexp_replace(text, pattern, marked), _MARK)
+    numbers = F.sequence(F.lit(1), F.lit(groups))
+    extracted = F.transform(
+        numbers, lambda g: F.call_function("regexp_extract", text, F.lit(pattern), g)
+    )
+    before = F.slice(F.split(text, pattern, 2), 1, 1)
     return (
-        F.when(~F.contains(text, F.lit(_MARK)), F.split(rewritten, _MARK))
-        .when(F.rlike(text, F.lit(pattern)), F.array(F.lit(""), *extracted))
-        .otherwise(F.array(F.lit("")))
+        F.when(~F.contains(text, F.lit(_MARK)), fast)
+        .when(F.rlike(text, F.lit(pattern)), F.concat(before, extracted))
+        .otherwise(F.array(text))
     )
 
 
@@ -43,14 +49,13 @@ def matched(fields: Column) -> Column:
     return F.coalesce(F.size(fields), F.lit(0)) > 1
 
 
-def _scoped(pattern: str) -> str:
-    """Turn leading flags, ``(?Ud)...``, into a group with these flags."""
-    flags = re.match(r"\(\?([a-zA-Z]+)\)", pattern)
-    letters, body = (flags.group(1), pattern[flags.end() :]) if flags else ("", pattern)
-    off = "" if "s" in letters else "-s"
-    return f"(?{letters}{off}:{body})"
+# The characters that count as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
     """Remove white space, in the Unicode sense, from both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(WHITE_SPACE))

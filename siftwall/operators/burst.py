@@ -40,7 +40,12 @@ class BurstRule:
 
     @property
     def gap_micros(self) -> int:
-        return max(1, round(self.gap_seconds * 1_000_000))
+        return round(self.gap_seconds * 1_000_000)
+
+    @property
+    def cell_micros(self) -> int:
+        """Width of a cell; with no gap allowed, a cell is one instant."""
+        return max(1, self.gap_micros)
 
 
 def burst_sessions(events: DataFrame, rules: Sequence[BurstRule]) -> DataFrame:
@@ -87,7 +92,7 @@ def _hits(events: DataFrame, rules: Sequence[BurstRule], payload) -> DataFrame:
     ts = "unix_micros(timestamp)"
 
     def cell(rule: BurstRule) -> str:
-        return f"{ts} - pmod({ts}, {rule.gap_micros}) AS cell"
+        return f"{ts} - pmod({ts}, {rule.cell_micros}) AS cell"
 
     if len(rules) == 1:
         # a plain filter, which reaches the scan

@@ -27,7 +27,7 @@ FIREWALL_LINE = (
     r"sport=(\d+)\s+dst=([\d.]+)\s+dport=(\d+)\s+proto=(\w+)\s+packets=(\d+)\s+"
     r"bytes=(\d+)(?:\s+(\w+)\s+(\d+))?"
 )
-LABEL_TRAILER = r"(?Us)^(.*?)\s+(\w+)\s+(\d+)\s*$"
+LABEL_TRAILER = r"(?Ud)\s+(\w+)\s+(\d+)\s*$"
 ISO_STAMP = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}(?::?\d{2})?)?"
 SYSLOG_STAMP = r"\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}"
 AUTH_LINE = rf"(?Ud)^({ISO_STAMP}|{SYSLOG_STAMP})\s+\S+\s+(?:(sshd)\[\d+\]|sudo):\s*(.+)$"
@@ -80,11 +80,9 @@ def finalize(parsed: DataFrame) -> DataFrame:
 
 
 def _split_access(lines: DataFrame) -> DataFrame:
-    return bind(lines, "f", capture(F.col("value"), ACCESS_LINE, 10))
-
-
-def _access_time() -> Column:
-    return F.try_to_timestamp(_part("f")(2), F.lit(ACCESS_STAMP_FORMAT))
+    fields = bind(lines, "f", capture(F.col("value"), ACCESS_LINE, 10))
+    stamp = F.try_to_timestamp(_part("f")(2), F.lit(ACCESS_STAMP_FORMAT))
+    return bind(fields, "timestamp", stamp)
 
 
 def parse_access(lines: DataFrame, source: str = "access") -> DataFrame:
@@ -95,7 +93,7 @@ def parse_access(lines: DataFrame, source: str = "access") -> DataFrame:
         .where(matched(F.col("f")))
         .select(
             f(1).alias("ip"),
-            _access_time().alias("timestamp"),
+            "timestamp",
             f(3).alias("method"),
             f(4).alias("path"),
             _number(f(5)).alias("status"),
@@ -113,11 +111,8 @@ def parse_access(lines: DataFrame, source: str = "access") -> DataFrame:
 
 
 def _split_firewall(lines: DataFrame) -> DataFrame:
-    return bind(lines, "f", capture(F.col("value"), FIREWALL_LINE, 12))
-
-
-def _firewall_time() -> Column:
-    return _part("f")(1).try_cast("timestamp")
+    fields = bind(lines, "f", capture(F.col("value"), FIREWALL_LINE, 12))
+    return bind(fields, "timestamp", _part("f")(1).try_cast("timestamp"))
 
 
 def parse_firewall(lines: DataFrame, source: str = "firewall") -> DataFrame:
@@ -129,7 +124,7 @@ def parse_firewall(lines: DataFrame, source: str = "firewall") -> DataFrame:
         .where(matched(F.col("f")))
         .select(
             f(4).alias("ip"),
-            _firewall_time().alias("timestamp"),
+            "timestamp",
             F.lit("FIREWALL").alias("method"),
             F.concat(f(6), F.lit(":"), f(7), F.lit("/"), protocol).alias("path"),
             F.when(f(3) == "ALLOW", F.lit(200)).otherwise(F.lit(403)).alias("status"),
@@ -163,12 +158,13 @@ def label_trailer(lines: DataFrame) -> DataFrame:
     """
     cut = _part("cut")
     has_label = matched(F.col("cut"))
-    stripped = bind(lines, "text", strip(F.col("value"))).where(F.col("text") != "")
-    return bind(stripped, "cut", capture(F.col("text"), LABEL_TRAILER, 3)).select(
+    split = bind(lines, "cut", capture(strip(F.col("value")), LABEL_TRAILER, 2))
+    # without a label, the whole text is what comes before it
+    return split.where((cut(0) != "") | has_label).select(
         *lines.columns,
-        F.when(has_label, cut(1)).otherwise(F.col("text")).alias("line"),
-        F.when(has_label, cut(2)).otherwise(F.lit(NORMAL)).alias("classification"),
-        F.when(has_label, _number(cut(3)))
+        cut(0).alias("line"),
+        F.when(has_label, cut(1)).otherwise(F.lit(NORMAL)).alias("classification"),
+        F.when(has_label, _number(cut(2)))
         .otherwise(F.lit(0).cast("bigint"))
         .alias("count"),
     )
@@ -188,7 +184,7 @@ def syslog_timestamp(stamp: Column, reference_year: int | None = None) -> Column
     year = reference_year or datetime.now(timezone.utc).year
     text = strip(stamp)
     one_blank = F.regexp_replace(text, r"(?U)\s+", " ")
-    return F.when(F.rlike(text, F.lit(r"^\d.*T")), text.try_cast("timestamp")).otherwise(
+    return F.when(F.contains(text, F.lit("T")) & F.rlike(text, F.lit(r"^\d")), text.try_cast("timestamp")).otherwise(
         F.try_to_timestamp(
             F.concat(F.lit(f"{year} "), one_blank), F.lit(SYSLOG_STAMP_FORMAT)
         )
@@ -199,9 +195,11 @@ def _split_auth(cut: DataFrame, reference_year: int | None) -> DataFrame:
     """Add ``timestamp, daemon, body`` to trimmed lines, null where unknown."""
     f = _part("f")
     known = matched(F.col("f"))
-    return bind(cut, "f", capture(F.col("line"), AUTH_LINE, 3)).select(
+    split = bind(cut, "f", capture(F.col("line"), AUTH_LINE, 3))
+    stamp = F.when(known, syslog_timestamp(f(1), reference_year))
+    return bind(split, "timestamp", stamp).select(
         *cut.columns,
-        F.when(known, syslog_timestamp(f(1), reference_year)).alias("timestamp"),
+        "timestamp",
         F.when(known, _or_default(f(2), "sudo")).alias("daemon"),
         F.when(known, f(3)).alias("body"),
     )
@@ -247,18 +245,18 @@ def _sudo_columns() -> dict[str, Column]:
     """Event columns out of ``_capture_sudo`` bound as ``m``."""
     m = _part("m")
     command = m(1) != ""
-    remote = F.regexp_extract("body", REMOTE_PORT, 1)
-    user = F.regexp_extract("body", REMOTE_USER, 1)
+    remote = F.get(capture(F.col("body"), REMOTE_PORT, 2), F.lit(1))
+    user = F.get(capture(F.col("body"), REMOTE_USER, 1), F.lit(1))
     return {
         "ip": F.when(command, F.lit(LOCAL_ADDRESS)).otherwise(
-            _or_default(remote, LOCAL_ADDRESS)
+            F.coalesce(remote, F.lit(LOCAL_ADDRESS))
         ),
         "method": F.lit("SUDO"),
         "path": F.when(command, F.lit("sudo/command")).otherwise(F.lit("sudo/auth_failure")),
         "status": F.when(command, F.lit(200)).otherwise(F.lit(401)).cast("bigint"),
         "referer": m(2),
         "agent": F.lit("sudo"),
-        "auth_user": F.when(command, m(1)).otherwise(F.nullif(user, F.lit(""))),
+        "auth_user": F.when(command, m(1)).otherwise(user),
         "ssh_port": F.lit(None).cast("bigint"),
     }
 
@@ -334,19 +332,21 @@ def rejects(lines: DataFrame, family: str, reference_year: int | None = None) ->
     values = lines.select("value")
     if family == "access":
         checked = _split_access(values)
-        known, time = matched(F.col("f")), _access_time()
+        known = matched(F.col("f"))
         numbers = [_number(f(5)), _number(f(6)), _label_count(f(10))]
     elif family == "firewall":
         checked = _split_firewall(values)
-        known, time = matched(F.col("f")), _firewall_time()
+        known = matched(F.col("f"))
         numbers = [*[_number(f(i)) for i in (5, 7, 9, 10)], _label_count(f(12))]
     elif family == "auth":
         checked = _split_message(_split_auth(label_trailer(values), reference_year))
-        known, time = _is_auth_event(), F.col("timestamp")
+        known = _is_auth_event()
         numbers = [F.col("count")]
     else:
         raise ValueError(f"unknown family {family!r}")
-    reason = F.when(~known, F.lit("pattern")).when(time.isNull(), F.lit("time"))
+    reason = F.when(~known, F.lit("pattern")).when(
+        F.col("timestamp").isNull(), F.lit("time")
+    )
     for number in numbers:
         reason = reason.when(number.isNull(), F.lit("number"))
     return bind(checked, "reason", reason).where(F.col("reason").isNotNull()).select(
