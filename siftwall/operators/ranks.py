@@ -21,37 +21,45 @@ HEAVY_SHARE = 1000
 ACCURACY = 10_000
 
 
-def cumulative(folded: DataFrame, group: Sequence[str], bucket: Column) -> DataFrame:
-    """Add ``before``: rows of the group with a smaller value.
+def cumulative(folded: DataFrame, group: str, bucket: Column) -> DataFrame:
+    """Add ``before``, rows of the group with a smaller value, and the group's totals.
 
-    ``folded`` has the group columns, ``value`` (distinct in a group) and ``n``;
-    ``bucket`` must not decrease with ``value``.
+    ``folded`` has the group column, ``value`` (distinct in a group) and its rows ``n``;
+    ``bucket`` must not decrease with ``value``. Totals are ``rows`` and ``different``,
+    the number of values.
     """
-    group = list(group)
     cut = folded.withColumn("bucket", bucket)
-    own = Window.partitionBy(*group, "bucket").orderBy("value")
-    running = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = cut.withColumn("inside", F.sum("n").over(running) - F.col("n"))
-    by_bucket = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy(
-        "bucket"
-    )
+    own = Window.partitionBy(group, "bucket").orderBy("value")
+    inside = cut.withColumn("upto", F.sum("n").over(_running(own)))
+    # at most one row per group and bucket from here on
+    whole = Window.partitionBy(group)
     totals = (
-        cut.groupBy(*group, "bucket")
-        .agg(F.sum("n").alias("bucket_n"))
-        .withColumn(
-            "shift",
-            F.sum("bucket_n").over(
-                by_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            )
-            - F.col("bucket_n"),
+        cut.groupBy(group, "bucket")
+        .agg(F.sum("n").alias("bucket_n"), F.count("*").alias("bucket_values"))
+        .select(
+            group,
+            "bucket",
+            (F.sum("bucket_n").over(_running(whole.orderBy("bucket"))) - F.col("bucket_n")).alias(
+                "shift"
+            ),
+            F.sum("bucket_n").over(whole).alias("rows"),
+            F.sum("bucket_values").over(whole).alias("different"),
         )
-        .drop("bucket_n")
     )
-    return inside.join(totals, [*group, "bucket"]).select(
-        *group, "value", "n", (F.col("inside") + F.col("shift")).alias("before")
+    return inside.join(totals, [group, "bucket"]).select(
+        group,
+        "value",
+        "n",
+        (F.col("shift") + F.col("upto") - F.col("n")).alias("before"),
+        "rows",
+        "different",
     )
 
 
+def _running(ordered):
+    return ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def _bounds(rows: DataFrame, columns: Sequence[str]) -> Column:
     """About evenly filled bucket bounds per column, as a map from a scalar sub-query."""
     marks = [i / BUCKETS for i in range(1, BUCKETS)]
@@ -77,12 +85,7 @@ def metric_ranks(rows: DataFrame, metrics: Sequence[str]) -> DataFrame:
     )
     folded = long.groupBy("metric", "value").agg(F.count("*").alias("n"))
     bounded = folded.withColumn("bounds", _bounds(rows, metrics)[F.col("metric")])
-    table = cumulative(bounded, ["metric"], _bucket())
-    sizes = folded.groupBy("metric").agg(
-        F.sum("n").alias("rows"), F.count("*").alias("different")
-    )
-    # one row per metric
-    table = table.join(F.broadcast(sizes), "metric").select(
+    table = cumulative(bounded, "metric", _bucket()).select(
         "metric",
         "value",
         "n",
@@ -142,9 +145,7 @@ def median(rows: DataFrame, column: str) -> DataFrame:
         .agg(F.count("*").alias("n"))
     )
     # the one null value stands for all rows below the fence
-    in_order = Window.orderBy(F.asc_nulls_first("value")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    in_order = _running(Window.orderBy(F.asc_nulls_first("value")))
     table = folded.withColumn("upto", F.sum("n").over(in_order)).withColumn(
         "rows", fence["rows"]
     )
@@ -190,14 +191,12 @@ def hash_split(rows: DataFrame, label: str, key: str, fraction: float, seed: int
     hashed = rows.withColumn("value", F.xxhash64(F.lit(seed), F.col(key)))
     folded = hashed.groupBy(label, "value").agg(F.count("*").alias("n"))
     # hashes are spread evenly, so their leading bits serve as buckets
-    table = cumulative(folded, [label], F.shiftright("value", 58))
-    sizes = folded.groupBy(label).agg(F.sum("n").alias("rows"))
+    table = cumulative(folded, label, F.shiftright("value", 58))
     wanted = F.greatest(
         F.lit(1), F.least(F.col("rows") - 1, F.round(F.col("rows") * fraction).cast("bigint"))
     )
     last = (
-        table.join(sizes, label)
-        .where(F.col("before") < wanted)
+        table.where(F.col("before") < wanted)
         .groupBy(label)
         .agg(F.max("value").alias("last_hash"))
     )
