@@ -161,8 +161,9 @@ def all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def actors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``ip, profile`` of every address seen; a profile per address block."""
-    profile = "element_at(array('normal', 'scanner', 'attacker', 'compromised'), 1 + cast(user_id % 4 AS int))"
-    return _base(spark, sf_dir).selectExpr("address AS ip", f"{profile} AS profile").distinct()
+    profile = """CASE user_id % 4 WHEN 0 THEN 'normal' WHEN 1 THEN 'scanner'
+        WHEN 2 THEN 'attacker' ELSE 'compromised' END AS profile"""
+    return _base(spark, sf_dir).selectExpr("address AS ip", profile).distinct()
 
 
 # -- the same rows as text lines --------------------------------------------------

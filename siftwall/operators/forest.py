@@ -112,10 +112,8 @@ def _scorer(model, columns: Sequence[str], norm: float, max_depth: int):
     def score(batches):
         import numpy as np
 
-        trees = [
-            tuple(np.asarray(part) for part in (t["feature"], t["split"], t["left"], t["right"], t["depth"]))
-            for t in model.value
-        ]
+        parts = ("feature", "split", "left", "right", "depth")
+        trees = [tuple(np.asarray(t[p]) for p in parts) for t in model.value]
         for batch in batches:
             data = batch[columns].to_numpy(dtype=float)
             rows = np.arange(len(data))

@@ -9,6 +9,40 @@ from pyspark.sql import functions as F
 
 from ..schema import ATTACK_KINDS, FAMILIES, ML_KINDS, NORMAL, kinds_table
 
+# The wording of the reports.
+GENERATED = "%s attempts generated: %d"
+DETECTED = "%s attempts detected: %d"
+ANOMALY_DETECTED = "ML isolation forest identified %d anomalous/ hostile IPs"
+SUPERVISED_DETECTED = "ML supervised classifier identified %d likely hostile IPs"
+LISTING_HEADING = "%s (%d total):"
+ALERT = "ThreatAlert(%s, ip=%s, count=%d)"
+ALERT_WITH_TIME = "ThreatAlert(%s, ip=%s, time=%s, count=%d)"
+ML_HEADING = "-------------- Machine Learning Behaviour Anomaly Detector --------------"
+ML_UNIQUE_IPS = "Unique IPs in this log: %d"
+ML_SENSITIVITY = "Outlier sensitivity: %s× "
+ML_FEW_IPS = (
+    " Only %d IPs here — not enough for the full model. "
+    "Only IPs with very extreme attack-like behaviour were considered."
+)
+ML_FLAGGED = "Flagged as possible hostile IPs: %d (out of %d unique addresses)"
+OVER_DETECTED = (
+    "%s accuracy: %s%%. Over-detected %d attempts, but only %d were generated."
+)
+UNDER_DETECTED = (
+    "%s accuracy: %s%%. Under-detected %d attempts out of %d generated attacks."
+)
+ALL_DETECTED = "%s accuracy: 100%%. Detected all %d generated attempts."
+ANOMALY_CHECK = (
+    "ML Isolation Forest detected %d anomalous/ hostile IPs out of %d total unique "
+    "attacking IPs (non-normal profiles in generation metadata)."
+)
+SUPERVISED_CHECK = (
+    "ML Supervised classifier flagged %d likely hostile IPs for review "
+    "(reference hostile IP count in generation metadata: %d)."
+)
+USERS = "- %s: %d users"
+LINES = "- %s: %d access log lines, %d auth log lines"
+
 
 def titled(kind: Column) -> Column:
     """``access_brute_force`` as ``Access Brute Force``."""
@@ -67,9 +101,7 @@ def true_count_report(events: DataFrame) -> DataFrame:
         true_counts(events)
         .withColumn(
             "message",
-            F.concat(
-                titled(F.col("kind")), F.lit(" attempts generated: "), F.col("true_count")
-            ),
+            F.format_string(GENERATED, titled(F.col("kind")), F.col("true_count")),
         )
         .orderBy("position")
         .drop("position", "family")
@@ -77,20 +109,12 @@ def true_count_report(events: DataFrame) -> DataFrame:
 
 
 def alert_text() -> Column:
-    """An alert as one line; the form of the line is a fixed value."""
-    return F.concat(
-        F.lit("ThreatAlert("),
-        F.col("kind"),
-        F.lit(", ip="),
-        F.col("ip"),
-        F.when(
-            F.col("timestamp").isNotNull(),
-            F.concat(F.lit(", time="), _stamp(F.col("timestamp"))),
-        ).otherwise(F.lit("")),
-        F.lit(", count="),
-        F.col("count"),
-        F.lit(")"),
-    )
+    """An alert as one line."""
+    timestamp = F.col("timestamp")
+    return F.when(
+        timestamp.isNotNull(),
+        F.format_string(ALERT_WITH_TIME, "kind", "ip", _stamp(timestamp), "count"),
+    ).otherwise(F.format_string(ALERT, "kind", "ip", "count"))
 
 
 def _stamp(timestamp: Column) -> Column:
@@ -119,9 +143,9 @@ def alert_listing(alerts: DataFrame, families: Iterable[str] = FAMILIES) -> Data
             "ip",
             "timestamp",
             "count",
-            F.concat(
-                F.upper("kind"), F.lit(" ("), F.col("kind_total"), F.lit(" total):")
-            ).alias("heading"),
+            F.format_string(LISTING_HEADING, F.upper("kind"), F.col("kind_total")).alias(
+                "heading"
+            ),
             alert_text().alias("message"),
         )
         .orderBy("kind", "timestamp", "ip", "count")
@@ -137,58 +161,23 @@ def detection_summary(alerts: DataFrame, families: Iterable[str] = FAMILIES) ->
         .agg(F.count("*").alias("detected"))
     )
     message = (
-        F.when(
-            kind == "ml_anomaly",
-            F.concat(
-                F.lit("ML isolation forest identified "),
-                F.col("detected"),
-                F.lit(" anomalous/ hostile IPs"),
-            ),
-        )
-        .when(
-            kind == "ml_supervised",
-            F.concat(
-                F.lit("ML supervised classifier identified "),
-                F.col("detected"),
-                F.lit(" likely hostile IPs"),
-            ),
-        )
-        .otherwise(F.concat(titled(kind), F.lit(" attempts detected: "), F.col("detected")))
+        F.when(kind == "ml_anomaly", F.format_string(ANOMALY_DETECTED, "detected"))
+        .when(kind == "ml_supervised", F.format_string(SUPERVISED_DETECTED, "detected"))
+        .otherwise(F.format_string(DETECTED, titled(kind), F.col("detected")))
     )
     return counts.withColumn("message", message).orderBy("kind")
 
 
 def ml_summary_report(summary: DataFrame) -> DataFrame:
     """The lines on the anomaly detector's run (R4): ``line, message``."""
-    n, flagged = F.col("unique_ips"), F.col("flagged_ips")
-    how = F.when(
-        F.col("use_forest"),
-        F.concat(
-            F.lit("Outlier sensitivity: "),
-            F.regexp_replace(F.format_string("%.6f", "mad_multiplier"), r"\.?0+$", ""),
-            F.lit("× "),
-        ),
-    ).otherwise(
-        F.concat(
-            F.lit(" Only "),
-            n,
-            F.lit(
-                " IPs here — not enough for the full model. Only IPs with very extreme "
-                "attack-like behaviour were considered."
-            ),
-        )
-    )
+    sensitivity = F.regexp_replace(F.format_string("%.6f", "mad_multiplier"), r"\.?0+$", "")
     lines = F.array(
-        F.lit("-------------- Machine Learning Behaviour Anomaly Detector --------------"),
-        F.concat(F.lit("Unique IPs in this log: "), n),
-        how,
-        F.concat(
-            F.lit("Flagged as possible hostile IPs: "),
-            flagged,
-            F.lit(" (out of "),
-            n,
-            F.lit(" unique addresses)"),
+        F.lit(ML_HEADING),
+        F.format_string(ML_UNIQUE_IPS, "unique_ips"),
+        F.when(F.col("use_forest"), F.format_string(ML_SENSITIVITY, sensitivity)).otherwise(
+            F.format_string(ML_FEW_IPS, "unique_ips")
         ),
+        F.format_string(ML_FLAGGED, "flagged_ips", "unique_ips"),
     )
     return summary.select(F.posexplode(lines).alias("line", "message"))
 
@@ -208,38 +197,11 @@ def accuracy_report(events: DataFrame, alerts: DataFrame) -> DataFrame:
         .otherwise(F.lit("equal"))
     )
     label = titled(F.col("kind"))
-    head = F.concat(label, F.lit(" accuracy: "), _two_decimals(F.col("accuracy")))
+    percent = _two_decimals(F.col("accuracy"))
     message = (
-        F.when(
-            detected > true,
-            F.concat(
-                head,
-                F.lit("%. Over-detected "),
-                detected,
-                F.lit(" attempts, but only "),
-                true,
-                F.lit(" were generated."),
-            ),
-        )
-        .when(
-            detected < true,
-            F.concat(
-                head,
-                F.lit("%. Under-detected "),
-                detected,
-                F.lit(" attempts out of "),
-                true,
-                F.lit(" generated attacks."),
-            ),
-        )
-        .otherwise(
-            F.concat(
-                label,
-                F.lit(" accuracy: 100%. Detected all "),
-                true,
-                F.lit(" generated attempts."),
-            )
-        )
+        F.when(detected > true, F.format_string(OVER_DETECTED, label, percent, detected, true))
+        .when(detected < true, F.format_string(UNDER_DETECTED, label, percent, detected, true))
+        .otherwise(F.format_string(ALL_DETECTED, label, true))
     )
     return (
         both.withColumn("accuracy", accuracy)
@@ -265,7 +227,7 @@ def ml_accuracy_report(events: DataFrame, alerts: DataFrame, actors: DataFrame)
     The line of the supervised classifier appears only if it raised alerts.
     """
     hostile = hostile_actors(events, actors).scalar()
-    kind, detected, total = F.col("kind"), F.col("detected"), F.col("hostile_ips")
+    kind, detected = F.col("kind"), F.col("detected")
     counts = (
         detected_counts(alerts.where(kind.isin(*ML_KINDS)))
         .where(kind.isin(*ML_KINDS))
@@ -273,28 +235,8 @@ def ml_accuracy_report(events: DataFrame, alerts: DataFrame, actors: DataFrame)
         .withColumn("hostile_ips", hostile)
     )
     message = F.when(
-        kind == "ml_anomaly",
-        F.concat(
-            F.lit("ML Isolation Forest detected "),
-            detected,
-            F.lit(" anomalous/ hostile IPs out of "),
-            total,
-            F.lit(
-                " total unique attacking IPs (non-normal profiles in generation metadata)."
-            ),
-        ),
-    ).otherwise(
-        F.concat(
-            F.lit("ML Supervised classifier flagged "),
-            detected,
-            F.lit(
-                " likely hostile IPs for review (reference hostile IP count in generation "
-                "metadata: "
-            ),
-            total,
-            F.lit(")."),
-        )
-    )
+        kind == "ml_anomaly", F.format_string(ANOMALY_CHECK, "detected", "hostile_ips")
+    ).otherwise(F.format_string(SUPERVISED_CHECK, "detected", "hostile_ips"))
     return counts.select("kind", "detected", "hostile_ips", message.alias("message"))
 
 
@@ -303,10 +245,7 @@ def actor_distribution(actors: DataFrame) -> DataFrame:
     return (
         actors.groupBy("profile")
         .agg(F.count("*").alias("users"))
-        .withColumn(
-            "message",
-            F.concat(F.lit("- "), F.col("profile"), F.lit(": "), F.col("users"), F.lit(" users")),
-        )
+        .withColumn("message", F.format_string(USERS, "profile", "users"))
         .orderBy("profile")
     )
 
@@ -343,18 +282,7 @@ def role_distribution(events: DataFrame, actors: DataFrame) -> DataFrame:
         counted.join(roles, "ip", "left")
         .groupBy(role.alias("role"))
         .agg(F.sum("access_lines").alias("access_lines"), F.sum("auth_lines").alias("auth_lines"))
-        .withColumn(
-            "message",
-            F.concat(
-                F.lit("- "),
-                F.col("role"),
-                F.lit(": "),
-                F.col("access_lines"),
-                F.lit(" access log lines, "),
-                F.col("auth_lines"),
-                F.lit(" auth log lines"),
-            ),
-        )
+        .withColumn("message", F.format_string(LINES, "role", "access_lines", "auth_lines"))
         .orderBy("role")
     )
 

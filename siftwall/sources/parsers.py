@@ -184,10 +184,10 @@ def syslog_timestamp(stamp: Column, reference_year: int | None = None) -> Column
     year = reference_year or datetime.now(timezone.utc).year
     text = strip(stamp)
     one_blank = F.regexp_replace(text, r"(?U)\s+", " ")
-    return F.when(F.contains(text, F.lit("T")) & F.rlike(text, F.lit(r"^\d")), text.try_cast("timestamp")).otherwise(
-        F.try_to_timestamp(
-            F.concat(F.lit(f"{year} "), one_blank), F.lit(SYSLOG_STAMP_FORMAT)
-        )
+    is_iso = F.contains(text, F.lit("T")) & F.rlike(text, F.lit(r"^\d"))
+    in_year = F.concat(F.lit(f"{year} "), one_blank)
+    return F.when(is_iso, text.try_cast("timestamp")).otherwise(
+        F.try_to_timestamp(in_year, F.lit(SYSLOG_STAMP_FORMAT))
     )
 
 

@@ -155,5 +155,6 @@ def test_split_is_stratified_and_repeatable(spark):
     one = R.hash_split(df, "y", "ip", 0.7, 1)
     two = R.hash_split(df.repartition(13), "y", "ip", 0.7, 1)
     assert one.exceptAll(two).count() == 0
-    sizes = {r["y"]: r["n"] for r in one.where("is_train").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    train = one.where("is_train").groupBy("y").agg(F.count("*").alias("n"))
+    sizes = {r["y"]: r["n"] for r in train.collect()}
     assert sizes == {"two": 1, "few": 69, "many": 630}

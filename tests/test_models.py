@@ -175,11 +175,11 @@ def test_attack_types(spark):
     labels = df.select("ip").distinct().withColumn(
         "label", F.when(F.substring("ip", 3, 2).cast("int") < 6, "scan").otherwise("normal")
     )
-    rare = spark.createDataFrame([("ip0x", "rare")], "ip string, label string")
     features = ip_features(df)
-    labeled = features.join(labels, "ip").unionByName(
-        features.limit(1).drop("ip").crossJoin(rare)
+    rare = features.where("ip = 'ip0'").withColumns(
+        {"ip": F.lit("ip0x"), "label": F.lit("rare")}
     )
+    labeled = features.join(labels, "ip").unionByName(rare)
     trained = attack_types.train_attack_classifier(labeled)
     assert trained.dropped_rows == 1
     assert trained.accuracy == 1.0

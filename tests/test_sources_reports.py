@@ -139,8 +139,8 @@ def test_ml_summary_wording(spark):
 def test_supervised_line_needs_alerts(spark):
     df = events(spark, [{"t": 0, "classification": "access_brute_force"}])
     actors = spark.createDataFrame([("1.1.1.1", "attacker")], "ip string, profile string")
-    kinds = lambda a: [r["kind"] for r in reports.ml_accuracy_report(df, a, actors).collect()]
-    assert kinds(alerts(spark, ("access_x", 0, 1))) == ["ml_anomaly"]
+    no_ml = reports.ml_accuracy_report(df, alerts(spark, ("access_x", 0, 1)), actors)
+    assert [r["kind"] for r in no_ml.collect()] == ["ml_anomaly"]
     both = reports.ml_accuracy_report(df, alerts(spark, ("ml_supervised", None, 1)), actors)
     assert {(r["kind"], r["detected"], r["hostile_ips"]) for r in both.collect()} == {
         ("ml_anomaly", 0, 1),
