@@ -10,14 +10,16 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Callable, Iterator, Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_codes, flat_lists, gathered, text_blocks
+from .common import chunk_codes, gathered, text_blocks
+from .tokenizer import chunk_encoder
 
 #: Context sizes, longest first; all are powers of two, so full windows need no padding.
 TIERS = (1024, 512, 256, 128)
@@ -56,22 +58,13 @@ def pack(
         for t in tiers:
             shelf = shelves[t]
             if shelf and shelf[0][0] <= room:
-                lo, hi = 0, len(shelf)
-                while lo < hi:
-                    mid = (lo + hi) // 2
-                    if shelf[mid][0] <= room:
-                        lo = mid + 1
-                    else:
-                        hi = mid
-                return shelf.pop(lo - 1)
+                return shelf.pop(bisect_right(shelf, room, key=_length) - 1)
         for t in reversed(tiers):
             if shelves[t]:
                 n, doc, start = shelves[t].pop()
                 rest = n - room
                 own = shelves[tier_of(rest, tiers)]
-                piece = (rest, doc, start + room)
-                at = next((i for i, p in enumerate(own) if p[0] >= rest), len(own)) if len(own) < 64 else _place(own, rest)
-                own.insert(at, piece)
+                own.insert(bisect_left(own, rest, key=_length), (rest, doc, start + room))
                 return room, doc, start
         return None
 
@@ -92,15 +85,8 @@ def pack(
     return windows
 
 
-def _place(shelf: list[tuple[int, int, int]], length: int) -> int:
-    lo, hi = 0, len(shelf)
-    while lo < hi:
-        mid = (lo + hi) // 2
-        if shelf[mid][0] < length:
-            lo = mid + 1
-        else:
-            hi = mid
-    return lo
+def _length(piece: tuple[int, int, int]) -> int:
+    return piece[0]
 
 
 def _split(window: list[tuple[int, int, int]], tiers: Sequence[int]) -> list[list[tuple[int, int, int]]]:
@@ -146,26 +132,6 @@ PIECES = (
 )
 
 
-def hf_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Encodes many chunks with a ``tokenizers`` file; control strings are ordinary text."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-
-    def encode(chunks: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
-        for at in range(0, len(chunks), 4096):
-            batch = tokenizer.encode_batch_fast(chunks[at : at + 4096], add_special_tokens=False)
-            out.extend(e.ids for e in batch)
-        return out
-
-    return encode
-
-
 def pack_documents(
     docs: DataFrame,
     tokenizer: str,
@@ -194,10 +160,10 @@ def pack_documents(
     end = np.array([end_id], dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = hf_encoder(tokenizer)
+        encode = chunk_encoder(tokenizer, glued=True)
         for block, batch in enumerate(text_blocks(batches, "t")):
             keys, codes, offsets = chunk_codes(batch.column("t"), glued=True)
-            values, starts = flat_lists(encode(keys))
+            values, starts = encode(keys)
             tokens = [np.concatenate([x, end]) for x in gathered(codes, offsets, values, starts)]
             windows = pack([len(x) for x in tokens], tiers)
             totals = [sum(n for _, _, n in w) for w in windows]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, gam, packing, quality_rules
+from . import byte_bpe, chat, exact_dedup, gam, packing, quality_rules, token_files
 from .common import id_bucket, table
 
 #: At most so many labelled rows are gathered to fit the quality classifier.
@@ -40,6 +40,19 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode_documents(
+        table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN
+    )
+    return encoded.select(
+        F.col("id").alias("doc_id"),
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
@@ -82,12 +95,20 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.drop("ids").withColumnRenamed("id", "doc_id")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), path, 49_408)
+    return token_files.read_documents(manifest).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_chat_format": op5_chat_format,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_packing": op8_packing,
+    "op10_token_files": op10_token_files,
 }
 
 SQL: dict[str, str] = {
