@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, exact_dedup, gam, packing, quality_rules, token_files
+from . import byte_bpe, chat, exact_dedup, gam, hmm, packing, quality_rules, token_files
 from .common import id_bucket, table
 
 #: At most so many labelled rows are gathered to fit the quality classifier.
@@ -40,6 +40,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return hmm.score_corpus(docs, id_bucket("doc_id", 7) == 2).withColumnRenamed("id", "doc_id")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = byte_bpe.encode_documents(
@@ -104,6 +109,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_hmm_scoring": op3_hmm_scoring,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_chat_format": op5_chat_format,
     "op7_quality_classifier": op7_quality_classifier,
