@@ -9,6 +9,33 @@ from ..session import stage
 from .common import attach, small
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of every text that stays, with all its columns.
+
+    Only rows that go are joined back, by id and SHA-256 of the text.
+    """
+    found = stage(exact_dedup(docs, id_col, text_col), "dedup-found")
+    lost = found.where("NOT kept")
+    other = ~F.col("id").eqNullSafe(F.col("keep_id"))
+
+    def keys(rows: DataFrame) -> DataFrame:
+        return small(rows.select(F.col("id").alias("__id"), F.col("fingerprint").alias("__f")).distinct())
+
+    def matches(rows: DataFrame, lost_keys: DataFrame):
+        own = F.sha2(F.coalesce(rows[text_col], F.lit("")), 256)
+        return rows[id_col].eqNullSafe(lost_keys["__id"]) & (own == lost_keys["__f"])
+
+    gone = keys(lost.where(other))
+    kept = docs.join(gone, matches(docs, gone), "left_anti")
+    again = lost.where(~other)
+    if again.isEmpty():
+        return kept
+    # rows that repeat the id and text of the row that stays
+    twice = keys(again)
+    once = kept.join(twice, matches(kept, twice), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(twice, matches(kept, twice), "left_anti").unionByName(once)
+
+
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",

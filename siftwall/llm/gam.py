@@ -36,7 +36,7 @@ FEATURES = (
 )
 
 
-def text_features(text: Column) -> list[Column]:
+def text_features(text: Column, prefix: str = "") -> list[Column]:
     """The features of whole texts as columns; null and empty texts have zeros."""
     text = F.coalesce(text, F.lit(""))
     solid = F.translate(text, _BLANKS, "")
@@ -65,7 +65,7 @@ def text_features(text: Column) -> list[Column]:
         share(n, m),
         share(F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(r"[.!?:;\"']\s*$")))), m),
     )
-    return [c.cast("double").alias(name) for c, name in zip(columns, FEATURES)]
+    return [c.cast("double").alias(prefix + name) for c, name in zip(columns, FEATURES)]
 
 
 @dataclass
@@ -245,3 +245,17 @@ def score_quality(
             )
 
     return wide.mapInArrow(score, f"id {kind.simpleString()}, score double")
+
+
+def keep_good(docs: DataFrame, model: Gam, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``least``."""
+    mark = "__feature_"
+    wide = docs.select("*", *text_features(F.col(text_col), mark))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([batch.column(mark + f).to_numpy(False) for f in FEATURES])
+            rows = batch.select(range(batch.num_columns - len(FEATURES)))
+            yield rows.filter(pa.array(model.score(x) >= least))
+
+    return wide.mapInArrow(keep, docs.schema)

@@ -179,3 +179,9 @@ def quality_rules(
         "clean_text",
         (~failed & (F.col("chars_left_pct") >= rules.kept_pct)).alias("kept"),
     )
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", rules: LineRules | None = None) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns and their text as it was."""
+    whole = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    return quality_rules(whole, "row", "text", rules).where("kept").select("id.*")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, exact_dedup, gam, hmm, packing, quality_rules, token_files
+from . import byte_bpe, chat, exact_dedup, gam, hmm, jaccard_join, packing, quality_rules, token_files
 from .common import id_bucket, table
 
 #: At most so many labelled rows are gathered to fit the quality classifier.
@@ -83,6 +83,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = gam.train_quality(docs, table(spark, sf_dir, "labels"), MAX_LABELLED_ROWS)
@@ -112,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hmm_scoring": op3_hmm_scoring,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_chat_format": op5_chat_format,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_packing": op8_packing,
     "op10_token_files": op10_token_files,
