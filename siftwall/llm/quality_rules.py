@@ -184,4 +184,8 @@ def quality_rules(
 def keep_good(docs: DataFrame, text_col: str = "text", rules: LineRules | None = None) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns and their text as it was."""
     whole = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    return quality_rules(whole, "row", "text", rules).where("kept").select("id.*")
+    judged = quality_rules(whole, "row", "text", rules).select(
+        "id", "kept", F.monotonically_increasing_id().alias("mark")
+    )
+    # a filter is not moved below a numbered projection; there, it would repeat all the work
+    return judged.where("kept AND mark >= 0").select("id.*")

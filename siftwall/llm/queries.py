@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, exact_dedup, gam, hmm, jaccard_join, packing, quality_rules, token_files
+from . import byte_bpe, chat, exact_dedup, gam, hmm, jaccard_join, licenses, packing, quality_rules, token_files
 from .common import id_bucket, table
 
 #: At most so many labelled rows are gathered to fit the quality classifier.
@@ -105,6 +105,21 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.drop("ids").withColumnRenamed("id", "doc_id")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, language, hundred, and one name per document.
+
+    A document that opens with a licence line is the licence file of its folder.
+    """
+    docs = table(spark, sf_dir, "documents")
+    opens = F.rlike(F.lower(F.substring_index("text", "\n", 1)), F.lit("licen[sc]e"))
+    hundred = F.floor(F.col("doc_id") / 100).cast("string")
+    name = F.when(F.coalesce(opens, F.lit(False)), F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(
+        F.concat("doc_id", F.lit(".txt"))
+    )
+    files = docs.select("doc_id", F.concat_ws("/", "source", "lang", hundred, name).alias("path"), "text")
+    return licenses.scan_licences(files).withColumnRenamed("id", "doc_id")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), path, 49_408)
@@ -120,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_packing": op8_packing,
+    "op9_license_scan": op9_license_scan,
     "op10_token_files": op10_token_files,
 }
 
