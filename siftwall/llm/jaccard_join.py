@@ -25,6 +25,8 @@ from .components import components
 
 #: Shingles known as frequent when prefixes are chosen; an order, not a filter.
 FREQUENT = 1 << 18
+#: Size of the bitmap that spares the shuffle most of the shingles that only one set has.
+BITMAP_BITS = 1 << 26
 
 _ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
@@ -131,12 +133,28 @@ def _frequent(sizes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], rows["df"].to_numpy(np.int64)[order]
 
 
-def _prefixes(docs: DataFrame, frequent, words: int, percent: int) -> DataFrame:
-    """``token, node, n, pos`` of every set's prefix, rare shingles first."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def _bitmap(several: DataFrame) -> np.ndarray:
+    """A bit for the low end of each shingle: BITMAP_BITS bits, whatever the table's size."""
+    place = F.col("token").bitwiseAND(F.lit(BITMAP_BITS - 1))
+    cells = (
+        several.groupBy(F.shiftright(place, 6).alias("cell"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(token & 63 AS int))")).alias("bits"))
+        .toPandas()
+    )
+    out = np.zeros(BITMAP_BITS >> 6, dtype=np.int64)
+    out[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def _prefixes(docs: DataFrame, frequent, words: int, percent: int, bitmap=None) -> DataFrame:
+    """``token, node, n, pos`` of every set's prefix, rare shingles first.
+
+    With ``bitmap``, shingles whose bit is not set are left out.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((*frequent, bitmap))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, df = shared.value
+        known, df, bits = shared.value
         for batch in text_blocks(batches, "t"):
             seen: set[int] = set()
             columns: list[list[np.ndarray]] = [[], [], [], []]
@@ -151,12 +169,17 @@ def _prefixes(docs: DataFrame, frequent, words: int, percent: int) -> DataFrame:
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     weight = np.where(known[at] == s, df[at], 0)
-                first = np.lexsort((s, weight))[: prefix_length(len(s), percent)]
+                first = s[np.lexsort((s, weight))[: prefix_length(len(s), percent)]]
+                place = np.arange(len(first), dtype=np.int32)
+                if bits is not None:
+                    low = first & np.uint64(BITMAP_BITS - 1)
+                    found = (bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) == 1
+                    first, place = first[found], place[found]
                 size = len(first)
-                columns[0].append(s[first].view(np.int64))
+                columns[0].append(first.view(np.int64))
                 columns[1].append(np.full(size, node, dtype=np.int64))
                 columns[2].append(np.full(size, len(s), dtype=np.int32))
-                columns[3].append(np.arange(size, dtype=np.int32))
+                columns[3].append(place)
             if columns[0]:
                 flat = [pa.array(np.concatenate(c)) for c in columns]
                 for at in range(0, len(flat[0]), 1 << 17):
@@ -190,16 +213,41 @@ def _needed(n1: Column, n2: Column, percent: int) -> Column:
     return F.greatest(_least_overlap(n1, n2, percent) - rest, F.lit(1))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``a, b`` pairs whose sets are similar enough, by exact intersection."""
-    other = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = other.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+def _texts(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """``node, text`` of the nodes in ``pairs``, one text of each.
+
+    Rows may share an id, so the node is worked out from the text.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    chosen = sizes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("one"))
+    ids = small(stage(chosen, "jaccard-chosen").select("one").distinct())
+    rows = docs.join(ids, docs["id"].eqNullSafe(ids["one"]), "left_semi").select("t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_blocks(batches, "t"):
+            sets = shingle_sets(batch.column("t"), words)
+            nodes = pa.array([_node(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([nodes, batch.column("t")], ["node", "text"])
+
+    return rows.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, words: int, percent: int) -> DataFrame:
+    """The ``a, b`` pairs whose sets are similar enough, by exact intersection.
+
+    Texts travel rather than sets, which are larger; both are cut into shingles again.
+    """
+    texts = stage(_texts(docs, sizes, pairs, words), "jaccard-texts")
+    other = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    both = other.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        last, x = None, None
+        for batch in text_blocks(batches, "tb", 4 << 20):
             keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
+            for a, ta, y in zip(batch.column("a").to_pylist(), batch.column("ta"), shingle_sets(batch.column("tb"), words)):
+                if a != last:
+                    last, x = a, shingle_sets(pa.array([ta.as_py()]), words)[0]
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
                 common = int((y[at] == x).sum())
@@ -207,27 +255,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], ["a", "b"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
-def _full_sets(docs: DataFrame, sizes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``node, shingles`` of the wanted nodes, from one text of each."""
-    chosen = (
-        sizes.where("node IS NOT NULL").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("one"))
-    )
-    ids = small(stage(chosen, "jaccard-chosen").select("one").distinct())
-    texts = docs.join(ids, docs["id"].eqNullSafe(ids["one"]), "left_semi").select("t")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_blocks(batches, "t"):
-            sets = {_node(s): s.tobytes() for s in shingle_sets(batch.column("t"), words) if len(s)}
-            rows = pa.RecordBatch.from_arrays(
-                [pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.binary())], ["node", "shingles"]
-            )
-            for at in range(0, rows.num_rows, 1024):
-                yield rows.slice(at, 1024)
-
-    return texts.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -240,23 +268,28 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame
     """
     mixed = stage(_sizes(docs, words), "jaccard-sizes")
     sizes = mixed.where("token IS NULL").select("id", "n", "node")
-    prefixes = stage(_prefixes(docs, _frequent(mixed), words, percent), "jaccard-prefixes")
-    # most shingles occur once; they go in a small shuffle of numbers
-    several = prefixes.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    several = small(stage(several, "jaccard-several"), 4_000_000)
-    blocks = stage(prefixes.join(several, "token").distinct(), "jaccard-blocks")
-    sets = stage(_full_sets(docs, mixed, blocks.select("node").distinct(), words), "jaccard-sets")
-
-    # partition into groups: each set against the leader of every block it is in
+    frequent = _frequent(mixed)
+    # most shingles are in one set only: they are counted, but not shuffled as rows
+    nodes_of = _prefixes(docs, frequent, words, percent).groupBy("token").agg(
+        F.min("node").alias("lo"), F.max("node").alias("hi")
+    )
+    several = stage(nodes_of.where("lo <> hi").select("token"), "jaccard-several")
+    shared = _prefixes(docs, frequent, words, percent, _bitmap(several))
+    blocks = stage(shared.join(small(several), "token").distinct(), "jaccard-blocks")
+
+    # partition into groups: each set against the leader it shares most blocks with
     leaders = blocks.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("lead"))
     stars = (
         blocks.join(leaders, "token")
         .where(F.col("lead.node") < F.col("node"))
         .where(_may_link(F.col("lead.n"), F.col("lead.pos"), F.col("n"), F.col("pos"), percent))
-        .select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
-        .distinct()
+        .groupBy(F.col("node").alias("b"), F.col("lead.node").alias("a"))
+        .agg(F.count("*").alias("c"))
+        .groupBy("b")
+        .agg(F.max(F.struct("c", "a"))["a"].alias("a"))
     )
-    first = stage(_linked(stars, sets, percent), "jaccard-first")
+    stars = stage(stars, "jaccard-stars")
+    first = stage(_linked(stars, docs, sizes, words, percent), "jaccard-first")
     groups = components(first)
 
     # the matrix: shingles of several groups only
@@ -298,7 +331,8 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame
         .where(F.col("c") >= _needed(F.col("an"), F.col("bn"), percent))
         .select("a", "b")
     )
-    second = stage(_linked(candidates, sets, percent), "jaccard-second")
+    candidates = stage(candidates, "jaccard-candidates")
+    second = stage(_linked(candidates, docs, sizes, words, percent), "jaccard-second")
     return sizes, first.unionByName(second)
 
 
