@@ -221,8 +221,8 @@ def training_sample(
 
 def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **columns) -> Gam:
     """Fit on the driver; what it gathers is bounded by ``max_rows`` rows of numbers."""
-    rows = training_sample(docs, labels, max_rows=max_rows, **columns).toPandas()
-    return fit_gam(rows[list(FEATURES)].to_numpy(float), rows["label"].to_numpy(float))
+    rows = training_sample(docs, labels, max_rows=max_rows, **columns).toArrow()
+    return fit_gam(np.column_stack([rows[f].to_numpy() for f in FEATURES]), rows["label"].to_numpy())
 
 
 def score_quality(

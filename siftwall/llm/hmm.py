@@ -269,9 +269,9 @@ def train(coded: DataFrame, class_counts: np.ndarray, settings: HmmSettings) ->
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[found])], ["cell", "v"])
 
         added = coded.select("codes").mapInArrow(count, "cell long, v double")
-        rows = added.groupBy("cell").agg(F.sum("v").alias("v")).toPandas()
+        rows = added.groupBy("cell").agg(F.sum("v").alias("v")).toArrow()
         sums = np.zeros(cells)
-        sums[rows["cell"].to_numpy(np.int64)] = rows["v"].to_numpy(float)
+        sums[rows["cell"].to_numpy()] = rows["v"].to_numpy()
         model = next_model(
             sums[:k], sums[k : k + k * k].reshape(k, k), sums[k + k * k :].reshape(k, c), share * 10.0
         )
@@ -311,13 +311,13 @@ def score_corpus(
         counts.where(F.octet_length("word") <= settings.frequent_bytes)
         .orderBy(F.desc("c"), "word")
         .limit(settings.frequent)
-        .toPandas()
+        .toArrow()
     )
-    table = (top["word"].tolist(), top["c"].to_numpy(np.int64))
+    table = (top["word"].to_pylist(), top["c"].to_numpy())
     # per class: its tokens and its words
     n_class = np.zeros(settings.classes)
     v_class = np.zeros(settings.classes)
-    own = min(settings.own_classes, len(top))
+    own = min(settings.own_classes, top.num_rows)
     n_class[:own] = table[1][:own]
     n_class[settings.own_classes] = train_docs
     others = counts

@@ -26,7 +26,7 @@ from .components import components
 #: Shingles known as frequent when prefixes are chosen; an order, not a filter.
 FREQUENT = 1 << 18
 #: Size of the bitmap that spares the shuffle most of the shingles that only one set has.
-BITMAP_BITS = 1 << 26
+BITMAP_BITS = 1 << 24
 
 _ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
@@ -126,7 +126,7 @@ def _frequent(sizes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         .where("df >= 16")
         .orderBy(F.desc("df"), "token")
         .limit(FREQUENT)
-        .toPandas()
+        .toArrow()
     )
     tokens = rows["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
@@ -139,7 +139,7 @@ def _bitmap(several: DataFrame) -> np.ndarray:
     cells = (
         several.groupBy(F.shiftright(place, 6).alias("cell"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(token & 63 AS int))")).alias("bits"))
-        .toPandas()
+        .toArrow()
     )
     out = np.zeros(BITMAP_BITS >> 6, dtype=np.int64)
     out[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64)
