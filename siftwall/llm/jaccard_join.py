@@ -65,8 +65,9 @@ def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
         if b - a >= words:
             out.append(np.unique(rolled[a : b - words + 1]))
         elif b > a:
-            whole = sum((h[a + k] * _multiplier(k) for k in range(b - a)), np.uint64(words - (b - a)))
-            out.append(_mixed(np.array([whole], dtype=np.uint64)))
+            weights = np.array([_multiplier(k) for k in range(b - a)], dtype=np.uint64)
+            whole = (h[a:b] * weights).sum(keepdims=True, dtype=np.uint64) + np.uint64(words - (b - a))
+            out.append(_mixed(whole))
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out
@@ -128,9 +129,9 @@ def _frequent(sizes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         .limit(FREQUENT)
         .toArrow()
     )
-    tokens = rows["token"].to_numpy(np.int64).view(np.uint64)
+    tokens = rows["token"].to_numpy().view(np.uint64)
     order = np.argsort(tokens)
-    return tokens[order], rows["df"].to_numpy(np.int64)[order]
+    return tokens[order], rows["df"].to_numpy()[order]
 
 
 def _bitmap(several: DataFrame) -> np.ndarray:
@@ -142,7 +143,7 @@ def _bitmap(several: DataFrame) -> np.ndarray:
         .toArrow()
     )
     out = np.zeros(BITMAP_BITS >> 6, dtype=np.int64)
-    out[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64)
+    out[cells["cell"].to_numpy()] = cells["bits"].to_numpy()
     return out.view(np.uint64)
 
 
