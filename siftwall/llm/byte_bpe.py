@@ -140,7 +140,7 @@ def encode_documents(
     pattern: str,
     id_col: str = "doc_id",
     text_col: str = "text",
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """``id, ids, decoded`` of every text: the ids as little-endian unsigned 32-bit numbers.
 
