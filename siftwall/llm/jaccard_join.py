@@ -2,9 +2,9 @@
 
 Every distinct shingle set is a node. Under one order of all shingles, rare before
 frequent, two sets that are similar enough share a shingle of their first few (the prefix),
-so only prefixes are compared. Similar sets are first partitioned into groups: within each
-shared prefix shingle, every set is compared with one leader, which is linear however many
-sets share it. The matrix then has a row per shingle and group, the union of the members'
+so only prefixes are compared. Similar sets are first partitioned into groups: sets that
+agree in smallest hashes are compared with one leader each, which is linear however many
+sets agree. The matrix then has a row per shingle and group, the union of the members'
 prefixes. For each set and each other group, the number of its prefix shingles in the
 group's union bounds the overlap with any member; only groups that can still hold a
 partner are opened, and members are compared with the set itself. All partners are found.
@@ -34,6 +34,10 @@ _ODD = np.array(
 )
 
 
+#: Hash functions whose smallest values propose leaders; an order of work, not a filter.
+SEEDS = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 3)) % (1 << 64)) for k in range(8)]
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * np.uint64(0xD6E8FEB86659FD93)
@@ -79,13 +83,18 @@ def _node(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), seed=len(shingles))).astype(np.int64))
 
 
+def _least_hashes(shingles: np.ndarray) -> list[int]:
+    """Smallest hash of a set under each of SEEDS functions."""
+    return [int(_mixed(shingles * seed).min().astype(np.int64)) for seed in SEEDS]
+
+
 def prefix_length(n: int, percent: int) -> int:
     """Shingles of which a partner must share one: n less the least overlap, plus one."""
     return n - -(-percent * n // 100) + 1
 
 
 def _sizes(docs: DataFrame, words: int) -> DataFrame:
-    """Rows of texts (``id, n, node``) and, mixed with them, of locally frequent shingles."""
+    """Rows of texts (``id, n, node, least``) and, mixed with them, of locally frequent shingles."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,9 +102,17 @@ def _sizes(docs: DataFrame, words: int) -> DataFrame:
             sets = shingle_sets(batch.column("t"), words)
             nodes = [_node(s) if len(s) else None for s in sets]
             none = pa.nulls(len(sets), pa.int64())
+            least = pa.array([_least_hashes(s) if len(s) else None for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), none, none],
-                ["id", "n", "node", "token", "df"],
+                [
+                    batch.column("id"),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(nodes, pa.int64()),
+                    least,
+                    none,
+                    none,
+                ],
+                names,
             )
             once = list({node: s for node, s in zip(nodes, sets) if node is not None}.values())
             if once:
@@ -109,13 +126,17 @@ def _sizes(docs: DataFrame, words: int) -> DataFrame:
                         [
                             pa.nulls(size, batch.schema.field("id").type),
                             *(pa.nulls(size, pa.int64()) for _ in range(2)),
+                            pa.nulls(size, pa.list_(pa.int64())),
                             pa.array(tokens[part]),
                             pa.array(df[part].astype(np.int64)),
                         ],
-                        ["id", "n", "node", "token", "df"],
+                        names,
                     )
 
-    return docs.mapInArrow(run, f"id {kind}, n long, node long, token long, df long")
+    names = ["id", "n", "node", "least", "token", "df"]
+    return docs.mapInArrow(
+        run, f"id {kind}, n long, node long, least array<bigint>, token long, df long"
+    )
 
 
 def _frequent(sizes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +169,7 @@ def _bitmap(several: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, frequent, words: int, percent: int, bitmap=None) -> DataFrame:
-    """``token, node, n, pos`` of every set's prefix, rare shingles first.
+    """``token, node, n`` of every set's prefix, rare shingles first.
 
     With ``bitmap``, shingles whose bit is not set are left out.
     """
@@ -158,7 +179,7 @@ def _prefixes(docs: DataFrame, frequent, words: int, percent: int, bitmap=None)
         known, df, bits = shared.value
         for batch in text_blocks(batches, "t"):
             seen: set[int] = set()
-            columns: list[list[np.ndarray]] = [[], [], [], []]
+            columns: list[list[np.ndarray]] = [[], [], []]
             for s in shingle_sets(batch.column("t"), words):
                 if not len(s):
                     continue
@@ -171,24 +192,22 @@ def _prefixes(docs: DataFrame, frequent, words: int, percent: int, bitmap=None)
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     weight = np.where(known[at] == s, df[at], 0)
                 first = s[np.lexsort((s, weight))[: prefix_length(len(s), percent)]]
-                place = np.arange(len(first), dtype=np.int32)
                 if bits is not None:
                     low = first & np.uint64(BITMAP_BITS - 1)
                     found = (bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) == 1
-                    first, place = first[found], place[found]
+                    first = first[found]
                 size = len(first)
                 columns[0].append(first.view(np.int64))
                 columns[1].append(np.full(size, node, dtype=np.int64))
                 columns[2].append(np.full(size, len(s), dtype=np.int32))
-                columns[3].append(place)
             if columns[0]:
                 flat = [pa.array(np.concatenate(c)) for c in columns]
                 for at in range(0, len(flat[0]), 1 << 17):
                     yield pa.RecordBatch.from_arrays(
-                        [c.slice(at, 1 << 17) for c in flat], ["token", "node", "n", "pos"]
+                        [c.slice(at, 1 << 17) for c in flat], ["token", "node", "n"]
                     )
 
-    return docs.select("t").mapInArrow(run, "token long, node long, n int, pos int")
+    return docs.select("t").mapInArrow(run, "token long, node long, n int")
 
 
 def _least_overlap(n1: Column, n2: Column, percent: int) -> Column:
@@ -196,14 +215,6 @@ def _least_overlap(n1: Column, n2: Column, percent: int) -> Column:
     return F.ceil((n1 + n2) * percent / F.lit(100.0 + percent))
 
 
-def _may_link(n1: Column, pos1: Column, n2: Column, pos2: Column, percent: int) -> Column:
-    """Size and position filters of two sets at a shingle that both have."""
-    sizes = (F.least(n1, n2) * 100) >= (F.greatest(n1, n2) * percent)
-    # what can still follow this shingle, and what may have come before it
-    most = F.least(pos1, pos2) + 1 + F.least(n1 - pos1 - 1, n2 - pos2 - 1)
-    return sizes & (most >= _least_overlap(n1, n2, percent))
-
-
 def _needed(n1: Column, n2: Column, percent: int) -> Column:
     """Prefix shingles that two sets must share.
 
@@ -259,6 +270,25 @@ def _linked(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, words: int, per
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _stars(signatures: DataFrame, groups: DataFrame | None, leader, percent: int) -> DataFrame:
+    """At most one ``a, b`` pair per set ``b``: a leader that it agrees with in two hashes or more."""
+    labelled = signatures.withColumn("g", F.col("node"))
+    if groups is not None:
+        labelled = signatures.join(groups, "node", "left").withColumn("g", F.coalesce("label", "node"))
+    leads = labelled.groupBy("h", "v").agg(
+        leader(F.struct("node", "n", "g")).alias("lead"), F.count("*").alias("c")
+    )
+    agreed = (
+        labelled.join(leads.where("c > 1").drop("c"), ["h", "v"])
+        .where((F.col("lead.node") != F.col("node")) & (F.col("lead.g") != F.col("g")))
+        .where(F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent)
+        .groupBy(F.col("node").alias("b"), F.col("lead.node").alias("a"))
+        .agg(F.count("*").alias("c"))
+        .where("c > 1")
+    )
+    return agreed.groupBy("b").agg(F.max(F.struct("c", "a"))["a"].alias("a"))
+
+
 def links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """Nodes of all rows and enough links between nodes to give every component.
 
@@ -278,25 +308,26 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame
     shared = _prefixes(docs, frequent, words, percent, _bitmap(several))
     blocks = stage(shared.join(small(several), "token").distinct(), "jaccard-blocks")
 
-    # partition into groups: each set against the leader it shares most blocks with
-    leaders = blocks.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("lead"))
-    stars = (
-        blocks.join(leaders, "token")
-        .where(F.col("lead.node") < F.col("node"))
-        .where(_may_link(F.col("lead.n"), F.col("lead.pos"), F.col("n"), F.col("pos"), percent))
-        .groupBy(F.col("node").alias("b"), F.col("lead.node").alias("a"))
-        .agg(F.count("*").alias("c"))
-        .groupBy("b")
-        .agg(F.max(F.struct("c", "a"))["a"].alias("a"))
+    # partition into groups: each set against the leader it agrees with in most hashes,
+    # then once more those that this left outside the group of another leader
+    signatures = (
+        mixed.where("node IS NOT NULL")
+        .groupBy("node", "n", "least")
+        .agg(F.count("*").alias("copies"))
+        .select("node", "n", F.posexplode("least").alias("h", "v"))
     )
-    stars = stage(stars, "jaccard-stars")
-    first = stage(_linked(stars, docs, sizes, words, percent), "jaccard-first")
-    groups = components(first)
+    signatures = stage(signatures, "jaccard-signatures")
+    first, groups = None, None
+    for leader in (F.min, F.max):
+        stars = stage(_stars(signatures, groups, leader, percent), "jaccard-stars")
+        linked = stage(_linked(stars, docs, sizes, words, percent), "jaccard-first")
+        first = linked if first is None else first.unionByName(linked)
+        groups = components(first)
 
     # the matrix: shingles of several groups only
     placed = stage(
         blocks.join(groups, "node", "left").select(
-            "token", "node", "n", "pos", F.coalesce("label", "node").alias("g")
+            "token", "node", "n", F.coalesce("label", "node").alias("g")
         ),
         "jaccard-placed",
     )
@@ -319,10 +350,10 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame
     bound = F.least(_needed(F.col("n"), low, percent), _needed(F.col("n"), high, percent)) - 1
     opened = matched.where((low <= high) & (F.col("c") >= bound)).select("node", "to")
     queries = placed.join(opened, "node").select(
-        "token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), "to"
+        "token", F.col("node").alias("a"), F.col("n").alias("an"), "to"
     )
     members = placed.select(
-        "token", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("g").alias("to")
+        "token", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("g").alias("to")
     )
     candidates = (
         queries.join(members, ["token", "to"])
