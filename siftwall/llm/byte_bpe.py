@@ -123,7 +123,7 @@ def encode_word(ids: Column, table: Column, sizes: tuple[int, int]) -> Column:
         return F.aggregate(place, state, merge)
 
     start = F.struct(ids.alias("tokens"), pairs.alias("merges"))
-    return F.aggregate(F.sequence(F.lit(0), n), start, lambda s, _: step(s))["tokens"]
+    return F.aggregate(F.sequence(F.lit(1), n), start, lambda s, _: step(s))["tokens"]
 
 
 def _words(chunk_list: list[str], pattern) -> tuple[list[str], np.ndarray, np.ndarray]:
