@@ -8,15 +8,15 @@ read, are kept as well.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import AnomalyConfig, DetectorConfig
 from ..operators.features import ip_features
-from ..schema import ALERT_SCHEMA, FAMILIES
+from ..schema import ALERT_SCHEMA, FAMILIES, chosen_families
 from ..session import stage
-from ..sources.merge import read_events
+from ..sources.merge import read_sources
 from . import anomaly, reports, supervised
 from .detect import detect
 
@@ -29,6 +29,9 @@ class Analysis:
     alerts: DataFrame
     families: list[str]
     ml_summary: DataFrame | None = field(default=None)
+    #: Paths that could not be read, and lines without an event, where logs were read.
+    errors: DataFrame | None = field(default=None)
+    rejected: DataFrame | None = field(default=None)
 
     def detection_summary(self) -> DataFrame:
         return reports.detection_summary(self.alerts, self.families)
@@ -88,6 +91,8 @@ def analyze(
     **options,
 ) -> Analysis:
     """As ``analyze_events``, from log files: ``sources`` maps a family to its paths."""
-    families = [f for f in FAMILIES if sources.get(f) and (enabled is None or f in set(enabled))]
-    events = read_events(spark, sources, families, reference_year, labeled)
-    return analyze_events(events, families, **options)
+    chosen_families(sources)
+    chosen = chosen_families(enabled)
+    families = [f for f in FAMILIES if sources.get(f) and f in chosen]
+    events, errors, rejected = read_sources(spark, sources, families, reference_year, labeled)
+    return replace(analyze_events(events, families, **options), errors=errors, rejected=rejected)

@@ -198,7 +198,10 @@ def detect(
         events = stage(events, "events")
     rules = burst_rules(config)
     further = {**_custom, **(extra or {})}
-    offered = [*rules, CHAIN_KIND, *further] if kinds is None else list(kinds)
+    known = [*rules, CHAIN_KIND, *further]
+    offered = known if kinds is None else list(kinds)
+    if set(offered) - set(known):
+        raise ValueError(f"unknown kinds {sorted(set(offered) - set(known))}")
     chosen = select_kinds(offered, families)
     parts = []
     bursts = [rules[k] for k in chosen if k in rules]

@@ -86,3 +86,13 @@ def kinds_table(spark) -> DataFrame:
         [(i, k, k.split("_", 1)[0]) for i, k in enumerate(ATTACK_KINDS)],
         "position bigint, kind string, family string",
     )
+
+
+def chosen_families(enabled) -> set[str]:
+    """The enabled families, all if None; an unknown name is an error."""
+    if enabled is None:
+        return set(FAMILIES)
+    wanted = set(enabled)
+    if wanted - set(FAMILIES):
+        raise ValueError(f"unknown families {sorted(wanted - set(FAMILIES))}")
+    return wanted

@@ -49,7 +49,7 @@ SUDO_MESSAGE = (
 REMOTE_PORT = r"(?Ud)\bfrom\s+(\S+)\s+port\s+(\d+)\b"
 REMOTE_USER = r"(?Ud)\bruser=(\S+)"
 LOCAL_ADDRESS = "127.0.0.1"
-ACCESS_STAMP_FORMAT = "dd/MMM/yyyy:HH:mm:ss Z"
+ACCESS_STAMP_FORMAT = "d/MMM/yyyy:H:m:s Z"
 SYSLOG_STAMP_FORMAT = "yyyy MMM d HH:mm:ss"
 
 
@@ -81,7 +81,12 @@ def finalize(parsed: DataFrame) -> DataFrame:
 
 def _split_access(lines: DataFrame) -> DataFrame:
     fields = bind(lines, "f", capture(F.col("value"), ACCESS_LINE, 10))
-    stamp = F.try_to_timestamp(_part("f")(2), F.lit(ACCESS_STAMP_FORMAT))
+    # the zone may be written Z or with a colon
+    text = _part("f")(2)
+    text = F.when(F.endswith(text, F.lit("Z")), F.regexp_replace(text, "Z$", "+0000")).otherwise(
+        F.regexp_replace(text, r"([+-]\d{2}):(\d{2})$", "$1$2")
+    )
+    stamp = F.try_to_timestamp(text, F.lit(ACCESS_STAMP_FORMAT))
     return bind(fields, "timestamp", stamp)
 
 
@@ -112,7 +117,10 @@ def parse_access(lines: DataFrame, source: str = "access") -> DataFrame:
 
 def _split_firewall(lines: DataFrame) -> DataFrame:
     fields = bind(lines, "f", capture(F.col("value"), FIREWALL_LINE, 12))
-    return bind(fields, "timestamp", _part("f")(1).try_cast("timestamp"))
+    # a cast alone would read a bare time of day as today
+    stamp = _part("f")(1)
+    whole = F.rlike(stamp, F.lit(f"^{ISO_STAMP}$"))
+    return bind(fields, "timestamp", F.when(whole, stamp.try_cast("timestamp")))
 
 
 def parse_firewall(lines: DataFrame, source: str = "firewall") -> DataFrame:
@@ -322,9 +330,13 @@ def parse_auth(
 PARSERS = {"access": parse_access, "auth": parse_auth, "firewall": parse_firewall}
 
 
-def rejects(lines: DataFrame, family: str, reference_year: int | None = None) -> DataFrame:
+def rejects(
+    lines: DataFrame, family: str, reference_year: int | None = None, labeled: bool = True
+) -> DataFrame:
     """Lines that give no event, with the reason (S9): ``log_source, value, reason``.
 
+    ``labeled`` is for auth lines and must be as it was for ``parse_auth``.
+
     ``pattern`` - the line is not of the family's language (for auth also: another
     daemon or message); ``time`` - unreadable time; ``number`` - a number too large.
     """
@@ -339,7 +351,8 @@ def rejects(lines: DataFrame, family: str, reference_year: int | None = None) ->
         known = matched(F.col("f"))
         numbers = [*[_number(f(i)) for i in (5, 7, 9, 10)], _label_count(f(12))]
     elif family == "auth":
-        checked = _split_message(_split_auth(label_trailer(values), reference_year))
+        cut = label_trailer(values) if labeled else _unlabeled(values)
+        checked = _split_message(_split_auth(cut, reference_year))
         known = _is_auth_event()
         numbers = [F.col("count")]
     else:

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import FAMILIES
+from ..schema import FAMILIES, chosen_families
 
 LINE_COLUMNS = "value string, log_source string, file string"
 ERROR_COLUMNS = "log_source string, file string, message string"
@@ -26,7 +26,9 @@ def read_lines(
     touched. Returns ``(lines, errors)`` with the columns ``value, log_source, file``
     and ``log_source, file, message``. Invalid UTF-8 becomes U+FFFD.
     """
-    wanted = [f for f in FAMILIES if f in sources and (enabled is None or f in set(enabled))]
+    chosen_families(sources)
+    chosen = chosen_families(enabled)
+    wanted = [f for f in FAMILIES if f in sources and f in chosen]
     parts, problems = [], []
     for family in wanted:
         good = []
