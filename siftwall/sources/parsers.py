@@ -83,8 +83,12 @@ def _split_access(lines: DataFrame) -> DataFrame:
     fields = bind(lines, "f", capture(F.col("value"), ACCESS_LINE, 10))
     # the zone may be written Z or with a colon
     text = _part("f")(2)
-    text = F.when(F.endswith(text, F.lit("Z")), F.regexp_replace(text, "Z$", "+0000")).otherwise(
-        F.regexp_replace(text, r"([+-]\d{2}):(\d{2})$", "$1$2")
+    size = F.length(text)
+    colon = (F.substring(text, -3, 1) == ":") & F.substring(text, -6, 1).isin("+", "-")
+    text = (
+        F.when(F.endswith(text, F.lit("Z")), F.concat(F.left(text, size - 1), F.lit("+0000")))
+        .when(colon, F.concat(F.left(text, size - 3), F.right(text, F.lit(2))))
+        .otherwise(text)
     )
     stamp = F.try_to_timestamp(text, F.lit(ACCESS_STAMP_FORMAT))
     return bind(fields, "timestamp", stamp)
