@@ -49,69 +49,111 @@ class LineRules:
 
 
 def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+    """The text less some characters; one scan for each, which is cheap where there is none."""
+    for character in characters:
+        text = F.replace(text, F.lit(character), F.lit(""))
+    return text
+
+
+def _number_of(text: Column, characters: str) -> Column:
+    return F.char_length(text) - F.char_length(_without(text, characters))
 
 
 def _words(text: Column) -> Column:
     """Words of a text; blanks become single spaces first, so that a plain split will do."""
-    return F.array_remove(F.split(F.translate(text, "\t\n\x0b\f\r", "     "), " "), "")
+    for blank in _BLANKS[1:]:
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
+
+
+def _has_word(line: Column) -> Column:
+    return F.ltrim(line, F.lit(_BLANKS)) != ""
 
 
 def line_fails(line: Column, rules: LineRules) -> Column:
-    """Whether a line breaks a punctuation, navigation or boilerplate rule."""
-    size = F.char_length(_without(line, _BLANKS))
-    words = _words(line)
-    n = F.size(words)
-    lower = F.lower(line)
+    """Whether a line breaks a punctuation, navigation or boilerplate rule.
+
+    Cheap tests stand before dear ones. A test on a one-element array binds what it looks
+    at to a name, so that lower case and words are made once per line.
+    """
     # punctuation: symbols and exclamation marks in bulk, or a long line without a sentence
-    marks = size - F.char_length(_without(line, _BLANKS + _SYMBOLS + "!~^_=+"))
+    marks = _number_of(line, _SYMBOLS + "!~^_=+")
+    marked = (marks > 0) & (marks * 100 >= F.char_length(_without(line, _BLANKS)) * rules.marks_pct)
     closed = F.rlike(line, F.lit("[.!?:;…。！？؟।]([\"'”’»)\\]}]*)(\\s|$)"))
-    punctuation = (marks * 100 >= size * rules.marks_pct) | (~closed & (n > rules.open_words))
-    # navigation: separators between single entries
-    bars = F.char_length(line) - F.char_length(_without(line, "|»›·•→"))
-    navigation = (bars >= 3) & (bars * 100 >= n * rules.separators_pct)
-    # boilerplate: stock phrases, or the same few words over and over
-    phrases = F.lit(False)
-    for phrase in BOILERPLATE:
-        phrases = phrases | F.contains(lower, F.lit(phrase))
-    again = (n >= rules.repeat_words) & (
-        F.size(F.array_distinct(words)) * 100 < n * rules.distinct_pct
+    bars = _number_of(line, "|»›·•→")
+
+    def phrased(lower: Column) -> Column:
+        found = F.lit(False)
+        for phrase in BOILERPLATE:
+            found = found | F.contains(lower, F.lit(phrase))
+        return found
+
+    def worded(words: Column) -> Column:
+        n = F.size(words)
+        unclosed = (n > rules.open_words) & ~closed
+        # the same few words over and over
+        again = (n >= rules.repeat_words) & (
+            F.size(F.array_distinct(words)) * 100 < n * rules.distinct_pct
+        )
+        # navigation: separators between single entries
+        navigation = (bars >= 3) & (bars * 100 >= n * rules.separators_pct)
+        return unclosed | again | navigation
+
+    return (
+        marked | F.exists(F.array(F.lower(line)), phrased) | F.exists(F.array(_words(line)), worded)
     )
-    return punctuation | navigation | phrases | again
 
 
 def _repeated_words(words: Column) -> Column:
     """Words covered by 3-word windows that occur at least twice.
 
-    Windows are sorted by hash, so that equal ones stand side by side; the cost grows as
-    n log n with the text, and nothing leaves the row.
+    A window is one number, its hash above its place, so that equal ones stand side by side
+    once sorted; neighbours are then compared by their words. The cost grows as n log n
+    with the text, and nothing leaves the row.
     """
     n = F.size(words)
-    windows = F.when(
-        n >= 4,
-        F.array_sort(
-            F.transform(
-                F.sequence(F.lit(0), n - 3),
-                lambda i: F.struct(
-                    F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"),
-                    i.alias("i"),
-                ),
+    # the longer the text, the more bits its places take
+    low = F.lit((1 << 31) - 1).cast("long")
+    for bits in (20, 16, 12, 8):
+        low = F.when(n <= 1 << bits, F.lit((1 << bits) - 1).cast("long")).otherwise(low)
+
+    def same(i: Column, j: Column) -> Column:
+        equal = F.get(words, i) == F.get(words, j)
+        for k in (1, 2):
+            equal = equal & (F.get(words, i + k) == F.get(words, j + k))
+        return equal
+
+    def count(mask: Column) -> Column:
+        numbers = F.transform(
+            F.slice(words, 1, n - 2),
+            lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))
+            .bitwiseAND(F.bitwise_not(mask))
+            .bitwiseOR(i.cast("long")),
+        )
+
+        def place(x: Column) -> Column:
+            return x.bitwiseAND(mask).cast("int")
+
+        def repeated(ordered: Column) -> Column:
+            def like(x: Column, y: Column) -> Column:
+                alike = x.bitwiseXOR(y).bitwiseAND(F.bitwise_not(mask)) == 0
+                return F.coalesce(alike & same(place(x), place(y)), F.lit(False))
+
+            twice = F.filter(
+                ordered,
+                lambda x, k: like(x, F.get(ordered, k + 1)) | ((k > 0) & like(x, F.get(ordered, k - 1))),
+            )
+            places = F.transform(twice, place)
+            return F.concat(
+                places, F.transform(places, lambda i: i + 1), F.transform(places, lambda i: i + 2)
             )
-        ),
-    )
 
-    def count(sorted_windows: Column) -> Column:
-        twice = F.filter(
-            sorted_windows,
-            lambda w, k: (w["h"] == F.get(sorted_windows, k + 1)["h"])
-            | ((k > 0) & (w["h"] == F.get(sorted_windows, k - 1)["h"])),
-        )
-        places = F.flatten(F.transform(twice, lambda w: F.array(w["i"], w["i"] + 1, w["i"] + 2)))
-        return F.size(F.array_distinct(places))
+        # a one-element array binds the sorted numbers to a name, so that they are made once
+        found = F.flatten(F.transform(F.array(F.sort_array(numbers)), repeated))
+        return F.size(F.array_distinct(found))
 
-    # a one-element array binds the sorted windows to a name, so that they are made once
-    bound = F.transform(F.array(windows), count)
-    return F.when(n >= 4, F.get(bound, F.lit(0))).otherwise(F.lit(0)).cast("long")
+    counted = F.get(F.transform(F.array(low), count), F.lit(0))
+    return F.when(n >= 4, counted).otherwise(F.lit(0)).cast("long")
 
 
 def quality_rules(
@@ -137,17 +179,13 @@ def quality_rules(
         "id",
         "t",
         _words(F.col("t")).alias("w"),
-        F.filter(
-            F.split("t", "\n"), lambda x: F.char_length(_without(x, _BLANKS)) > 0
-        ).alias("l"),
+        F.filter(F.split("t", "\n"), _has_word).alias("l"),
     )
     counted = split.select(
         "id",
         F.size("w").cast("long").alias("n_words"),
         F.char_length(_without(F.col("t"), _BLANKS)).cast("long").alias("word_chars"),
-        (F.char_length("t") - F.char_length(_without(F.col("t"), _SYMBOLS)))
-        .cast("long")
-        .alias("n_symbols"),
+        _number_of(F.col("t"), _SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         _repeated_words(F.col("w")).alias("n_repeat_words"),
         F.size("l").cast("long").alias("n_lines"),
