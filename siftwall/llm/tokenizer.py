@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
-from .common import flat_lists
+#: Pieces whose ids a Python worker keeps from block to block, the first it meets; a matter
+#: of speed alone, some 50 MB.
+KEPT_PIECES = 1 << 18
 
 Encoder = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
@@ -24,14 +29,40 @@ def _plain_word(chunk: str) -> bool:
     )
 
 
+_BLANKS = re.compile("[ \\t\\n\\r]+")
+#: A run of ASCII marks, without the apostrophe, at the end of a word.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _pieces(chunk: str) -> list[str] | None:
+    """Plain words and runs of marks that a chunk consists of; None if it has anything else."""
+    if _plain_word(chunk):
+        return [chunk]
+    out = []
+    for word in _BLANKS.split(chunk):
+        if not word:
+            continue
+        core = word.rstrip(_MARKS)
+        if core:
+            if not _plain_word(core):
+                return None
+            out.append(core)
+        if len(core) < len(word):
+            out.append(word[len(core) :])
+    return out
+
+
+@lru_cache(maxsize=2)
 def chunk_encoder(path: str, glued: bool, joined: int = 64) -> Encoder:
     """A function from chunks to all their ids, with the bounds of each chunk.
 
     Control strings are ordinary text. Most of the library's time goes into single calls,
-    so chunks whose borders can be told from the ids are encoded ``joined`` at a time: with
-    ``glued``, those with one blank, at their front, whose first id is one that begins with
-    a blank; otherwise plain words, whose last id is one that ends a word. If the borders
-    found are not as many as the chunks, these chunks are encoded one by one.
+    so pieces whose borders can be told from the ids are encoded ``joined`` at a time: with
+    ``glued``, chunks with one blank, at their front, whose first id is one that begins with
+    a blank; otherwise the plain words and runs of marks of a chunk, whose last id is one
+    that ends a word. If the borders found are not as many as the pieces, these pieces are
+    encoded one by one. A Python worker keeps the encoder, and with it the ids of the first
+    KEPT_PIECES pieces, over blocks and tasks.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -42,40 +73,65 @@ def chunk_encoder(path: str, glued: bool, joined: int = 64) -> Encoder:
     border = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
     for token, number in vocabulary.items():
         border[number] = token.startswith("Ġ") if glued else token.endswith("</w>")
+    kept: dict[str, bytes] = {}
+
+    def binary(ids: list[int]) -> bytes:
+        return np.array(ids, dtype=np.uint32).tobytes()
 
-    def singly(chunks: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
+    def singly(chunks: list[str], out: dict[str, bytes]) -> None:
         for at in range(0, len(chunks), 4096):
-            part = tokenizer.encode_batch_fast(chunks[at : at + 4096], add_special_tokens=False)
-            out.extend(e.ids for e in part)
-        return out
+            own = chunks[at : at + 4096]
+            part = tokenizer.encode_batch_fast(own, add_special_tokens=False)
+            out.update((c, binary(e.ids)) for c, e in zip(own, part))
 
-    def together(chunks: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
+    def together(chunks: list[str], out: dict[str, bytes]) -> None:
         glue = "" if glued else " "
         for at in range(0, len(chunks), 4096):
             groups = [chunks[i : i + joined] for i in range(at, min(at + 4096, len(chunks)), joined)]
             part = tokenizer.encode_batch_fast([glue.join(g) for g in groups], add_special_tokens=False)
             for group, encoding in zip(groups, part):
-                ids = encoding.ids
-                cuts = np.flatnonzero(border[ids]).tolist()
+                ids = np.array(encoding.ids, dtype=np.uint32)
+                cuts = np.flatnonzero(border[ids])
                 if len(cuts) != len(group):
-                    out.extend(singly(group))
-                elif glued:
-                    ends = cuts[1:] + [len(ids)]
-                    out.extend(ids[a:b] for a, b in zip(cuts, ends))
+                    singly(group, out)
+                    continue
+                if glued:
+                    bounds = [*(cuts * 4).tolist(), len(ids) * 4]
                 else:
-                    starts = [0] + [c + 1 for c in cuts[:-1]]
-                    out.extend(ids[a : b + 1] for a, b in zip(starts, cuts))
-        return out
+                    bounds = [0, *((cuts + 1) * 4).tolist()]
+                flat = ids.tobytes()
+                if bounds[0] or bounds[-1] != len(flat):
+                    singly(group, out)
+                    continue
+                out.update((c, flat[a:b]) for c, a, b in zip(group, bounds, bounds[1:]))
 
     def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        split: list[list[str] | None] = []
+        if glued:
+            new = [c for c in chunks if c not in kept]
+            simple = [c[:1] == " " and c.count(" ") == 1 and len(c) > 1 for c in new]
+            easy = [c for c, s in zip(new, simple) if s]
+            hard = [c for c, s in zip(new, simple) if not s]
+        else:
+            split = [_pieces(c) for c in chunks]
+            easy = list({p for ps in split if ps is not None for p in ps if p not in kept})
+            hard = [c for c, ps in zip(chunks, split) if ps is None and c not in kept]
+        fresh: dict[str, bytes] = {}
+        together(easy, fresh)
+        singly(hard, fresh)
+        if len(kept) < KEPT_PIECES:
+            kept.update(islice(fresh.items(), KEPT_PIECES - len(kept)))
+
+        def of(piece: str) -> bytes:
+            own = kept.get(piece)
+            return fresh[piece] if own is None else own
+
         if glued:
-            simple = [c[:1] == " " and c.count(" ") == 1 and len(c) > 1 for c in chunks]
+            found = [of(c) for c in chunks]
         else:
-            simple = [_plain_word(c) for c in chunks]
-        easy = iter(together([c for c, s in zip(chunks, simple) if s]))
-        hard = iter(singly([c for c, s in zip(chunks, simple) if not s]))
-        return flat_lists([next(easy) if s else next(hard) for s in simple])
+            found = [of(c) if ps is None else b"".join(map(of, ps)) for c, ps in zip(chunks, split)]
+        starts = np.zeros(len(found) + 1, dtype=np.int64)
+        np.cumsum([len(x) // 4 for x in found], out=starts[1:])
+        return np.frombuffer(b"".join(found), dtype=np.uint32), starts
 
     return encode
