@@ -11,15 +11,17 @@ from itertools import islice
 
 import numpy as np
 
-#: Pieces whose ids a Python worker keeps from block to block, the first it meets; a matter
-#: of speed alone, some 50 MB.
-KEPT_PIECES = 1 << 18
+#: Pieces and chunks whose ids a Python worker keeps from block to block, the first it
+#: meets; a matter of speed alone, some 100 MB.
+KEPT_PIECES = 1 << 19
 
 Encoder = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 
 def _plain_word(chunk: str) -> bool:
     """Whether a chunk is surely one word to any pre-tokenizer, in its lower case too."""
+    if chunk.isascii():
+        return chunk.isalpha()
     lower = chunk.lower()
     return (
         chunk.isalpha()
@@ -36,8 +38,6 @@ _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 def _pieces(chunk: str) -> list[str] | None:
     """Plain words and runs of marks that a chunk consists of; None if it has anything else."""
-    if _plain_word(chunk):
-        return [chunk]
     out = []
     for word in _BLANKS.split(chunk):
         if not word:
@@ -62,7 +62,7 @@ def chunk_encoder(path: str, glued: bool, joined: int = 64) -> Encoder:
     a blank; otherwise the plain words and runs of marks of a chunk, whose last id is one
     that ends a word. If the borders found are not as many as the pieces, these pieces are
     encoded one by one. A Python worker keeps the encoder, and with it the ids of the first
-    KEPT_PIECES pieces, over blocks and tasks.
+    KEPT_PIECES pieces and chunks, over blocks and tasks.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -106,30 +106,32 @@ def chunk_encoder(path: str, glued: bool, joined: int = 64) -> Encoder:
                 out.update((c, flat[a:b]) for c, a, b in zip(group, bounds, bounds[1:]))
 
     def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        split: list[list[str] | None] = []
+        new = [c for c in chunks if c not in kept]
+        composed: dict[str, list[str]] = {}
+        hard: list[str] = []
         if glued:
-            new = [c for c in chunks if c not in kept]
             simple = [c[:1] == " " and c.count(" ") == 1 and len(c) > 1 for c in new]
             easy = [c for c, s in zip(new, simple) if s]
             hard = [c for c, s in zip(new, simple) if not s]
         else:
-            split = [_pieces(c) for c in chunks]
-            easy = list({p for ps in split if ps is not None for p in ps if p not in kept})
-            hard = [c for c, ps in zip(chunks, split) if ps is None and c not in kept]
+            words: set[str] = set()
+            for c in new:
+                if _plain_word(c):
+                    words.add(c)
+                elif (pieces := _pieces(c)) is None:
+                    hard.append(c)
+                else:
+                    composed[c] = pieces
+                    words.update(pieces)
+            easy = [w for w in words if w not in kept]
         fresh: dict[str, bytes] = {}
         together(easy, fresh)
         singly(hard, fresh)
+        for c, pieces in composed.items():
+            fresh[c] = b"".join([kept[x] if x in kept else fresh[x] for x in pieces])
+        found = [kept[c] if c in kept else fresh[c] for c in chunks]
         if len(kept) < KEPT_PIECES:
             kept.update(islice(fresh.items(), KEPT_PIECES - len(kept)))
-
-        def of(piece: str) -> bytes:
-            own = kept.get(piece)
-            return fresh[piece] if own is None else own
-
-        if glued:
-            found = [of(c) for c in chunks]
-        else:
-            found = [of(c) if ps is None else b"".join(map(of, ps)) for c, ps in zip(chunks, split)]
         starts = np.zeros(len(found) + 1, dtype=np.int64)
         np.cumsum([len(x) // 4 for x in found], out=starts[1:])
         return np.frombuffer(b"".join(found), dtype=np.uint32), starts
