@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .common import attach
 
-#: The usual one-line notices of each licence, under its SPDX identifier.
+#: The usual one-line notices of each licence, under its SPDX identifier.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
@@ -30,96 +31,201 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain, Unlicense.",
 }
-#: A line is looked at if it has one of these.
+#: Words of notices; nothing is left out by them, since every line and window is scored.
 MARKERS = ("licens", "licenc", "spdx", "public domain")
+
+#: Longer templates, several of a licence.
+TEXTS: list[tuple[str, str]] = []
+#: Words so common that a text with no other word of the templates has no notice: in every
+#: template their share of the squared weight is below ``MIN_COSINE ** 2``, and no cosine is
+#: higher than the root of the share that a text's words have.
+COMMON = frozenset(
+    "a all and are as at be by for from in is it its not of on one so that the this to"
+    " was with".split()
+)
 #: Names of files that hold the licence of their directory.
 LICENCE_FILES = r"^(?i)(licen[sc]e|copying|unlicense|notice)([.\-_].*)?$"
 #: Least cosine of a notice.
 MIN_COSINE = 0.6
+#: Different words that a notice shares with its template; a single word is none.
+MIN_SHARED = 2
 
 _TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
 
 
-def template_weights() -> tuple[dict[str, dict[str, float]], dict[str, float], float]:
-    """Unit TF-IDF vector of each template, idf of each token, and that of any other."""
-    counts = {name: Counter(re.findall(_TOKEN, text.lower())) for name, text in TEMPLATES.items()}
+def _counted(texts: list[str]) -> tuple[list[dict[str, float]], dict[str, float], float]:
+    counts = [Counter(re.findall(_TOKEN, text.lower())) for text in texts]
     total = len(counts)
-    seen = Counter(token for c in counts.values() for token in c)
+    seen = Counter(token for c in counts for token in c)
     idf = {token: math.log((1 + total) / (1 + df)) + 1 for token, df in seen.items()}
-    vectors = {}
-    for name, c in counts.items():
+    vectors = []
+    for c in counts:
         raw = {token: n * idf[token] for token, n in c.items()}
         norm = math.sqrt(sum(v * v for v in raw.values()))
-        vectors[name] = {token: v / norm for token, v in raw.items()}
+        vectors.append({token: v / norm for token, v in raw.items()})
     return vectors, idf, math.log(1 + total) + 1
 
 
-def _notices(text: Column) -> Column:
-    """The best template of every line with a marker: ``array<struct<line, score, licence>>``."""
-    vectors, idf, other = template_weights()
-    lines = F.filter(
-        F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), F.lower(x).alias("s"))),
-        lambda x: F.rlike(x["s"], F.lit("|".join(MARKERS))),
-    )
-    idf_of = F.map_from_arrays(
-        F.array(*map(F.lit, idf)), F.array(*map(F.lit, idf.values()))
-    )
-    templates = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("licence"),
-                F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w).alias("w")) for t, w in v.items()]).alias("v"),
-            )
-            for name, v in vectors.items()
+def template_weights() -> tuple[dict[str, dict[str, float]], dict[str, float], float]:
+    """Unit TF-IDF vector of each one-line notice, idf of each token, and that of any other."""
+    vectors, idf, other = _counted(list(TEMPLATES.values()))
+    return dict(zip(TEMPLATES, vectors)), idf, other
+
+
+def text_weights() -> tuple[list[dict[str, float]], dict[str, float], float]:
+    """The same for TEXTS, in their order."""
+    return _counted([text for _, text in TEXTS])
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value made once: a one-element array binds it to a name."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _sum(values: Column, of) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + of(x))
+
+
+def _scored(text: Column) -> Column:
+    """Every line and window that fits a template: ``array<struct<line, score, licence>>``."""
+    short, long = template_weights(), text_weights()
+    sizes = [len(re.findall(_TOKEN, text.lower())) for text in (*TEMPLATES.values(), *[t for _, t in TEXTS])]
+    names = [*TEMPLATES, *[name for name, _ in TEXTS]]
+    literal = json.dumps(
+        [
+            {"licence": name, "n": n, "long": k >= len(TEMPLATES), "v": v}
+            for k, (name, n, v) in enumerate(zip(names, sizes, [*short[0].values(), *long[0]]))
         ]
     )
+    templates = F.from_json(
+        F.lit(literal), "array<struct<licence: string, n: int, long: boolean, v: map<string, double>>>"
+    )
+    vocabulary = sorted(short[1].keys() | long[1].keys())
+    idfs = [F.from_json(F.lit(json.dumps(idf)), "map<string, double>") for _, idf, _ in (short, long)]
+    least_square = MIN_COSINE * MIN_COSINE - 1e-9
 
-    def best(x: Column) -> Column:
-        tokens = F.regexp_extract_all(x["s"], F.lit(_TOKEN), F.lit(0))
-        weighted = F.transform(
-            F.array_distinct(tokens),
-            lambda t: F.struct(
-                t.alias("t"),
-                (
-                    F.size(F.filter(tokens, lambda u: u == t))
-                    * F.coalesce(F.try_element_at(idf_of, t), F.lit(other))
-                ).alias("w"),
+    def idf(t: Column, k: int) -> Column:
+        other = F.lit((short, long)[k][2])
+        return F.when(t.isin(vocabulary), F.coalesce(F.try_element_at(idfs[k], t), other)).otherwise(other)
+
+    tokens = F.flatten(
+        F.transform(
+            F.split(F.lower(text), "\n"),
+            lambda x, i: F.transform(
+                F.regexp_extract_all(x, F.lit(_TOKEN), F.lit(0)),
+                lambda t: F.struct(t.alias("t"), i.alias("line"), idf(t, 0).alias("s"), idf(t, 1).alias("l")),
             ),
         )
+    )
+
+    def fits(m: Column, tokens: Column, lines: Column) -> Column:
+        """Lines and windows whose cosine to one template is high enough."""
+
+        def weighted(x: Column) -> Column:
+            i = F.when(m["long"], x["l"]).otherwise(x["s"])
+            v = F.when(x["t"].isin(vocabulary), F.try_element_at(m["v"], x["t"]))
+            return F.struct(
+                x["t"].alias("t"), x["line"].alias("line"), i.alias("i"), (F.coalesce(v, F.lit(0.0)) * i).alias("g")
+            )
 
-        def scored(ws: Column) -> Column:
-            norm = F.sqrt(F.aggregate(ws, F.lit(0.0), lambda s, w: s + w["w"] * w["w"]))
-            fits = F.transform(
-                templates,
-                lambda m: F.struct(
-                    F.round(
-                        F.aggregate(
-                            m["v"],
-                            F.lit(0.0),
-                            lambda s, e: s
-                            + e["w"]
-                            * F.coalesce(F.get(F.filter(ws, lambda w: w["t"] == e["t"]), F.lit(0))["w"], F.lit(0.0)),
-                        )
-                        / norm,
-                        9,
-                    ).alias("score"),
+        def units(ws: Column) -> Column:
+            n = F.size(ws)
+            width = F.least(m["n"], n)
+            # a window lies in two blocks of its width, and its norm is at least the root of that
+            blocks = F.filter(
+                F.sequence(F.lit(0), n - width, width),
+                lambda b: _sum(F.slice(ws, b + 1, 2 * width), lambda w: w["g"])
+                >= MIN_COSINE * F.sqrt(width.cast("double")) - 1e-9,
+            )
+            windows = F.flatten(F.transform(blocks, lambda b: F.sequence(b, F.least(b + width - 1, n - width))))
+            ranges = F.concat(
+                lines, F.transform(windows, lambda s: F.struct(s.alias("at"), width.alias("n")))
+            )
+            found = F.transform(ranges, lambda r: _let(F.slice(ws, r["at"] + 1, r["n"]), cosine))
+            return F.filter(found, lambda x: F.coalesce(x["score"] >= MIN_COSINE, F.lit(False)))
+
+        def cosine(ws: Column) -> Column:
+            dot, squares = _sum(ws, lambda w: w["g"]), _sum(ws, lambda w: w["i"] * w["i"])
+
+            def exact(d: Column) -> Column:
+                norm = F.sqrt(
+                    _sum(ws, lambda w: w["i"] * w["i"] * F.size(F.filter(ws, lambda u: u["t"] == w["t"])))
+                )
+                return F.struct(
+                    F.get(ws, F.lit(0))["line"].alias("line"),
+                    F.round(d / norm, 9).alias("score"),
                     m["licence"].alias("licence"),
-                ),
+                )
+
+            # squares of single tokens are at most those of equal ones together
+            shared = F.size(F.array_distinct(F.transform(F.filter(ws, lambda w: w["g"] > 0), lambda w: w["t"])))
+            return _let(
+                dot,
+                lambda d: F.when((d * d >= least_square * squares) & (d > 0) & (shared >= MIN_SHARED), exact(d)),
+            )
+
+        return _let(F.transform(tokens, weighted), units)
+
+    def of_text(chosen: Column) -> Column:
+        def placed(tokens: Column) -> Column:
+            places = F.filter(
+                F.sequence(F.lit(0), F.size(tokens) - 1),
+                lambda i: (i == 0) | (F.get(tokens, i)["line"] != F.get(tokens, i - 1)["line"]),
+            )
+
+            def ranges(p: Column) -> Column:
+                return F.transform(
+                    p,
+                    lambda s, k: F.struct(
+                        s.alias("at"), (F.coalesce(F.get(p, k + 1), F.size(tokens)) - s).alias("n")
+                    ),
+                )
+
+            return _let(
+                _let(places, ranges),
+                lambda lines: F.flatten(F.transform(chosen, lambda m: fits(m, tokens, lines))),
             )
-            return F.array_max(fits)
 
-        # a one-element array binds the weights to a name
-        top = F.get(F.transform(F.array(weighted), scored), F.lit(0))
-        return F.struct(top["score"].alias("score"), x["line"].alias("line"), top["licence"].alias("licence"))
+        return F.when(F.size(chosen) > 0, _let(tokens, placed))
 
-    return F.filter(F.transform(lines, best), lambda b: b["score"] >= MIN_COSINE)
+    def possible(present: Column) -> Column:
+        """The templates of whose squared weight a text's words hold enough."""
+
+        def enough(m: Column) -> Column:
+            vs = F.filter(F.transform(present, lambda t: F.try_element_at(m["v"], t)), F.isnotnull)
+            return _let(
+                vs, lambda vs: (F.size(vs) >= MIN_SHARED) & (_sum(vs, lambda v: v * v) >= least_square)
+            )
+
+        return F.filter(templates, enough)
+
+    def strings(values: list[str]) -> Column:
+        return F.from_json(F.lit(json.dumps(values)), "array<string>")
+
+    def of_words(words: Column) -> Column:
+        found = _let(_let(F.array_intersect(words, strings(vocabulary)), possible), of_text)
+        return F.when(F.arrays_overlap(words, strings([t for t in vocabulary if t not in COMMON])), found)
+
+    none = F.lit([]).cast("array<struct<line: int, score: double, licence: string>>")
+    return F.coalesce(_let(F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0)), of_words), none)
+
+
+def _notices(text: Column) -> Column:
+    """The best notice that begins on each line: ``array<struct<line, score, licence>>``."""
+    found = F.sort_array(_scored(text))
+    return _let(
+        found,
+        lambda all_: F.filter(all_, lambda x, i: F.coalesce(F.get(all_, i + 1)["line"] != x["line"], F.lit(True))),
+    )
 
 
 def own_licences(files: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """Every row with ``path, notices, own``: all notices of its text, and the best one.
 
-    Whole texts are read, line by line, in one pass without a shuffle. Of equal scores the
-    earlier line wins.
+    Scored are all lines and, over the whole text, all windows as long as a template in
+    words, so that wrapped, embedded and full texts count like one-line notices. Whatever is
+    passed over is shown beforehand to score below MIN_COSINE. One pass without a shuffle.
+    Of equal scores the earlier line wins.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = files.select("*", _notices(text).alias("notices"))
