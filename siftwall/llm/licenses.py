@@ -34,8 +34,132 @@ TEMPLATES = {
 #: Words of notices; nothing is left out by them, since every line and window is scored.
 MARKERS = ("licens", "licenc", "spdx", "public domain")
 
-#: Longer templates, several of a licence.
-TEXTS: list[tuple[str, str]] = []
+_FSF = (
+    "Everyone is permitted to copy and distribute verbatim copies of this license document,"
+    " but changing it is not allowed."
+)
+_GNU = (
+    "This {what} is free software; you can redistribute it and/or modify it under the terms of the"
+    " GNU {name}General Public License as published by the Free Software Foundation; either version"
+    " {version} of the License, or (at your option) any later version."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted"
+    " provided that the following conditions are met: 1. Redistributions of source code must retain"
+    " the above copyright notice, this list of conditions and the following disclaimer."
+    " 2. Redistributions in binary form must reproduce the above copyright notice, this list of"
+    " conditions and the following disclaimer in the documentation and/or other materials provided"
+    " with the distribution."
+)
+_BSD_END = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR"
+    " IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY"
+    " AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+)
+_CC = (
+    "This work is licensed under the Creative Commons {name} 4.0 International License. To view a copy"
+    " of this license, visit http://creativecommons.org/licenses/{short}/4.0/ or send a letter to"
+    " Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."
+)
+_CC_OPEN = (
+    "Creative Commons {name} 4.0 International Public License By exercising the Licensed Rights"
+    " (defined below), You accept and agree to be bound by the terms and conditions of this Creative"
+    " Commons {name} 4.0 International Public License (\"Public License\")."
+)
+_CC_KINDS = {
+    "CC-BY-4.0": ("Attribution", "by"),
+    "CC-BY-SA-4.0": ("Attribution-ShareAlike", "by-sa"),
+    "CC-BY-NC-4.0": ("Attribution-NonCommercial", "by-nc"),
+    # not among the notices, but else they would be taken for one of the three above
+    "CC-BY-ND-4.0": ("Attribution-NoDerivatives", "by-nd"),
+    "CC-BY-NC-SA-4.0": ("Attribution-NonCommercial-ShareAlike", "by-nc-sa"),
+    "CC-BY-NC-ND-4.0": ("Attribution-NonCommercial-NoDerivatives", "by-nc-nd"),
+}
+#: Standard headers and the opening text of licence files, several of a licence.
+TEXTS = [
+    (
+        "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except"
+        " in compliance with the License. You may obtain a copy of the License at"
+        " http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in"
+        " writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT"
+        " WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    ),
+    (
+        "Apache-2.0",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR"
+        " USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions.",
+    ),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and"
+        " associated documentation files (the \"Software\"), to deal in the Software without restriction,"
+        " including without limitation the rights to use, copy, modify, merge, publish, distribute,"
+        " sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is"
+        " furnished to do so, subject to the following conditions:",
+    ),
+    ("BSD-2-Clause", _BSD + _BSD_END),
+    (
+        "BSD-3-Clause",
+        _BSD
+        + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to"
+        " endorse or promote products derived from this software without specific prior written permission."
+        + _BSD_END,
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without"
+        " fee is hereby granted, provided that the above copyright notice and this permission notice appear"
+        " in all copies.",
+    ),
+    ("GPL-2.0", _GNU.format(what="program", name="", version="2")),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. " + _FSF),
+    ("GPL-3.0", _GNU.format(what="program", name="", version="3")),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. " + _FSF),
+    ("AGPL-3.0", _GNU.format(what="program", name="Affero ", version="3")),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. " + _FSF),
+    ("LGPL-2.1", _GNU.format(what="library", name="Lesser ", version="2.1")),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. " + _FSF),
+    # not among the notices, but else it would be taken for another of the GNU licences
+    ("LGPL-3.0", _GNU.format(what="library", name="Lesser ", version="3")),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. " + _FSF),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of"
+        " the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    (
+        "MPL-2.0",
+        "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or"
+        " legal entity that creates, contributes to the creation of, or owns Covered Software.",
+    ),
+    (
+        "CC0-1.0",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring"
+        " rights to this work. http://creativecommons.org/publicdomain/zero/1.0/",
+    ),
+    (
+        "CC0-1.0",
+        "CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES."
+        " DISTRIBUTION OF THIS DOCUMENT DOES NOT CREATE AN ATTORNEY-CLIENT RELATIONSHIP.",
+    ),
+    *[(name, _CC.format(name=long, short=short)) for name, (long, short) in _CC_KINDS.items()],
+    *[(name, _CC_OPEN.format(name=long)) for name, (long, _) in _CC_KINDS.items()],
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy,"
+        " modify, publish, use, compile, sell, or distribute this software, either in source code form or as"
+        " a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+]
+#: Identifiers of SPDX tags, in lower case; tags are read rather than scored.
+SPDX = {
+    name.lower(): name
+    for name in (*TEMPLATES, "LGPL-3.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0")
+}
+SPDX |= {
+    f"{name.lower()}{end}": name for name in SPDX.values() if "GPL" in name for end in ("-only", "-or-later", "+")
+}
 #: Words so common that a text with no other word of the templates has no notice: in every
 #: template their share of the squared weight is below ``MIN_COSINE ** 2``, and no cosine is
 #: higher than the root of the share that a text's words have.
@@ -210,9 +334,27 @@ def _scored(text: Column) -> Column:
     return F.coalesce(_let(F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0)), of_words), none)
 
 
+def _tagged(text: Column) -> Column:
+    """What SPDX tags name, at score 1: the first known identifier of each tag."""
+    known = F.from_json(F.lit(json.dumps(SPDX)), "map<string, string>")
+
+    def named(x: Column, i: Column) -> Column:
+        after = F.regexp_extract(x, r"spdx-license-identifier:(.*)", 1)
+        ids = F.transform(
+            F.regexp_extract_all(after, F.lit(r"[a-z0-9.+-]+"), F.lit(0)), lambda t: F.try_element_at(known, t)
+        )
+        return F.struct(
+            i.alias("line"), F.lit(1.0).alias("score"), F.get(F.filter(ids, F.isnotnull), F.lit(0)).alias("licence")
+        )
+
+    tags = F.filter(F.transform(F.split(F.lower(text), "\n"), named), lambda x: x["licence"].isNotNull())
+    none = F.lit([]).cast("array<struct<line: int, score: double, licence: string>>")
+    return F.when(F.contains(F.lower(text), F.lit("spdx-license-identifier:")), tags).otherwise(none)
+
+
 def _notices(text: Column) -> Column:
     """The best notice that begins on each line: ``array<struct<line, score, licence>>``."""
-    found = F.sort_array(_scored(text))
+    found = F.sort_array(F.concat(_tagged(text), _scored(text)))
     return _let(
         found,
         lambda all_: F.filter(all_, lambda x, i: F.coalesce(F.get(all_, i + 1)["line"] != x["line"], F.lit(True))),
