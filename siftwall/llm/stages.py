@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..session import stage
 from . import exact_dedup as dedup
 from . import gam, jaccard_join, quality_rules as rules
 from . import packing as packer
@@ -31,13 +33,31 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one that names it.
+    """One row of each component: the one that names it, by id and then by text.
 
-    Rows that share an id stay or go together, and rows without an id stay.
+    A row is known by its id and the hash of its text, so rows that share an id or have none
+    are judged each on their own. Rows with ids name a component before those without.
     """
-    found = jaccard_join.jaccard_components(docs)
-    dropped = small(found.where("id IS NOT NULL AND id <> component_id").select("id").distinct())
-    return docs.join(dropped, docs["doc_id"] == dropped["id"], "left_anti")
+    of_text = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), of_text.alias("f"))
+    keyed = docs.select(key.alias("doc_id"), "text")
+    found = stage(jaccard_join.jaccard_components(keyed), "near-found").where("n_shingles > 0")
+
+    def keys(rows: DataFrame) -> DataFrame:
+        return small(rows.select(F.col("id.id").alias("__id"), F.col("id.f").alias("__f")).distinct(), 200_000)
+
+    def matches(rows: DataFrame, own_keys: DataFrame):
+        return rows["doc_id"].eqNullSafe(own_keys["__id"]) & (of_text == own_keys["__f"])
+
+    dropped = keys(found.where("id <> component_id"))
+    kept = docs.join(dropped, matches(docs, dropped), "left_anti")
+    again = found.where("id = component_id").groupBy("id").count().where("count > 1")
+    if again.isEmpty():
+        return kept
+    # rows that repeat the id and text of the row that stays
+    twice = keys(again)
+    once = kept.join(twice, matches(kept, twice), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, matches(kept, twice), "left_anti").unionByName(once)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
