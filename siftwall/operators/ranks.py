@@ -125,7 +125,8 @@ def median(rows: DataFrame, column: str) -> DataFrame:
     sketch first fences the middle in: with a rank error of at most 1 / ACCURACY, the
     sketched values at 2 / ACCURACY below and above the half enclose both middle ranks.
     Rows below the fence are only counted, and exact ranks are looked up among the few
-    values inside it.
+    values inside it. Should the sketch break its bound and the fence miss a middle rank,
+    the median is looked up in buckets of all values instead.
     """
     values = rows.select(F.col(column).cast("double").alias("value")).where(
         F.col("value").isNotNull()
@@ -150,15 +151,23 @@ def median(rows: DataFrame, column: str) -> DataFrame:
         "rows", fence["rows"]
     )
 
-    def at(rank: Column) -> Column:
-        holds = (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
+    def at(rank: Column, before: Column) -> Column:
+        holds = (before <= rank) & (rank < before + F.col("n"))
         return F.max(F.when(holds, F.col("value")))
 
-    return table.agg(
-        (
-            (at(F.floor((F.col("rows") - 1) / 2)) + at(F.floor(F.col("rows") / 2))) / 2
-        ).alias("median")
+    def middle(table: DataFrame, before: Column) -> DataFrame:
+        lower, upper = F.floor((F.col("rows") - 1) / 2), F.floor(F.col("rows") / 2)
+        return table.agg(((at(lower, before) + at(upper, before)) / 2).alias("median"))
+
+    fenced = middle(table, F.col("upto") - F.col("n"))
+    # without rows, and so without work, where the fence held
+    missed = values.where(fenced.scalar().isNull()).groupBy("value").agg(F.count("*").alias("n"))
+    bounded = missed.withColumn("metric", F.lit(0)).withColumn(
+        "bounds",
+        values.agg(F.percentile_approx("value", [i / BUCKETS for i in range(1, BUCKETS)], 1000)).scalar(),
     )
+    exact = middle(cumulative(bounded, "metric", _bucket()), F.col("before"))
+    return fenced.select(F.coalesce("median", exact.scalar()).alias("median"))
 
 
 def mad_cutoff(rows: DataFrame, column: str, multiplier: float) -> DataFrame:
