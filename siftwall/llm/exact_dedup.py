@@ -52,27 +52,31 @@ def exact_dedup(
     on every row. An empty table gives an empty result; other columns of ``docs`` are
     ignored.
 
-    The first scan makes a narrow table of lengths and prefix hashes, on which groups are
-    refined; the second hashes the full content of the survivors. Counting is combined
+    The first scan finds the lengths that several rows have, the second hashes the prefixes
+    of rows with these, and the third hashes the full content of the survivors. Counting is combined
     map-side, so a group of any size reaches its reducer as one row per task.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    described = docs.select(
-        F.octet_length(text).cast("long").alias("n"),
-        F.xxhash64(F.substring(text, 1, prefix_chars)).alias("p"),
-    )
-    lengths = described.groupBy("n", "p").agg(F.count("*").alias("c"))
-    heads = stage(lengths, "dedup-heads")
-    shared = heads.groupBy("n").agg(F.sum("c").alias("of_length")).where("of_length > 1")
-    survivors = stage(
-        heads.where("c > 1").join(shared, "n", "left_semi").select("n", "p"), "dedup-survivors"
+    size = F.octet_length(text).cast("long")
+    prefix = F.xxhash64(F.substring(text, 1, prefix_chars))
+    lengths = docs.groupBy(size.alias("n")).agg(F.count("*").alias("c")).where("c > 1")
+    shared = small(stage(lengths.select("n"), "dedup-lengths"))
+    # a prefix is hashed only if another row has the length
+    described = docs.select(size.alias("n"), F.substring(text, 1, prefix_chars).alias("start"))
+    heads = (
+        described.join(shared, "n", "left_semi")
+        .groupBy("n", F.xxhash64("start").alias("p"))
+        .agg(F.count("*").alias("c"))
     )
+    survivors = stage(heads.where("c > 1").select("n", "p"), "dedup-survivors")
     # rows outside the surviving groups are never hashed in full
     own = docs.select(
         F.col(id_col).alias("id"),
-        F.octet_length(text).cast("long").alias("n"),
-        F.xxhash64(F.substring(text, 1, prefix_chars)).alias("p"),
+        size.alias("n"),
         text.alias("t"),
+    ).join(shared.withColumn("of_length", F.lit(True)), "n", "left")
+    own = own.withColumn(
+        "p", F.when(F.col("of_length"), F.xxhash64(F.substring("t", 1, prefix_chars)))
     ).join(small(survivors.withColumn("again", F.lit(True))), ["n", "p"], "left")
     rows = stage(
         own.select(
