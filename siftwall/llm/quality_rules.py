@@ -108,13 +108,14 @@ def _repeated_words(words: Column) -> Column:
     """Words covered by 3-word windows that occur at least twice.
 
     A window is one number, its hash above its place, so that equal ones stand side by side
-    once sorted; neighbours are then compared by their words. The cost grows as n log n
-    with the text, and nothing leaves the row.
+    once sorted; neighbours are then compared by their words. Beyond 2^20 words places
+    leave a hash too few bits to tell windows apart, so hash, words and place are sorted.
+    The cost grows as n log n with the text, and nothing leaves the row.
     """
     n = F.size(words)
     # the longer the text, the more bits its places take
-    low = F.lit((1 << 31) - 1).cast("long")
-    for bits in (20, 16, 12, 8):
+    low = F.lit((1 << 20) - 1).cast("long")
+    for bits in (16, 12, 8):
         low = F.when(n <= 1 << bits, F.lit((1 << bits) - 1).cast("long")).otherwise(low)
 
     def same(i: Column, j: Column) -> Column:
@@ -152,7 +153,27 @@ def _repeated_words(words: Column) -> Column:
         found = F.flatten(F.transform(F.array(F.sort_array(numbers)), repeated))
         return F.size(F.array_distinct(found))
 
-    counted = F.get(F.transform(F.array(low), count), F.lit(0))
+    def covered(ordered: Column) -> Column:
+        def like(x: Column, y: Column) -> Column:
+            return F.coalesce((x["h"] == y["h"]) & (x["w"] == y["w"]), F.lit(False))
+
+        twice = F.filter(
+            ordered,
+            lambda x, k: like(x, F.get(ordered, k + 1)) | ((k > 0) & like(x, F.get(ordered, k - 1))),
+        )
+        places = F.transform(twice, lambda x: x["i"])
+        return F.concat(places, F.transform(places, lambda i: i + 1), F.transform(places, lambda i: i + 2))
+
+    def window(w: Column, i: Column) -> Column:
+        three = F.array(w, F.get(words, i + 1), F.get(words, i + 2))
+        return F.struct(
+            F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), three.alias("w"), i.alias("i")
+        )
+
+    windows = F.sort_array(F.transform(F.slice(words, 1, n - 2), window))
+    long = F.size(F.array_distinct(F.flatten(F.transform(F.array(windows), covered))))
+    short = F.get(F.transform(F.array(low), count), F.lit(0))
+    counted = F.when(n > 1 << 20, long).otherwise(short)
     return F.when(n >= 4, counted).otherwise(F.lit(0)).cast("long")
 
 
