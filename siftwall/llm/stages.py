@@ -23,7 +23,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the line-first rules; the rows keep all columns."""
+    """Documents that pass the line-first rules; the rows keep all columns.
+
+    Only the verdict on the document is applied: lines that break a rule stay in its text.
+    """
     return rules.keep_good(docs)
 
 
