@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, exact_dedup, gam, hmm, jaccard_join, licenses, packing, quality_rules, token_files
+from . import byte_bpe, chat, code_vectors, exact_dedup, gam, hmm, html_text, jaccard_join, licenses, packing
+from . import prefix_trie, quality_rules, sql, token_files
 from .common import id_bucket, table
 
 #: At most so many labelled rows are gathered to fit the quality classifier.
@@ -126,6 +127,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(manifest).withColumnRenamed("id", "doc_id")
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def op12_code_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = code_vectors.compress_vectors(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+    return coded.select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256"
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -137,15 +153,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_license_scan": op9_license_scan,
     "op10_token_files": op10_token_files,
+    "op11_html_text": op11_html_text,
+    "op12_code_vectors": op12_code_vectors,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 SQL: dict[str, str] = {
-    "op1_exact_dedup": """
-        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
-        SELECT doc_id,
-               max(doc_id) OVER (PARTITION BY t) AS keep_id,
-               count(*) OVER (PARTITION BY t) AS group_size,
-               doc_id = max(doc_id) OVER (PARTITION BY t) AS kept,
-               sha256(t) AS text_sha256
-        FROM d""",
+    "op1_exact_dedup": sql.EXACT_DEDUP,
+    "op11_html_text": sql.HTML_TEXT,
+    "op12_code_vectors": sql.CODE_VECTORS,
+    "op13_prefix_trie": sql.PREFIX_TRIE,
 }
