@@ -54,6 +54,7 @@ _DIVISIONS = frozenset(
 _BLOCKS = _DIVISIONS | frozenset(
     "p h1 h2 h3 h4 h5 h6 li dt dd pre caption figcaption summary legend hr option".split()
 )
+_HEADINGS = ("h1", "h2", "h3")
 _CLOSED_BY_SELF = frozenset("li dt dd tr td th option".split())
 #: Names of classes and ids of blocks that are not the article.
 _NAMES = frozenset(
@@ -112,10 +113,10 @@ def _wall(tag: str, attributes: str, inside: bool) -> str:
 
 
 class _Lines:
-    """Lines of one page: text, weight, container, and the article and main they are in."""
+    """Lines of one page: text, weight, container, the article and main around, if a heading."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[str, int, int, int, int]] = []
+        self.rows: list[tuple[str, int, int, int, int, bool]] = []
         self.parents = [0]
         self.whole = {0}  # the elements that hold the page as a whole
         self.articles: Counter[int] = Counter()  # main element -> articles in it
@@ -138,7 +139,9 @@ class _Lines:
             words = "".join(self.pieces).split()
             if words:
                 weight = sum(map(len, words)) - self.linked
-                self.rows.append((" ".join(words), max(0, weight), self.container, self.article, self.main))
+                title = any(self.open[h] for h in _HEADINGS)
+                place = (self.container, self.article, self.main)
+                self.rows.append((" ".join(words), max(0, weight), *place, title))
             self.pieces = []
         self.linked = 0
 
@@ -264,7 +267,8 @@ def main_text(page: str | None) -> str:
 
     Where the page has an article or main element, only lines inside the heaviest one count
     and any weight is a surge. Elsewhere the heaviest run between surge and dive is taken
-    and widened to lines of the element that holds most of it. Work is linear in the page.
+    and widened to lines of the element that holds most of it and to titles right above.
+    Work is linear in the page.
     """
     if not page:
         return ""
@@ -281,13 +285,10 @@ def main_text(page: str | None) -> str:
         runs = _runs([r[1] for r in rows], 1)
         if not runs:
             return ""
-        first, last = runs[0][0], runs[-1][1]
-        # titles and paragraphs that are links as a whole
-        while first > 0 and rows[first - 1][2] == rows[first][2]:
-            first -= 1
-        while last + 1 < len(rows) and rows[last + 1][2] == rows[last][2]:
-            last += 1
-        return "\n".join(r[0] for r in rows[first : last + 1])
+        # up to titles and paragraphs that are links as a whole, next to others of the text
+        homes = {r[2] for r in rows[runs[0][0] : runs[-1][1] + 1] if r[1]}
+        places = [i for i, r in enumerate(rows) if r[2] in homes]
+        return "\n".join(r[0] for r in rows[places[0] : places[-1] + 1])
     weights = [r[1] for r in rows]
     most = max((sum(weights[i : i + WINDOW]) for i in range(len(weights))), default=0)
     runs = _runs(weights, max(1, min(SURGE, most // SHARE))) if most else []
@@ -299,12 +300,13 @@ def main_text(page: str | None) -> str:
         first += 1
     while not inside[rows[last][2]]:
         last -= 1
-    if home in lines.whole:  # such an element tells nothing about the article's edges
-        return "\n".join(r[0] for r in rows[first : last + 1])
-    while first > 0 and inside[rows[first - 1][2]]:
+    if home not in lines.whole:  # such an element tells nothing about the article's edges
+        while first > 0 and inside[rows[first - 1][2]]:
+            first -= 1
+        while last + 1 < len(rows) and inside[rows[last + 1][2]]:
+            last += 1
+    while first > 0 and rows[first - 1][5]:
         first -= 1
-    while last + 1 < len(rows) and inside[rows[last + 1][2]]:
-        last += 1
     return "\n".join(r[0] for r in rows[first : last + 1])
 
 
