@@ -5,8 +5,11 @@ straight form, a window over all rows of an IP, puts a hot IP into one task. Her
 rows are first folded into *cells*: aligned time slots one gap wide. Two rows of one
 cell are always less than a gap apart, so a cell never straddles a session border
 and the fold is exact. It combines map-side, so what is left of an IP depends on the
-time spanned (at most span / gap cells) and no longer on its number of rows; only
-these cells are ordered in a window.
+time spanned (at most span / gap cells) and no longer on its number of rows.
+
+Cells are ordered per *chunk* of ``CHUNK_CELLS`` cells, not over the whole span. Only the first
+and the last session of a chunk can go on in a neighbouring chunk; these are put in order
+among themselves, two rows per chunk, and stitched where the gap allows.
 """
 
 from __future__ import annotations
@@ -22,6 +25,10 @@ from ..functions.predicates import quoted
 from ..schema import ALERT_SCHEMA, conform
 
 
+#: Cells of a chunk: what a window of cells holds at most.
+CHUNK_CELLS = 4096
+
+
 @dataclass(frozen=True)
 class BurstRule:
     """One burst detector: which rows, what is measured, and when it alerts.
@@ -51,7 +58,7 @@ class BurstRule:
 def burst_sessions(events: DataFrame, rules: Sequence[BurstRule]) -> DataFrame:
     """All sessions of all rules: ``kind, ip, start_us, end_us, amount``.
 
-    Rules of the same sort share one scan and one shuffle.
+    Rules of the same sort share one scan and the shuffles of cells, chunks and sessions.
     """
     additive = [r for r in rules if r.measure != "distinct"]
     distinct = [r for r in rules if r.measure == "distinct"]
@@ -114,17 +121,51 @@ def _of_rule(values: list) -> str:
     return f"get(array({', '.join(map(str, values))}), rule)"
 
 
-def _with_starts(cells: DataFrame, rules: Sequence[BurstRule]) -> DataFrame:
-    """Add to each cell the first instant of the session it belongs to."""
-    in_order = Window.partitionBy("ip", "rule").orderBy("cell")
+def _chunk(rules: Sequence[BurstRule]) -> str:
+    return f"cell - pmod(cell, {_of_rule([r.cell_micros * CHUNK_CELLS for r in rules])})"
+
+
+def _with_chunk_starts(cells: DataFrame, rules: Sequence[BurstRule]) -> DataFrame:
+    """Add to each cell its chunk and the first instant of its session within the chunk."""
+    chunk = Window.partitionBy("ip", "rule", "chunk")
+    in_order = chunk.orderBy("cell")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     gap = _of_rule([r.gap_micros for r in rules])
     return (
-        cells.withColumn("before", F.lag("last_us").over(in_order))
+        cells.withColumn("chunk", F.expr(_chunk(rules)))
+        .withColumn("before", F.lag("last_us").over(in_order))
         .withColumn(
             "opened_us",
             F.expr(f"CASE WHEN before IS NULL OR first_us - before > {gap} THEN first_us END"),
         )
+        .withColumn("chunk_start", F.max("opened_us").over(so_far))
+        .withColumn("chunk_first", F.min("first_us").over(chunk))
+        .withColumn("chunk_last", F.max("last_us").over(chunk))
+        .drop("before", "opened_us")
+    )
+
+
+def _stitched(parts: DataFrame, rules: Sequence[BurstRule]) -> DataFrame:
+    """Add ``start_us``, the first instant of the whole session.
+
+    ``parts`` has one row per session of a chunk: ``ip, rule, chunk, chunk_start, chunk_end,
+    chunk_first, chunk_last`` and more. Sessions inside a chunk stay in a group of their
+    chunk; only those at its ends meet per (ip, rule).
+    """
+    at_end = "chunk_start = chunk_first OR chunk_end = chunk_last"
+    lane = Window.partitionBy("ip", "rule", "lane")
+    in_order = lane.orderBy("chunk_start")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gap = _of_rule([r.gap_micros for r in rules])
+    return (
+        parts.withColumn("lane", F.expr(f"CASE WHEN {at_end} THEN NULL ELSE chunk END"))
+        .withColumn("before", F.lag("chunk_end").over(in_order))
+        .withColumn(
+            "opened_us",
+            F.expr(
+                f"CASE WHEN before IS NULL OR chunk_start - before > {gap} THEN chunk_start END"
+            ),
+        )
         .withColumn("start_us", F.max("opened_us").over(so_far))
     )
 
@@ -148,10 +189,16 @@ def _additive_sessions(events: DataFrame, rules: Sequence[BurstRule]) -> DataFra
             F.sum("amount").alias("amount"),
         )
     )
+    ends = ["ip", "rule", "chunk", "chunk_start", "chunk_first", "chunk_last"]
+    parts = (
+        _with_chunk_starts(cells, rules)
+        .groupBy(*ends)
+        .agg(F.max("last_us").alias("chunk_end"), F.sum("amount").alias("amount"))
+    )
     sessions = (
-        _with_starts(cells, rules)
-        .groupBy("ip", "rule", "start_us")
-        .agg(F.max("last_us").alias("end_us"), F.sum("amount").alias("amount"))
+        _stitched(parts, rules)
+        .groupBy("ip", "rule", "lane", "start_us")
+        .agg(F.max("chunk_end").alias("end_us"), F.sum("amount").alias("amount"))
     )
     return _named(sessions, rules)
 
@@ -176,7 +223,14 @@ def _distinct_sessions(events: DataFrame, rules: Sequence[BurstRule]) -> DataFra
     cells = items.groupBy("ip", "rule", "cell").agg(
         F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us")
     )
-    starts = _with_starts(cells, rules).selectExpr("ip", "rule", "cell", "start_us AS session")
+    placed = _with_chunk_starts(cells, rules)
+    ends = ["ip", "rule", "chunk", "chunk_start"]
+    parts = placed.groupBy(*ends, "chunk_first", "chunk_last").agg(F.max("last_us").alias("chunk_end"))
+    starts = (
+        placed.select(*ends, "cell")
+        .join(_stitched(parts, rules).select(*ends, F.col("start_us").alias("session")), ends)
+        .select("ip", "rule", "cell", "session")
+    )
     # both uses of items need the same columns, so that its shuffle is shared
     sessions = (
         items.join(starts, ["ip", "rule", "cell"])

@@ -3,9 +3,11 @@
 For each login at ``t`` the failures of its account in ``[t, t + window]`` are counted
 without pairing logins and failures. Time is cut into slots one window wide, so the
 interval of a login reaches from its own slot into the next one and no further.
-Within a slot, failures and interval ends are ordered together and a running count
-gives the failures up to each end; the login's count is what remains of its own slot
-plus what has passed of the next.
+Slots are cut into short cells. Failures are counted per cell, and running sums over the
+at most ``CELLS`` cells of a slot tell what lies before a cell; single rows are put in order
+only within cells that hold the end of an interval. The login's count is what remains of
+its own slot plus what has passed of the next. A window holds the distinct instants of one
+cell (some 2.3 s by default), however many rows an account has.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ KIND = "auth_privilege_escalation"
 LABELED_CONFIDENCE = 0.9
 HEURISTIC_CONFIDENCE = 0.75
 
+# Cells of a slot.
+CELLS = 256
+
 # Order at equal instants: an interval opens before a failure, which comes before
 # the marks that close intervals; both interval ends belong to it.
 _OPEN, _FAILURE, _EARLY, _CLOSE = 0, 1, 2, 3
@@ -78,7 +83,8 @@ def _interval_totals(events: DataFrame, labeled: Column, config: DetectorConfig)
     login = F.expr(P.SSH_ACCEPTED) & (~labeled | (F.col("classification") == KIND))
     # The chain follows the event id alone, whatever the method says.
     failure = F.expr("path = 'sudo/auth_failure'")
-    # Equal rows are folded first: a hot account leaves one row per instant.
+    # Equal rows are folded first: a hot account leaves one failure per instant. A null
+    # episode equals none.
     rows = (
         events.where("auth_user IS NOT NULL AND timestamp IS NOT NULL")
         .where(login | failure)
@@ -113,26 +119,57 @@ def _interval_totals(events: DataFrame, labeled: Column, config: DetectorConfig)
     ).selectExpr(
         "*",
         f"at - pmod(at, {width}) AS slot",
+        f"pmod(at, {width}) div {max(1, -(-width // CELLS))} AS cell",
         f"CASE WHEN order = {_FAILURE} THEN copies END AS hits",
         f"CASE WHEN order = {_FAILURE} THEN at END AS hit_at",
     )
 
     slot = Window.partitionBy("auth_user", "episode", "slot")
-    so_far = slot.orderBy("at", "order").rowsBetween(
+    earlier = slot.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = (
+        marks.groupBy("auth_user", "episode", "slot", "cell")
+        .agg(
+            F.sum("hits").alias("cell_hits"),
+            F.max("hit_at").alias("cell_last"),
+            (F.max("order") != F.min("order")).alias("mixed"),
+            F.min("order").alias("some_order"),
+        )
+        .select(
+            "auth_user",
+            "episode",
+            "slot",
+            "cell",
+            F.sum("cell_hits").over(earlier).alias("before"),
+            F.max("cell_last").over(earlier).alias("before_last"),
+            F.sum("cell_hits").over(slot).alias("in_slot"),
+            F.max("cell_last").over(slot).alias("slot_last"),
+            (F.col("mixed") | (F.col("some_order") != _FAILURE)).alias("has_end"),
+        )
+        .where("has_end")
+        .drop("has_end")
+    )
+    cell = Window.partitionBy("auth_user", "episode", "slot", "cell")
+    so_far = cell.orderBy("at", "order").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    counted = marks.select(
-        "auth_user",
-        "episode",
-        "login",
-        "copies",
-        "slot",
-        "order",
-        F.sum("hits").over(so_far).alias("passed"),
-        F.max("hit_at").over(so_far).alias("passed_at"),
-        F.sum("hits").over(slot).alias("in_slot"),
-        F.max("hit_at").over(slot).alias("slot_last"),
-    ).where("login IS NOT NULL")
+    counted = (
+        marks.join(cells, ["auth_user", "episode", "slot", "cell"])
+        .select(
+            "auth_user",
+            "episode",
+            "login",
+            "copies",
+            "slot",
+            "order",
+            (F.coalesce("before", F.lit(0)) + F.coalesce(F.sum("hits").over(so_far), F.lit(0))).alias(
+                "passed"
+            ),
+            F.coalesce(F.max("hit_at").over(so_far), "before_last").alias("passed_at"),
+            "in_slot",
+            "slot_last",
+        )
+        .where("login IS NOT NULL")
+    )
 
     def at_mark(order: int, value: str) -> Column:
         return F.expr(f"max(CASE WHEN order = {order} THEN {value} END)")
@@ -140,12 +177,12 @@ def _interval_totals(events: DataFrame, labeled: Column, config: DetectorConfig)
     per_login = counted.groupBy("auth_user", "episode", "login").agg(
         F.max("copies").alias("copies"),
         at_mark(_OPEN, "slot").alias("open_slot"),
-        at_mark(_OPEN, "coalesce(in_slot, 0) - coalesce(passed, 0)").alias("rest"),
-        at_mark(_OPEN, "coalesce(passed, 0)").alias("open_passed"),
+        at_mark(_OPEN, "coalesce(in_slot, 0) - passed").alias("rest"),
+        at_mark(_OPEN, "passed").alias("open_passed"),
         at_mark(_OPEN, "slot_last").alias("open_last"),
         at_mark(_EARLY, "slot").alias("early_slot"),
-        at_mark(_EARLY, "coalesce(passed, 0)").alias("early_passed"),
-        at_mark(_CLOSE, "coalesce(passed, 0)").alias("close_passed"),
+        at_mark(_EARLY, "passed").alias("early_passed"),
+        at_mark(_CLOSE, "passed").alias("close_passed"),
         at_mark(_CLOSE, "passed_at").alias("close_last"),
     )
     return per_login.selectExpr(

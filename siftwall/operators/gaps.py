@@ -5,32 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import spread_hot
 
-def interarrival_gaps(events: DataFrame, slot_seconds: int = 300) -> DataFrame:
+
+def interarrival_gaps(events: DataFrame, parts: int | None = None) -> DataFrame:
     """Add ``gap_us``: microseconds since the IP's previous row, null for its first.
 
-    Time is cut into slots; rows are ordered within (ip, slot), and the first row of a
-    slot takes the last instant of the IP's latest earlier slot from a summary with
-    one row per slot. A busy IP is thus spread over as many tasks as it has slots.
+    Rows are ordered per (ip, part): an IP that holds many rows is cut into time ranges by
+    ``spread_hot``, all others are one part. Where there are such IPs, the first rows of
+    their parts, one per part, are put in order among themselves and take the last instant of
+    the part before. Rows without an IP or a time are left out.
     """
-    width = slot_seconds * 1_000_000
-    ts = F.unix_micros("timestamp")
     usable = events.where(F.col("ip").isNotNull() & F.col("timestamp").isNotNull())
-    rows = usable.withColumn("_ts", ts).withColumn(
-        "_slot", F.col("_ts") - F.pmod(F.col("_ts"), F.lit(width))
-    )
-    earlier = (
-        rows.groupBy("ip", "_slot")
-        .agg(F.max("_ts").alias("_last"))
-        .withColumn(
-            "_before", F.lag("_last").over(Window.partitionBy("ip").orderBy("_slot"))
+    rows, cut = spread_hot(usable.withColumn("_ts", F.unix_micros("timestamp")), "ip", "_ts", parts)
+    part = Window.partitionBy("ip", "part")
+    inside = F.lag("_ts").over(part.orderBy("_ts"))
+    found = rows.withColumn("_before", inside)
+    if cut:
+        found = found.withColumn("_last", F.max("_ts").over(part)).withColumn(
+            "_edge", F.when(F.col("_before").isNull(), -2).otherwise(F.col("part"))
         )
-        .select("ip", "_slot", "_before")
-    )
-    inside = F.lag("_ts").over(Window.partitionBy("ip", "_slot").orderBy("_ts"))
-    return (
-        rows.withColumn("_inside", inside)
-        .join(earlier, ["ip", "_slot"])
-        .withColumn("gap_us", F.col("_ts") - F.coalesce("_inside", "_before"))
-        .select(*events.columns, "gap_us")
-    )
+        edges = Window.partitionBy("ip", "_edge").orderBy("part")
+        earlier = F.when(F.col("_edge") == -2, F.lag("_last").over(edges))
+        found = found.withColumn("_before", F.coalesce("_before", earlier))
+    return found.withColumn("gap_us", F.col("_ts") - F.col("_before")).select(*events.columns, "gap_us")
+

@@ -51,3 +51,58 @@ def carried(dealt: DataFrame, keys: Sequence[str], **totals: Column) -> DataFram
     return per_part.select(
         *keys, "part", *[combine[k.split("_")[0]](k).over(earlier).alias(k) for k in totals]
     )
+
+
+#: Sampled rows per part; what reaches the driver is bounded by it.
+SAMPLE_PER_PART = 100
+#: Lanes for rows of one hot key that share one value.
+LANES = 64
+
+
+def spread_hot(
+    rows: DataFrame, key: str, value: str, parts: int | None = None
+) -> tuple[DataFrame, bool]:
+    """``rows`` with a column ``part``, and whether any key was cut into several.
+
+    Parts are ranges of the long ``value``. A key is cut if it holds more than half a part's share of a sample. Its parts never fall
+    with ``value``; a single value with more than a part's share is dealt over lanes by the
+    rows' content. All other keys have the one part -1. Bounds are literals of the plan, so the parts
+    are the same whenever they are computed again; ``rows`` stay lazy. Null keys and
+    values belong to part -1.
+    """
+    spark = rows.sparkSession
+    parts = parts or max(LEAST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = SAMPLE_PER_PART * parts
+    sample: dict = {}
+    narrow = rows.select(key, value).where(F.col(key).isNotNull() & F.col(value).isNotNull())
+    for k, v in narrow.orderBy(F.rand(17)).limit(size).collect():
+        sample.setdefault(k, []).append(v)
+    taken = sum(map(len, sample.values()))
+    bounds, tied = {}, {}
+    for k, values in sample.items():
+        pieces = -(-2 * len(values) * parts // taken)
+        if 2 * len(values) * parts <= taken or taken < parts:
+            continue
+        values.sort()
+        marks = [values[len(values) * i // pieces] for i in range(1, pieces)]
+        bounds[k] = sorted(set(marks))
+        tied[k] = sorted({a for a, b in zip(marks, marks[1:]) if a == b})
+    if not bounds:
+        return rows.withColumn("part", F.lit(-1)), False
+
+    def of_key(table: dict) -> Column:
+        pairs = [F.struct(F.lit(k), F.array(*[F.lit(v).cast("long") for v in vs])) for k, vs in table.items()]
+        return F.try_element_at(F.map_from_entries(F.array(*pairs)), F.col(key))
+
+    # bounds in groups, so that a row is held against two roots of them rather than all
+    step = max(2, round(max(map(len, bounds.values())) ** 0.5))
+    coarse = of_key({k: b[step - 1 :: step] for k, b in bounds.items()})
+    below = F.size(F.filter(coarse, lambda b: b <= F.col(value))) * step
+    fine = F.slice(of_key(bounds), below + 1, F.lit(step))
+    place = below + F.size(F.filter(fine, lambda b: b <= F.col(value)))
+    lane = F.when(
+        F.array_contains(of_key(tied), F.col(value)), F.pmod(F.xxhash64(*rows.columns), F.lit(LANES))
+    ).otherwise(F.lit(LANES))
+    hot = coarse.isNotNull() & F.col(value).isNotNull()
+    part = F.when(hot, place.cast("long") * (LANES + 1) + lane).otherwise(F.lit(-1))
+    return rows.withColumn("part", part.cast("int")), True

@@ -1,9 +1,9 @@
 """Exact ranks, medians and cuts without a window over all rows.
 
 A rank over the whole table needs all its values in order. Instead of sorting them in
-one task, equal values are folded, the value axis is cut into buckets, and each bucket
-is ordered on its own; bucket totals then shift the ranks within a bucket to ranks in
-the table.
+one task, equal values are folded and dealt in order into as many parts as the session
+has shuffle partitions; each part is ordered on its own, and totals of earlier parts
+shift the ranks within a part to ranks in the table.
 """
 
 from __future__ import annotations
@@ -13,67 +13,47 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from .ordered import carried, dealt_in_order
+
 # Values held by at least one row in this many count as heavy, so that at most this
 # many values per metric are heavy.
 HEAVY_SHARE = 1000
-# Inverse of the relative rank error of the quantile sketch.
-ACCURACY = 10_000
+# Bits that one pass of the radix selection looks at, and the most rows it fetches.
+DIGIT_BITS = 16
+MOST_ROWS = 1 << DIGIT_BITS
 
 
-def cumulative(folded: DataFrame, group: str, bucket: Column) -> DataFrame:
+def cumulative(folded: DataFrame, group: str) -> DataFrame:
     """Add ``before``, rows of the group with a smaller value, and the group's totals.
 
-    ``folded`` has the group column, ``value`` (distinct in a group) and its rows ``n``;
-    ``bucket`` must not decrease with ``value``. Totals are ``rows`` and ``different``,
-    the number of values.
+    ``folded`` has the group column, ``value`` (distinct in a group) and its rows ``n``.
+    Totals are ``rows`` and ``different``, the number of values. ``folded`` is stored in
+    order; parts follow the session and the table, whatever the values are.
     """
-    cut = folded.withColumn("bucket", bucket)
-    own = Window.partitionBy(group, "bucket").orderBy("value")
-    inside = cut.withColumn("upto", F.sum("n").over(_running(own)))
-    # at most one row per group and bucket from here on
-    whole = Window.partitionBy(group)
-    totals = (
-        cut.groupBy(group, "bucket")
-        .agg(F.sum("n").alias("bucket_n"), F.count("*").alias("bucket_values"))
+    dealt = dealt_in_order(folded.select(group, "value", "n"), [group, "value"], "in-order")
+    shifts = carried(dealt, [group], sum_n=F.sum("n"))
+    totals = dealt.groupBy(group).agg(F.sum("n").alias("rows"), F.count("*").alias("different"))
+    # one row per part, and one per group: a part reaches into the next group at most once
+    edges = shifts.join(totals, group)
+    own = Window.partitionBy("part", group).orderBy("value")
+    return (
+        dealt.withColumn("upto", F.sum("n").over(_running(own)))
+        .join(edges, ["part", group])
         .select(
             group,
-            "bucket",
-            (F.sum("bucket_n").over(_running(whole.orderBy("bucket"))) - F.col("bucket_n")).alias(
-                "shift"
-            ),
-            F.sum("bucket_n").over(whole).alias("rows"),
-            F.sum("bucket_values").over(whole).alias("different"),
+            "value",
+            "n",
+            (F.coalesce("sum_n", F.lit(0)) + F.col("upto") - F.col("n")).alias("before"),
+            "rows",
+            "different",
         )
     )
-    return inside.join(totals, [group, "bucket"]).select(
-        group,
-        "value",
-        "n",
-        (F.col("shift") + F.col("upto") - F.col("n")).alias("before"),
-        "rows",
-        "different",
-    )
 
 
 def _running(ordered):
     return ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _bounds(rows: DataFrame, columns: Sequence[str]) -> Column:
-    """About evenly filled bucket bounds per column, as a map from a scalar sub-query."""
-    marks = [i / BUCKETS for i in range(1, BUCKETS)]
-    entries = []
-    for name in columns:
-        entries += [F.lit(name), F.percentile_approx(name, marks, 1000)]
-    return rows.agg(F.create_map(*entries).alias("bounds")).scalar()
-
-
-def _bucket() -> Column:
-    """The number of bounds below ``value``."""
-    return F.coalesce(F.size(F.filter("bounds", lambda b: b < F.col("value"))), F.lit(0))
-
-
 def metric_ranks(rows: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Average-rank percentiles: ``ip, metric, value, pct``.
 
@@ -84,8 +64,7 @@ def metric_ranks(rows: DataFrame, metrics: Sequence[str]) -> DataFrame:
         F.col("value").isNotNull()
     )
     folded = long.groupBy("metric", "value").agg(F.count("*").alias("n"))
-    bounded = folded.withColumn("bounds", _bounds(rows, metrics)[F.col("metric")])
-    table = cumulative(bounded, "metric", _bucket()).select(
+    table = cumulative(folded, "metric").select(
         "metric",
         "value",
         "n",
@@ -118,75 +97,85 @@ def _attach(long: DataFrame, table: DataFrame) -> DataFrame:
     )
 
 
-def median(rows: DataFrame, column: str) -> DataFrame:
-    """One row ``median``: the exact median of a double column.
-
-    The builtin exact median gathers every distinct value in one task. Here a quantile
-    sketch first fences the middle in: with a rank error of at most 1 / ACCURACY, the
-    sketched values at 2 / ACCURACY below and above the half enclose both middle ranks.
-    Rows below the fence are only counted, and exact ranks are looked up among the few
-    values inside it. Should the sketch break its bound and the fence miss a middle rank,
-    the median is looked up in buckets of all values instead.
+def sortable(value: Column) -> Column:
+    """A double as a long in the same order; both zeros are one value, NaN is the largest."""
+    # + 0.0 turns the negative zero; the method is a plain one of the JVM's own library
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("long")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
+
+
+def middle_values(values: DataFrame) -> tuple[float, float] | None:
+    """The two middle values of the double column ``value``, null rows apart; None without rows.
+
+    Radix selection: the leading 16 bits of all values are counted, and only values in the
+    buckets of the two middle ranks are looked at further, by their next 16 bits. At most
+    four passes, of which each brings at most 2 x 65,536 counts to the driver; as soon as
+    the buckets hold no more rows than that, their values are fetched. Exact for any values.
     """
-    values = rows.select(F.col(column).cast("double").alias("value")).where(
-        F.col("value").isNotNull()
-    )
-    fence = values.agg(
-        F.struct(
-            F.percentile_approx(
-                "value", [0.5 - 2 / ACCURACY, 0.5 + 2 / ACCURACY], ACCURACY
-            ).alias("ends"),
-            F.count("*").alias("rows"),
-        ).alias("fence")
-    ).scalar()
-    low, high = fence["ends"][0], fence["ends"][1]
-    folded = (
-        values.where(F.col("value") <= high)
-        .groupBy(F.when(F.col("value") >= low, F.col("value")).alias("value"))
-        .agg(F.count("*").alias("n"))
-    )
-    # the one null value stands for all rows below the fence
-    in_order = _running(Window.orderBy(F.asc_nulls_first("value")))
-    table = folded.withColumn("upto", F.sum("n").over(in_order)).withColumn(
-        "rows", fence["rows"]
-    )
+    keyed = values.where(F.col("value").isNotNull()).select("value", sortable(F.col("value")).alias("key"))
+    buckets: list[int] | None = None
+    ranks, before = [0, 0], [0, 0]
+    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        near = keyed if buckets is None else keyed.where(F.shiftright("key", shift + DIGIT_BITS).isin(buckets))
+        counts = near.groupBy(F.shiftright("key", shift).alias("bucket")).agg(F.count("*").alias("n")).collect()
+        in_order = sorted((r["bucket"], r["n"]) for r in counts)
+        if buckets is None:
+            rows = sum(n for _, n in in_order)
+            if not rows:
+                return None
+            ranks = [(rows - 1) // 2, rows // 2]
+        found, sizes = [], {}
+        for k, rank in enumerate(ranks):
+            # the middle ranks follow one another: rows of both buckets lie side by side
+            at = before[0]
+            for bucket, n in in_order:
+                if rank < at + n:
+                    found.append((bucket, at))
+                    sizes[bucket] = n
+                    break
+                at += n
+        before = [found[0][1], found[0][1]]
+        buckets = [b for b, _ in found]
+        if sum(sizes.values()) <= MOST_ROWS or shift == 0:
+            break
+    chosen = keyed.where(F.shiftright("key", shift).isin(buckets))
+    folded = chosen.groupBy("key").agg(F.count("*").alias("n"), F.max("value").alias("value")).collect()
+    out, at = [], before[0]
+    for _, n, value in sorted((r["key"], r["n"], r["value"]) for r in folded):
+        out += [value for rank in ranks if at <= rank < at + n]
+        at += n
+    return out[0], out[1]
 
-    def at(rank: Column, before: Column) -> Column:
-        holds = (before <= rank) & (rank < before + F.col("n"))
-        return F.max(F.when(holds, F.col("value")))
 
-    def middle(table: DataFrame, before: Column) -> DataFrame:
-        lower, upper = F.floor((F.col("rows") - 1) / 2), F.floor(F.col("rows") / 2)
-        return table.agg(((at(lower, before) + at(upper, before)) / 2).alias("median"))
+def median(rows: DataFrame, column: str) -> DataFrame:
+    """One row ``median``: the exact median of a double column, null without rows.
 
-    fenced = middle(table, F.col("upto") - F.col("n"))
-    # without rows, and so without work, where the fence held
-    missed = values.where(fenced.scalar().isNull()).groupBy("value").agg(F.count("*").alias("n"))
-    bounded = missed.withColumn("metric", F.lit(0)).withColumn(
-        "bounds",
-        values.agg(F.percentile_approx("value", [i / BUCKETS for i in range(1, BUCKETS)], 1000)).scalar(),
-    )
-    exact = middle(cumulative(bounded, "metric", _bucket()), F.col("before"))
-    return fenced.select(F.coalesce("median", exact.scalar()).alias("median"))
+    ``rows`` is read a few times; hand in a stored table.
+    """
+    found = middle_values(rows.select(F.col(column).cast("double").alias("value")))
+    middle = None if found is None else (found[0] + found[1]) / 2
+    return rows.sparkSession.range(1).select(F.lit(middle).cast("double").alias("median"))
 
 
 def mad_cutoff(rows: DataFrame, column: str, multiplier: float) -> DataFrame:
-    """One row ``median, mad, sigma, cutoff``: robust left-tail cut-off."""
-    middle = median(rows, column).scalar()
-    apart = rows.select(F.abs(F.col(column) - middle).alias("apart"))
-    mad = median(apart, "apart")
-    spread = rows.agg(
-        F.stddev_pop(column).alias("deviation"), F.max(middle).alias("median")
-    ).withColumn("mad", mad.scalar())
-    sigma = F.when(F.col("mad") > 1e-12, F.lit(1.4826) * F.col("mad")).otherwise(
-        F.col("deviation")
-    )
+    """One row ``median, mad, sigma, cutoff``: robust left-tail cut-off.
+
+    Both medians are found by radix selection when this is called.
+    """
+    middle = median(rows, column).first()["median"]
+    apart = rows.select(F.abs(F.col(column).cast("double") - F.lit(middle)).alias("apart"))
+    mad = None if middle is None else median(apart, "apart").first()["median"]
+    if mad is not None and mad > 1e-12:
+        spread = rows.sparkSession.range(1).select(F.lit(1.4826 * mad).alias("sigma"))
+    else:
+        spread = rows.agg(F.stddev_pop(column).alias("sigma"))
+    middle, mad = F.lit(middle).cast("double"), F.lit(mad).cast("double")
     return spread.select(
-        "median",
-        "mad",
-        sigma.alias("sigma"),
-        F.when(sigma < 1e-12, F.col("median"))
-        .otherwise(F.col("median") - F.lit(multiplier) * sigma)
+        middle.alias("median"),
+        mad.alias("mad"),
+        "sigma",
+        F.when(F.col("sigma") < 1e-12, middle)
+        .otherwise(middle - F.lit(multiplier) * F.col("sigma"))
         .alias("cutoff"),
     )
 
@@ -199,8 +188,7 @@ def hash_split(rows: DataFrame, label: str, key: str, fraction: float, seed: int
     """
     hashed = rows.withColumn("value", F.xxhash64(F.lit(seed), F.col(key)))
     folded = hashed.groupBy(label, "value").agg(F.count("*").alias("n"))
-    # hashes are spread evenly, so their leading bits serve as buckets
-    table = cumulative(folded, label, F.shiftright("value", 58))
+    table = cumulative(folded, label)
     wanted = F.greatest(
         F.lit(1), F.least(F.col("rows") - 1, F.round(F.col("rows") * fraction).cast("bigint"))
     )

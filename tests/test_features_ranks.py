@@ -89,11 +89,11 @@ def test_align_fills_and_orders(spark):
     assert out.first() == ("a", 0.0, 0.0, 1.0)
 
 
-def test_gaps_over_slot_borders(spark):
+def test_gaps_over_part_borders(spark):
     rng = random.Random(4)
     rows = [{"t": rng.random() * 3000, "ip": rng.choice(["h", "h", "x"])} for _ in range(300)]
     rows += [{"t": 900000, "ip": "x"}, {"t": 900000, "ip": "x"}]
-    out = interarrival_gaps(events(spark, rows), slot_seconds=60).collect()
+    out = interarrival_gaps(events(spark, rows), parts=12).collect()
     assert len(out) == len(rows)
     by_ip = {}
     for r in rows:
