@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LinearSVC
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ from .operators import ranks
 from .operators.burst import BurstRule, burst_alerts, burst_sessions
 from .operators.chain import privilege_escalation
 from .operators.forest import anomaly_scores as forest_scores
+from .operators.forest import grow_forest, sample_size
 from .operators.gaps import interarrival_gaps as gaps_of
 from .plans import anomaly, attack_types, reports, supervised
 from .plans.detect import burst_rules, detect, register_detector, unregister_detector
@@ -521,6 +525,14 @@ def _four_addresses(spark, sf_dir) -> DataFrame:
     return X.access_events(spark, sf_dir).withColumn("ip", block)
 
 
+@query
+def isolation_trees(spark, sf_dir):
+    """The nodes of all trees, from which scores can be computed again."""
+    rows = _visitor_features(spark, sf_dir)
+    sample = sample_size(rows, AnomalyConfig.max_samples)
+    return _rounded(grow_forest(rows, features_of.MODEL_FEATURES, AnomalyConfig.trees, sample, AnomalyConfig.seed))
+
+
 @query
 def anomaly_scores(spark, sf_dir):
     rows = _visitor_features(spark, sf_dir)
@@ -588,36 +600,56 @@ def classifier_report(spark, sf_dir):
 
 @query
 def model_bundle(spark, sf_dir):
-    trained = supervised.train_ip_classifier(X.visitor_events(spark, sf_dir))
+    """A model stored and loaded again, held against the one that was fitted, IP by IP."""
+    events = X.visitor_events(spark, sf_dir)
+    fitted = supervised.train_ip_classifier(events).bundle
     path = fresh_path(spark, "bundle")
-    supervised.save_bundle(spark, trained.bundle, path)
-    bundle = supervised.load_bundle(spark, path)
-    about = bundle.metadata
-    return spark.createDataFrame(
-        [
-            (
-                ",".join(bundle.columns),
-                about["label_definition"],
-                ",".join(about["sources_seen"]),
-                about["training_rows"],
-                about["training_unique_ips"],
-            )
-        ],
-        "columns string, label_definition string, sources string, "
-        "training_rows bigint, training_unique_ips bigint",
+    supervised.save_bundle(spark, fitted, path)
+    loaded = supervised.load_bundle(spark, path)
+    features = stage(features_of.ip_features(events), "bundle-features")
+    before, after = supervised.score_ips(features, fitted), supervised.score_ips(features, loaded)
+    about = loaded.metadata
+    return before.join(
+        after.select("ip", F.col("probability").alias("again"), F.col("threat").alias("threat_again")), "ip"
+    ).select(
+        "ip",
+        (F.col("probability") == F.col("again")).alias("same_probability"),
+        F.col("threat_again").alias("threat"),
+        F.lit(",".join(loaded.columns)).alias("columns"),
+        F.lit(",".join(about["sources_seen"])).alias("sources"),
+        F.lit(about["training_rows"]).cast("long").alias("training_rows"),
+        F.lit(about["training_unique_ips"]).cast("long").alias("training_unique_ips"),
     )
 
 
 @query
 def ml_supervised_alerts(spark, sf_dir):
+    """Alerts of the fitted forest; its confidences, as far as they are above the threshold."""
     events = X.visitor_events(spark, sf_dir)
     bundle = supervised.train_ip_classifier(events).bundle
-    return _flat_alerts(supervised.supervised_alerts(features_of.ip_features(events), bundle))
+    alerts = supervised.supervised_alerts(features_of.ip_features(events), bundle)
+    return _flat_alerts(alerts).withColumn("confidence", F.col("confidence").between(0.5, 1.0))
 
 
 @query
-def attack_type_classifier(spark, sf_dir):
+def ml_hard_prediction_alerts(spark, sf_dir):
+    """Alerts of a linear model that predicts classes without probabilities."""
     events = X.visitor_events(spark, sf_dir)
+    rows = stage(features_of.threat_features(events), "hard-features")
+    columns = ["error_rate", "fraction_2xx"]
+    model = Pipeline(
+        stages=[
+            VectorAssembler(inputCols=columns, outputCol="features"),
+            LinearSVC(featuresCol="features", labelCol="label", maxIter=50),
+        ]
+    ).fit(features_of.align_features(rows, columns, keep=("label",)))
+    bundle = supervised.ModelBundle(model, columns)
+    return _flat_alerts(supervised.supervised_alerts(rows.drop("label"), bundle))
+
+
+@query
+def attack_type_classifier(spark, sf_dir):
+    events = X.typed_events(spark, sf_dir)
     labeled = stage(
         features_of.labeled_features(
             features_of.ip_features(events), features_of.modal_labels(events)

@@ -62,21 +62,29 @@ class AnomalyConfig:
 
 @dataclass(frozen=True)
 class IpClassifierConfig:
-    """Settings of the threat / normal classifier over per-IP features."""
+    """Settings of the threat / normal classifier over per-IP features.
+
+    At most ``max_training_rows`` rows are fitted, equally many of each class at most; of a
+    larger class a repeatable sample is taken. Split, report and scores cover all rows.
+    """
 
     trees: int = 200
     max_depth: int = 30
     train_fraction: float = 0.7
     seed: int = 42
     threshold: float = 0.5
+    max_training_rows: int = 200_000
+    max_bins: int = 32
 
 
 @dataclass(frozen=True)
 class AttackTypeConfig:
-    """Settings of the multiclass attack-type classifier."""
+    """Settings of the multiclass attack-type classifier; bounds as in IpClassifierConfig."""
 
     trees: int = 10
     max_depth: int = 30
     train_fraction: float = 0.8
     seed: int = 42
     min_class_rows: int = 2
+    max_training_rows: int = 200_000
+    max_bins: int = 32

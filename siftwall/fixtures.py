@@ -151,6 +151,32 @@ def visitor_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(rows, EVENT_SCHEMA)
 
 
+def typed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Access rows with one address per user, each of one of three behaviours.
+
+    A third scans for paths, a third tries to log in, a third visits.
+    """
+    rows = (
+        _base(spark, sf_dir)
+        .selectExpr("*", "user_id % 3 AS sort")
+        .selectExpr(
+            "concat('10.2.', user_id div 250, '.', user_id % 250) AS ip",
+            "timestamp",
+            "if(sort = 1, 'POST', 'GET') AS method",
+            "CASE sort WHEN 0 THEN concat('/p', k % 40) WHEN 1 THEN '/login' ELSE '/products' END AS path",
+            "CASE sort WHEN 0 THEN 404 WHEN 1 THEN 500 ELSE 200 END AS status",
+            "k % 100 + sort * 1000 AS bytes_sent",
+            "'-' AS referer",
+            "concat('agent-', if(sort = 0, 1, k % 12)) AS agent",
+            """CASE sort WHEN 0 THEN 'access_directory_scan' WHEN 1 THEN 'access_brute_force'
+                 ELSE 'normal' END AS classification""",
+            "k % 37 AS count",
+            "'access' AS log_source",
+        )
+    )
+    return conform(rows, EVENT_SCHEMA)
+
+
 def all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         access_events(spark, sf_dir)

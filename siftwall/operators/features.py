@@ -243,12 +243,17 @@ def features_head(features: DataFrame, rows: int = 5) -> DataFrame:
     return features.orderBy("ip").limit(rows)
 
 
-def align_features(features: DataFrame, columns: list[str]) -> DataFrame:
-    """The given columns in the given order; absent ones and nulls are 0.0."""
+def align_features(
+    features: DataFrame, columns: list[str], keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """The given columns in the given order; absent ones and nulls are 0.0.
+
+    Columns of ``keep`` follow as they are.
+    """
 
     def aligned(name: str) -> Column:
         if name not in features.columns:
             return F.lit(0.0)
         return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
 
-    return features.select("ip", *[aligned(c).alias(c) for c in columns])
+    return features.select("ip", *[aligned(c).alias(c) for c in columns], *keep)

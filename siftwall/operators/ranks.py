@@ -200,3 +200,34 @@ def hash_split(rows: DataFrame, label: str, key: str, fraction: float, seed: int
     return hashed.join(last, label, "left").withColumn(
         "is_train", F.coalesce(F.col("value") <= F.col("last_hash"), F.lit(False))
     ).drop("value", "last_hash")
+
+
+def class_sample(rows: DataFrame, label: str, key: str, most: int, seed: int) -> DataFrame:
+    """At most about ``most`` rows, with ``weight``: as many of each class as fit in equal shares.
+
+    Classes with no more rows than ``most`` / classes stay whole; of a larger one those with the
+    smallest hashes of ``key`` stay. ``weight`` makes classes count alike and keeps the
+    number of rows: rows / (classes x rows of the class that stay). Classes must be few:
+    one count each reaches the driver. Rows above about twice a class's share never leave
+    their task.
+    """
+    sizes = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
+    if not sizes:
+        return rows.withColumn("weight", F.lit(1.0))
+    share = max(1, most // len(sizes))
+    total = sum(sizes.values())
+    table = [(k, n, min(n, share), total / (len(sizes) * min(n, share))) for k, n in sizes.items()]
+    kind = rows.schema[label].dataType.simpleString()
+    classes = F.broadcast(
+        rows.sparkSession.createDataFrame(table, f"{label} {kind}, __n long, __most long, weight double")
+    )
+    # of hashes uniform over the signed 64-bit range, twice the share and a reserve
+    drawn = rows.join(classes, label).withColumn("__hash", F.xxhash64(F.lit(seed), F.col(key)))
+    fraction = F.least(F.lit(1.0), (F.col("__most") * 2.0 + 100.0) / F.col("__n"))
+    few = drawn.where(F.col("__hash").cast("double") <= (fraction * 2.0 - 1.0) * F.lit(2.0**63))
+    place = F.row_number().over(Window.partitionBy(label).orderBy("__hash", key))
+    return (
+        few.withColumn("__place", place)
+        .where(F.col("__place") <= F.col("__most"))
+        .drop("__n", "__most", "__hash", "__place")
+    )

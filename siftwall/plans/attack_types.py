@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import AttackTypeConfig
 from ..operators.features import BASE_FEATURES, align_features
-from ..operators.ranks import hash_split
+from ..operators.ranks import class_sample, hash_split
 from ..session import stage
 from .supervised import classifier_report
 
@@ -41,11 +41,15 @@ def rare_class_filter(labeled: DataFrame, min_rows: int = 2) -> DataFrame:
 def train_attack_classifier(
     labeled: DataFrame, config: AttackTypeConfig | None = None
 ) -> AttackTypeTraining:
-    """Fit on features with string labels; accuracy on the held-out part (M9)."""
+    """Fit on features with string labels; accuracy on the held-out part (M9).
+
+    What is fitted is bounded by ``max_training_rows``, rows count alike; all rows held out are
+    tested.
+    """
     config = config or AttackTypeConfig()
     columns = list(BASE_FEATURES)
     kept = rare_class_filter(labeled, config.min_class_rows)
-    rows = align_features(kept, columns).join(kept.select("ip", "label"), "ip")
+    rows = align_features(kept, columns, keep=("label",))
     split = stage(hash_split(rows, "label", "ip", config.train_fraction, config.seed), "split")
     index = StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc")
     names = index.fit(split)
@@ -58,12 +62,16 @@ def train_attack_classifier(
                 labelCol="target",
                 numTrees=config.trees,
                 maxDepth=config.max_depth,
+                maxBins=config.max_bins,
                 seed=config.seed,
             ),
             IndexToString(inputCol="prediction", outputCol="predicted", labels=names.labels),
         ]
     )
-    model = pipeline.fit(split.where("is_train"))
+    train = split.where("is_train")
+    model = pipeline.fit(
+        class_sample(train, "label", "ip", config.max_training_rows, config.seed)
+    )
     tested = model.transform(split.where(~F.col("is_train")))
     accuracy = MulticlassClassificationEvaluator(
         labelCol="target", predictionCol="prediction", metricName="accuracy"

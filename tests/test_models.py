@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import pytest
 from helpers import events
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LinearSVC
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from siftwall.config import AnomalyConfig, IpClassifierConfig
-from siftwall.operators.features import BASE_FEATURES, ip_features
-from siftwall.operators.forest import anomaly_scores
+from siftwall.operators.features import BASE_FEATURES, align_features, ip_features, threat_features
+from siftwall.operators.forest import anomaly_scores, expected_path, grow_forest
+from siftwall.operators.ranks import class_sample
 from siftwall.plans import anomaly, attack_types, supervised
 from siftwall.plans.detect import detect, register_detector, unregister_detector
 from siftwall.session import fresh_path
@@ -121,9 +125,9 @@ SMALL = IpClassifierConfig(trees=10, max_depth=5)
 def test_training_guards(spark):
     assert supervised.train_ip_classifier(events(spark, []), SMALL).bundle is None
     only_normal = supervised.train_ip_classifier(events(spark, training_rows(0)), SMALL)
-    assert "malicious=0" in only_normal.problem
+    assert "0 attacking" in only_normal.problem
     one_threat = supervised.train_ip_classifier(events(spark, training_rows(1)), SMALL)
-    assert "smallest class size=1" in one_threat.problem
+    assert "1 attacking" in one_threat.problem
 
 
 def test_train_save_load_score(spark):
@@ -164,10 +168,64 @@ def test_classifier_report(spark):
     ]
 
 
-def test_balanced_weights(spark):
-    df = spark.createDataFrame([(0,)] * 3 + [(1,)], "label int")
-    weights = {r["label"]: r["weight"] for r in supervised.balanced(df).collect()}
-    assert weights == {0: pytest.approx(4 / 6), 1: 2.0}
+def test_class_sample_whole_and_bounded(spark):
+    df = spark.range(1300).select(
+        F.col("id").cast("string").alias("ip"), (F.col("id") >= 1000).cast("int").alias("label")
+    )
+    whole = class_sample(df, "label", "ip", 10_000, 7)
+    assert whole.count() == 1300
+    assert {(r["label"], r["weight"]) for r in whole.collect()} == {(0, 0.65), (1, 1300 / 600)}
+    some = class_sample(df, "label", "ip", 800, 7)
+    rows = some.groupBy("label").agg(F.count("*").alias("n"), F.first("weight").alias("w")).collect()
+    assert {(r["label"], r["n"], r["w"]) for r in rows} == {(0, 400, 1300 / 800), (1, 300, 1300 / 600)}
+    assert some.exceptAll(class_sample(df.repartition(9), "label", "ip", 800, 7)).isEmpty()
+    assert class_sample(df.where("false"), "label", "ip", 10, 7).count() == 0
+
+
+def test_training_on_a_bounded_sample_scores_all(spark):
+    df = events(spark, training_rows(60, 90))
+    bounded = IpClassifierConfig(trees=10, max_depth=5, max_training_rows=20, max_bins=8)
+    trained = supervised.train_ip_classifier(df, bounded)
+    assert {r["label"]: (r["support"], r["f1"]) for r in trained.report.collect()} == {0: (27, 1.0), 1: (18, 1.0)}
+    scores = supervised.score_ips(ip_features(df), trained.bundle)
+    assert scores.count() == 150
+    assert scores.where("threat").count() == scores.where("probability >= 0.5").count() == 60
+
+
+def test_model_without_probabilities(spark):
+    df = events(spark, training_rows())
+    rows = align_features(threat_features(df), ["error_rate"], keep=("label",))
+    stages = [
+        VectorAssembler(inputCols=["error_rate"], outputCol="features"),
+        LinearSVC(featuresCol="features", labelCol="label"),
+    ]
+    bundle = supervised.ModelBundle(Pipeline(stages=stages).fit(rows), ["error_rate"])
+    path = fresh_path(spark, "hard-bundle")
+    supervised.save_bundle(spark, bundle, path)
+    for model in (bundle, supervised.load_bundle(spark, path)):
+        alerts = supervised.supervised_alerts(ip_features(df), model).collect()
+        assert {(r["ip"], r["confidence"]) for r in alerts} == {(f"ip{i}", 0.8) for i in range(6)}
+
+
+def test_trees_can_be_grown_and_walked_again(spark, cloud):
+    """Plain Python over the published nodes gives the scores."""
+    nodes = grow_forest(cloud, COLUMNS, 7, 64, 3).collect()
+    by = {(r["tree"], r["node"]): r for r in nodes}
+    for r in nodes:
+        if r["feature"] >= 0:
+            assert r["size"] == by[r["tree"], 2 * r["node"]]["size"] + by[r["tree"], 2 * r["node"] + 1]["size"]
+    assert all(by[t, 1]["size"] == 64 for t in range(7))
+    rows = {r["ip"]: [r[c] for c in COLUMNS] for r in cloud.collect()}
+    got = {r["ip"]: r["score"] for r in anomaly_scores(cloud, COLUMNS, 7, 64, 3).collect()}
+    assert set(got) == set(rows)
+    for ip in ["0", "17", "500", "1000"]:
+        total = 0.0
+        for t in range(7):
+            node = 1
+            while by[t, node]["feature"] >= 0:
+                node = 2 * node + (rows[ip][by[t, node]["feature"]] > by[t, node]["cut"])
+            total += node.bit_length() - 1 + expected_path(by[t, node]["size"])
+        assert got[ip] == pytest.approx(-(2 ** (-total / 7 / expected_path(64))), abs=1e-12)
 
 
 def test_attack_types(spark):
