@@ -258,6 +258,18 @@ def archive_events(spark, sf_dir):
     )
 
 
+@query
+def archive_source(spark, sf_dir):
+    """The first configured source of a family, copied and read back."""
+    paths = [
+        _as_files(spark, X.access_lines(X.access_events(spark, sf_dir).where(part)), "access")
+        for part in ("bytes_sent < 2500", "bytes_sent >= 2500")
+    ]
+    target = fresh_path(spark, "copied")
+    merge.archive_source(spark, {"access": paths}, "access", target)
+    return text.read_lines(spark, {"access": [target]})[0].select("log_source", "value")
+
+
 # -- projections and filters --------------------------------------------------------
 
 

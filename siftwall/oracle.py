@@ -203,6 +203,10 @@ SQL["archive_events"] = _with(_all()) + (
     "CAST(sum(bytes_sent) AS BIGINT) AS total_bytes FROM all_events GROUP BY 1, 2"
 )
 
+SQL["archive_source"] = _with(BASE, ACCESS) + (
+    f"SELECT log_source, {ACCESS_LINE} AS value FROM access_events WHERE bytes_sent < 2500"
+)
+
 # -- projections and filters -------------------------------------------------------------
 
 SQL["utc_normalize"] = "SELECT event_id, epoch_us(ts) AS ts_us FROM events"

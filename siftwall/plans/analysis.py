@@ -36,6 +36,12 @@ class Analysis:
     def detection_summary(self) -> DataFrame:
         return reports.detection_summary(self.alerts, self.families)
 
+    def true_count_report(self) -> DataFrame:
+        return reports.true_count_report(self.events)
+
+    def actor_distribution(self, actors: DataFrame) -> DataFrame:
+        return reports.actor_distribution(actors)
+
     def alert_listing(self) -> DataFrame:
         return reports.alert_listing(self.alerts, self.families)
 
@@ -68,6 +74,7 @@ def analyze_events(
 ) -> Analysis:
     """Run rule detectors, anomaly detector and, given a model, the classifier."""
     families = list(families)
+    chosen_families(families)
     events = stage(events, "events")
     rules = detect(events, config, families)
     if events.isEmpty():
@@ -88,11 +95,18 @@ def analyze(
     enabled: Iterable[str] | None = None,
     reference_year: int | None = None,
     labeled: bool = True,
+    probe: bool = True,
     **options,
 ) -> Analysis:
-    """As ``analyze_events``, from log files: ``sources`` maps a family to its paths."""
+    """As ``analyze_events``, from log files: ``sources`` maps a family to its paths.
+
+    With ``probe`` all files are read once beforehand, and those that cannot be read to their
+    end are rows of ``errors`` instead of failing the run.
+    """
     chosen_families(sources)
     chosen = chosen_families(enabled)
     families = [f for f in FAMILIES if sources.get(f) and f in chosen]
-    events, errors, rejected = read_sources(spark, sources, families, reference_year, labeled)
+    events, errors, rejected = read_sources(
+        spark, sources, families, reference_year, labeled, probe
+    )
     return replace(analyze_events(events, families, **options), errors=errors, rejected=rejected)

@@ -12,7 +12,7 @@ from ..functions import predicates as P
 from ..operators.burst import BurstRule, burst_alerts
 from ..operators.chain import KIND as CHAIN_KIND
 from ..operators.chain import privilege_escalation
-from ..schema import ALERT_SCHEMA, FAMILIES, conform
+from ..schema import ALERT_SCHEMA, FAMILIES, chosen_families, conform
 from ..session import stage
 
 Detector = Callable[[DataFrame], DataFrame]
@@ -189,8 +189,8 @@ def detect(
 ) -> DataFrame:
     """Run the selected detectors over one event table and append their alerts.
 
-    All burst detectors run together: one scan and one shuffle for the additive ones,
-    one for those that count distinct values. ``extra`` holds further detectors, for
+    All burst detectors run together: one scan for the additive ones, one for those that
+    count distinct values. An unknown kind or family is an error. ``extra`` holds further detectors, for
     example the model-based ones. With ``stage_events`` the events are written once
     to the shared folder; use it when they come straight from parsing text.
     """
@@ -202,6 +202,8 @@ def detect(
     offered = known if kinds is None else list(kinds)
     if set(offered) - set(known):
         raise ValueError(f"unknown kinds {sorted(set(offered) - set(known))}")
+    families = [f.strip().lower() for f in families if f]
+    chosen_families(families)
     chosen = select_kinds(offered, families)
     parts = []
     bursts = [rules[k] for k in chosen if k in rules]

@@ -77,12 +77,14 @@ def true_counts(events: DataFrame) -> DataFrame:
 
 def detected_counts(alerts: DataFrame) -> DataFrame:
     """``position, kind, family, detected``: alerts of all kinds (A4)."""
-    return _over_kinds(alerts.groupBy("kind").agg(F.count("*").alias("detected")), "detected")
+    known = alerts.where(F.col("kind").isin(*ATTACK_KINDS))
+    return _over_kinds(known.groupBy("kind").agg(F.count("*").alias("detected")), "detected")
 
 
 def _over_kinds(counts: DataFrame, value: str) -> DataFrame:
+    """``counts``, one row per kind of the fixed sixteen at most, for all of them."""
     kinds = kinds_table(counts.sparkSession)
-    return kinds.join(counts, "kind", "left").select(
+    return kinds.join(F.broadcast(counts), "kind", "left").select(
         "position", "kind", "family", F.coalesce(value, F.lit(0)).alias(value)
     )
 
@@ -185,7 +187,9 @@ def ml_summary_report(summary: DataFrame) -> DataFrame:
 def accuracy_report(events: DataFrame, alerts: DataFrame) -> DataFrame:
     """Detected against labelled episodes per kind."""
     detected, true = F.col("detected"), F.col("true_count")
-    both = true_counts(events).join(detected_counts(alerts).select("kind", "detected"), "kind")
+    # sixteen rows on either side
+    counts = F.broadcast(detected_counts(alerts).select("kind", "detected"))
+    both = true_counts(events).join(counts, "kind")
     accuracy = (
         F.when(detected > true, true / detected * 100)
         .when(detected < true, detected / true * 100)

@@ -81,11 +81,14 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def kinds_table(spark) -> DataFrame:
-    """The fixed 16-row kind dimension: ``position, kind, family``."""
-    return spark.createDataFrame(
-        [(i, k, k.split("_", 1)[0]) for i, k in enumerate(ATTACK_KINDS)],
-        "position bigint, kind string, family string",
+    """The fixed 16-row kind dimension: ``position, kind, family``.
+
+    A literal of the plan, so joins with it broadcast it and folds see its values.
+    """
+    rows = ", ".join(
+        f"(bigint({i}), '{k}', '{k.split('_', 1)[0]}')" for i, k in enumerate(ATTACK_KINDS)
     )
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS kinds(position, kind, family)")
 
 
 def chosen_families(enabled) -> set[str]:

@@ -44,12 +44,14 @@ def read_events(
     enabled: Iterable[str] | None = None,
     reference_year: int | None = None,
     labeled: bool = True,
+    probe: bool = False,
 ) -> DataFrame:
     """Parse every enabled source into one event table.
 
     Paths that cannot be read are left out with a warning; ``read_sources`` returns them.
+    ``probe`` is that of ``read_lines``.
     """
-    events, errors, _ = read_sources(spark, sources, enabled, reference_year, labeled)
+    events, errors, _ = read_sources(spark, sources, enabled, reference_year, labeled, probe)
     for row in errors.collect():  # at most one row per configured path
         warnings.warn(f"{row.log_source}: {row.message}", stacklevel=2)
     return events
@@ -61,6 +63,7 @@ def read_sources(
     enabled: Iterable[str] | None = None,
     reference_year: int | None = None,
     labeled: bool = True,
+    probe: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Events, paths that cannot be read, and lines that give no event with the reason."""
     chosen = chosen_families(enabled)
@@ -68,7 +71,7 @@ def read_sources(
     for family in PARSERS:
         if family not in sources or family not in chosen:
             continue
-        lines, errors = read_lines(spark, {family: sources[family]})
+        lines, errors = read_lines(spark, {family: sources[family]}, probe=probe)
         problems.append(errors)
         if family == "auth":
             parsed = PARSERS[family](lines, reference_year=reference_year, labeled=labeled)
@@ -106,8 +109,32 @@ def _refuse_overlap(spark: SparkSession, sources: Iterable[str], target: str) ->
             raise ValueError(f"{target} overlaps with the source {other}")
 
 
+def _aside(path: str) -> str:
+    """Where an archive waits while a new one takes its place."""
+    return f"{path}.replaced"
+
+
+def _recover(spark: SparkSession, path: str) -> None:
+    """Finish a replacement that was cut off: an archive put aside comes back or goes."""
+    system, full = _full(spark, path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    old = hadoop(_aside(full))
+    if not system.exists(old):
+        return
+    if system.exists(hadoop(full)):
+        system.delete(old, True)
+    elif not system.rename(old, hadoop(full)):
+        raise OSError(f"could not move {_aside(full)} back to {full}")
+
+
 def _write(spark: SparkSession, path: str, overwrite: bool, write) -> None:
-    """``write(path)``; an existing folder is replaced only after a successful write."""
+    """``write(path)``; an existing folder is replaced only after a successful write.
+
+    The old one is moved aside, the new one takes its place, and only then is the old one
+    deleted. Between two moves a reader finds either the archive or, by ``_recover``, the one
+    put aside.
+    """
+    _recover(spark, path)
     system, full = _full(spark, path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     if not overwrite or not system.exists(hadoop(full)):
@@ -115,9 +142,17 @@ def _write(spark: SparkSession, path: str, overwrite: bool, write) -> None:
         return
     fresh = f"{full}.new-{uuid.uuid4().hex}"
     write(fresh)
-    system.delete(hadoop(full), True)
-    if not system.rename(hadoop(fresh), hadoop(full)):
-        raise OSError(f"could not move {fresh} to {full}")
+    if not system.rename(hadoop(full), hadoop(_aside(full))):
+        raise OSError(f"could not move {full} aside")
+    moved = False
+    try:
+        moved = system.rename(hadoop(fresh), hadoop(full))
+    finally:
+        if not moved:
+            _recover(spark, path)
+    if not moved:
+        raise OSError(f"could not move {fresh} to {full}; the older archive is back")
+    system.delete(hadoop(_aside(full)), True)
 
 
 def archive_events(events: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -144,7 +179,11 @@ def archive_events(events: DataFrame, path: str, overwrite: bool = False) -> Non
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Events of an archive; filters on family and day prune its folders."""
+    """Events of an archive; filters on family and day prune its folders.
+
+    A replacement that was cut off half-way is undone first.
+    """
+    _recover(spark, path)
     return conform(spark.read.parquet(path), EVENT_SCHEMA)
 
 
