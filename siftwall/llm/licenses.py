@@ -413,19 +413,28 @@ def scan_licences(
         .groupBy(F.col("dir").alias("above"))
         .agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own_licence").alias("l")))["l"].alias("l"))
     )
-    dirs = rows.groupBy("dir").agg(F.count("*").alias("c"))
+    dirs = stage(rows.groupBy("dir").agg(F.count("*").alias("c")), "licence-all-dirs")
     parts = F.split("dir", "/")
+    # the root of the tree, "", is an ancestor of all
     ancestors = dirs.select(
         "dir",
         F.explode(
             F.transform(
-                F.sequence(F.lit(1), F.size(parts)),
-                lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i), "/").alias("above")),
+                F.sequence(F.lit(0), F.size(parts)),
+                lambda i: F.struct(
+                    i.alias("depth"),
+                    F.when(i == 0, F.lit("")).otherwise(F.array_join(F.slice(parts, 1, F.greatest(i, F.lit(1))), "/")).alias("above"),
+                ),
             )
         ).alias("a"),
     ).select("dir", "a.depth", "a.above")
+    # a directory near the root has all others below it
+    below = stage(
+        ancestors.groupBy("above").agg(F.count("*").alias("size")).join(governing, "above"), "licence-above"
+    )
     nearest = (
-        ancestors.join(governing, "above")
+        attach(ancestors, below, ["above"], "size", F.col("dir"))
+        .where("l IS NOT NULL")
         .groupBy("dir")
         .agg(F.max(F.struct("depth", "above", "l")).alias("n"))
     )

@@ -93,3 +93,13 @@ def test_tree_and_edges(spark):
 
 def test_every_template_finds_itself():
     assert all(own(text) == (1.0, name) for name, text in licenses.TEMPLATES.items())
+
+
+def test_root_licence_and_hot_top_directories(spark):
+    text = "Released under the MIT License."
+    files = [(1, "LICENSE", text, True), (2, "src/main.py", "x = 1", False), (3, "src/a/b.py", "y = 2", False)]
+    files += [(4, "/LICENSE", "Licensed under the Apache License, Version 2.0", True), (5, "/abs/c/d.py", "z", False)]
+    files += [(100 + k, f"many/d{k}/e/f{k}.py", "w", False) for k in range(300)]
+    frame = spark.createDataFrame([f[:3] for f in files if f[0] != 4], "doc_id long, path string, text string")
+    got = {r["id"]: r["licence"] for r in licenses.scan_licences(frame).collect()}
+    assert got[1] is not None and set(got.values()) == {got[1]}
