@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_bucket
+from .quality_rules import BLANKS, number_of, split_words, without
 
-_BLANKS = " \t\n\x0b\f\r"
 #: Inputs of the model, in the order of its tables.
 FEATURES = (
     "log_chars",
@@ -36,20 +36,27 @@ FEATURES = (
 )
 
 
-def text_features(text: Column, prefix: str = "") -> list[Column]:
-    """The features of whole texts as columns; null and empty texts have zeros."""
-    text = F.coalesce(text, F.lit(""))
-    solid = F.translate(text, _BLANKS, "")
-    size = F.char_length(solid)
-    words = F.array_remove(F.split(F.translate(text, "\t\n\x0b\f\r", "     "), " "), "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    n, m = F.size(words), F.size(lines)
+def with_features(docs: DataFrame, text: Column, prefix: str = "") -> DataFrame:
+    """``docs`` with the features of whole texts as further columns.
+
+    Null and empty texts have zeros. The text without blanks, its words and its lines are
+    each made once and named; characters are counted by scans that are cheap where there is
+    none. Names beginning with ``__gam_`` are taken while it works, and given back.
+    """
+    named = docs.select("*", F.coalesce(text, F.lit("")).alias("__gam_t")).select(
+        "*",
+        without(F.col("__gam_t"), BLANKS).alias("__gam_s"),
+        split_words(F.col("__gam_t")).alias("__gam_w"),
+        F.filter(F.split("__gam_t", "\n"), lambda x: F.trim(x) != "").alias("__gam_l"),
+    )
+    solid, words, lines = F.col("__gam_s"), F.col("__gam_w"), F.col("__gam_l")
+    size, n, m = F.char_length(solid), F.size(words), F.size(lines)
 
     def share(part: Column, whole: Column) -> Column:
         return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
     def dropped(characters: str) -> Column:
-        return size - F.char_length(F.translate(solid, characters, ""))
+        return number_of(solid, characters)
 
     columns = (
         F.log1p(size),
@@ -65,7 +72,9 @@ def text_features(text: Column, prefix: str = "") -> list[Column]:
         share(n, m),
         share(F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(r"[.!?:;\"']\s*$")))), m),
     )
-    return [c.cast("double").alias(prefix + name) for c, name in zip(columns, FEATURES)]
+    return named.select(
+        *docs.columns, *[c.cast("double").alias(prefix + name) for c, name in zip(columns, FEATURES)]
+    )
 
 
 @dataclass
@@ -214,9 +223,9 @@ def training_sample(
         .orderBy(F.xxhash64("__id"), "__id", "__label")
         .limit(max_rows)
     )
-    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(
-        *text_features(F.col(text_col)), F.col("__label").alias("label")
-    )
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    rows = texts.join(F.broadcast(chosen), "__id").select("__text", "__label")
+    return with_features(rows, F.col("__text")).select(*FEATURES, F.col("__label").alias("label"))
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **columns) -> Gam:
@@ -234,7 +243,8 @@ def score_quality(
     rows give repeated results; other columns are not looked at. The model (a few thousand
     numbers) travels with the task; there is no shuffle.
     """
-    wide = docs.select(F.col(id_col).alias("id"), *text_features(F.col(text_col)))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"))
+    wide = with_features(texts, F.col("__text")).drop("__text")
     kind = wide.schema["id"].dataType
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,15 +257,39 @@ def score_quality(
     return wide.mapInArrow(score, f"id {kind.simpleString()}, score double")
 
 
-def keep_good(docs: DataFrame, model: Gam, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is at least ``least``."""
-    mark = "__feature_"
-    wide = docs.select("*", *text_features(F.col(text_col), mark))
+def margin_column(model: Gam, prefix: str = "") -> Column:
+    """The model's margin as an expression over feature columns, its tables as literals."""
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.column_stack([batch.column(mark + f).to_numpy(False) for f in FEATURES])
-            rows = batch.select(range(batch.num_columns - len(FEATURES)))
-            yield rows.filter(pa.array(model.score(x) >= least))
+    def table(values: np.ndarray) -> Column:
+        return F.array(*[F.lit(float(v)) for v in values.ravel()])
 
-    return wide.mapInArrow(keep, docs.schema)
+    def place(edges: np.ndarray, j: int) -> Column:
+        if not len(edges):
+            return F.lit(0)
+        return F.size(F.filter(table(edges), lambda e: e <= F.col(prefix + FEATURES[j])))
+
+    total = F.lit(float(model.base))
+    for j, (edges, values) in enumerate(zip(model.edges, model.mains)):
+        total = total + F.get(table(values), place(edges, j))
+    for a, b, ea, eb, values in model.pairs:
+        total = total + F.get(table(values), place(ea, a) * values.shape[1] + place(eb, b))
+    return total
+
+
+def keep_good(docs: DataFrame, model: Gam, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``least``.
+
+    Scored in generated code, so that no text travels to Python: the tables are literals. Null
+    and empty texts have the score of zero features, repeated rows and null ids are judged
+    each on their own, very long texts are read whole, and an empty table stays empty.
+    """
+    mark = "__feature_"
+    wide = with_features(docs, F.col(text_col), mark)
+    limit = float(np.log(least / (1.0 - least)))
+    judged = wide.select(
+        *docs.columns,
+        (margin_column(model, mark) >= limit).alias("__good"),
+        F.monotonically_increasing_id().alias("__mark"),
+    )
+    # a filter is not moved below a numbered projection; there, it would repeat all the work
+    return judged.where("__good AND __mark >= 0").select(*docs.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters that separate words (x20, x09 to x0D).
-_BLANKS = " \t\n\x0b\f\r"
+BLANKS = " \t\n\x0b\f\r"
 #: Characters counted as symbols.
 _SYMBOLS = "#*$%&|<>"
 #: Phrases that mark a line as part of a page's frame rather than of its text.
@@ -48,26 +48,26 @@ class LineRules:
     kept_pct: int = 50
 
 
-def _without(text: Column, characters: str) -> Column:
+def without(text: Column, characters: str) -> Column:
     """The text less some characters; one scan for each, which is cheap where there is none."""
     for character in characters:
         text = F.replace(text, F.lit(character), F.lit(""))
     return text
 
 
-def _number_of(text: Column, characters: str) -> Column:
-    return F.char_length(text) - F.char_length(_without(text, characters))
+def number_of(text: Column, characters: str) -> Column:
+    return F.char_length(text) - F.char_length(without(text, characters))
 
 
-def _words(text: Column) -> Column:
+def split_words(text: Column) -> Column:
     """Words of a text; blanks become single spaces first, so that a plain split will do."""
-    for blank in _BLANKS[1:]:
+    for blank in BLANKS[1:]:
         text = F.replace(text, F.lit(blank), F.lit(" "))
     return F.array_remove(F.split(text, " "), "")
 
 
 def _has_word(line: Column) -> Column:
-    return F.ltrim(line, F.lit(_BLANKS)) != ""
+    return F.ltrim(line, F.lit(BLANKS)) != ""
 
 
 def line_fails(line: Column, rules: LineRules) -> Column:
@@ -77,10 +77,10 @@ def line_fails(line: Column, rules: LineRules) -> Column:
     at to a name, so that lower case and words are made once per line.
     """
     # punctuation: symbols and exclamation marks in bulk, or a long line without a sentence
-    marks = _number_of(line, _SYMBOLS + "!~^_=+")
-    marked = (marks > 0) & (marks * 100 >= F.char_length(_without(line, _BLANKS)) * rules.marks_pct)
+    marks = number_of(line, _SYMBOLS + "!~^_=+")
+    marked = (marks > 0) & (marks * 100 >= F.char_length(without(line, BLANKS)) * rules.marks_pct)
     closed = F.rlike(line, F.lit("[.!?:;…。！？؟।]([\"'”’»)\\]}]*)(\\s|$)"))
-    bars = _number_of(line, "|»›·•→")
+    bars = number_of(line, "|»›·•→")
 
     def phrased(lower: Column) -> Column:
         found = F.lit(False)
@@ -100,7 +100,7 @@ def line_fails(line: Column, rules: LineRules) -> Column:
         return unclosed | again | navigation
 
     return (
-        marked | F.exists(F.array(F.lower(line)), phrased) | F.exists(F.array(_words(line)), worded)
+        marked | F.exists(F.array(F.lower(line)), phrased) | F.exists(F.array(split_words(line)), worded)
     )
 
 
@@ -108,9 +108,9 @@ def _repeated_words(words: Column) -> Column:
     """Words covered by 3-word windows that occur at least twice.
 
     A window is one number, its hash above its place, so that equal ones stand side by side
-    once sorted; neighbours are then compared by their words. Beyond 2^20 words places
-    leave a hash too few bits to tell windows apart, so hash, words and place are sorted.
-    The cost grows as n log n with the text, and nothing leaves the row.
+    once sorted; neighbours with the same hash bits are then compared by their words. Where
+    any of these differ, and beyond 2^20 words, where places leave a hash few bits, whole
+    hash, words and place are sorted instead, so the count is exact for any text. The cost grows as n log n with the text, and nothing leaves the row.
     """
     n = F.size(words)
     # the longer the text, the more bits its places take
@@ -135,23 +135,33 @@ def _repeated_words(words: Column) -> Column:
         def place(x: Column) -> Column:
             return x.bitwiseAND(mask).cast("int")
 
-        def repeated(ordered: Column) -> Column:
-            def like(x: Column, y: Column) -> Column:
-                alike = x.bitwiseXOR(y).bitwiseAND(F.bitwise_not(mask)) == 0
-                return F.coalesce(alike & same(place(x), place(y)), F.lit(False))
+        def close(x: Column, y: Column) -> Column:
+            return x.bitwiseXOR(y).bitwiseAND(F.bitwise_not(mask)) == 0
 
-            twice = F.filter(
-                ordered,
-                lambda x, k: like(x, F.get(ordered, k + 1)) | ((k > 0) & like(x, F.get(ordered, k - 1))),
-            )
+        def neighbours(ordered: Column, like) -> Column:
+            def beside(x: Column, k: Column) -> Column:
+                after = F.coalesce(like(x, F.get(ordered, k + 1)), F.lit(False))
+                return after | ((k > 0) & like(x, F.get(ordered, k - 1)))
+
+            return F.filter(ordered, beside)
+
+        def repeated(near: Column) -> Column:
+            def differs(x: Column, k: Column) -> Column:
+                y = F.get(near, k + 1)
+                return F.coalesce(close(x, y) & ~same(place(x), place(y)), F.lit(False))
+
+            twice = neighbours(near, lambda x, y: close(x, y) & same(place(x), place(y)))
             places = F.transform(twice, place)
-            return F.concat(
+            found = F.concat(
                 places, F.transform(places, lambda i: i + 1), F.transform(places, lambda i: i + 2)
             )
+            # different windows with the same bits may stand between equal ones
+            unsure = F.size(F.filter(near, differs)) > 0
+            return F.when(unsure, F.lit(-1)).otherwise(F.size(F.array_distinct(found)))
 
-        # a one-element array binds the sorted numbers to a name, so that they are made once
-        found = F.flatten(F.transform(F.array(F.sort_array(numbers)), repeated))
-        return F.size(F.array_distinct(found))
+        # one-element arrays bind what they hold to a name, so that it is made once
+        near = F.transform(F.array(F.sort_array(numbers)), lambda o: neighbours(o, close))
+        return F.get(F.transform(near, repeated), F.lit(0))
 
     def covered(ordered: Column) -> Column:
         def like(x: Column, y: Column) -> Column:
@@ -172,8 +182,10 @@ def _repeated_words(words: Column) -> Column:
 
     windows = F.sort_array(F.transform(F.slice(words, 1, n - 2), window))
     long = F.size(F.array_distinct(F.flatten(F.transform(F.array(windows), covered))))
-    short = F.get(F.transform(F.array(low), count), F.lit(0))
-    counted = F.when(n > 1 << 20, long).otherwise(short)
+    short = F.when(n <= 1 << 20, F.get(F.transform(F.array(low), count), F.lit(0))).otherwise(F.lit(-1))
+    counted = F.get(
+        F.transform(F.array(short), lambda c: F.when(c < 0, long).otherwise(c)), F.lit(0)
+    )
     return F.when(n >= 4, counted).otherwise(F.lit(0)).cast("long")
 
 
@@ -199,14 +211,14 @@ def quality_rules(
     split = base.select(
         "id",
         "t",
-        _words(F.col("t")).alias("w"),
+        split_words(F.col("t")).alias("w"),
         F.filter(F.split("t", "\n"), _has_word).alias("l"),
     )
     counted = split.select(
         "id",
         F.size("w").cast("long").alias("n_words"),
-        F.char_length(_without(F.col("t"), _BLANKS)).cast("long").alias("word_chars"),
-        _number_of(F.col("t"), _SYMBOLS).cast("long").alias("n_symbols"),
+        F.char_length(without(F.col("t"), BLANKS)).cast("long").alias("word_chars"),
+        number_of(F.col("t"), _SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         _repeated_words(F.col("w")).alias("n_repeat_words"),
         F.size("l").cast("long").alias("n_lines"),
@@ -220,7 +232,7 @@ def quality_rules(
         "chars_left_pct",
         F.when(
             F.col("word_chars") > 0,
-            F.char_length(_without(F.col("clean_text"), _BLANKS)) * 100.0 / F.col("word_chars"),
+            F.char_length(without(F.col("clean_text"), BLANKS)) * 100.0 / F.col("word_chars"),
         ).otherwise(F.lit(0.0)),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

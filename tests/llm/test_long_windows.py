@@ -30,3 +30,11 @@ def test_windows_with_equal_high_bits(spark):
     words = F.split(F.concat(F.lit(head + " "), rest), " ")
     row = spark.range(1).select(words.alias("w")).select(quality_rules._repeated_words(F.col("w")).alias("n"))
     assert row.first().n == 6
+
+
+def test_windows_with_equal_bits_in_shorter_texts(spark):
+    """Three words that share 44 hash bits with three others, between two equal windows."""
+    head = "x790 y601 z p x3093 y3226 z q x790 y601 z r".split()
+    for n in (70_000, 3_000, 10):
+        row = spark.range(1).select(F.lit([*head, *[f"u{k}" for k in range(n)]]).alias("w"))
+        assert row.select(quality_rules._repeated_words(F.col("w")).alias("n")).first().n == 6
