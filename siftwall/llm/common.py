@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 from collections.abc import Iterator, Sequence
 
@@ -76,6 +78,13 @@ def text_blocks(
             at = to
 
 
+def give_back() -> None:
+    """Return to the system what a Python worker no longer uses; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def filled(column: pa.Array) -> pa.Array:
     """A string column with null as empty."""
     return pc.fill_null(column.cast(pa.large_string()), "")

@@ -38,6 +38,10 @@ _ODD = np.array(
 SEEDS = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 3)) % (1 << 64)) for k in range(8)]
 
 
+#: Text bytes per block; the sets of a block take many times as much.
+BLOCK = 4 << 20
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * np.uint64(0xD6E8FEB86659FD93)
@@ -98,7 +102,7 @@ def _sizes(docs: DataFrame, words: int) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_blocks(batches, "t"):
+        for batch in text_blocks(batches, "t", BLOCK):
             sets = shingle_sets(batch.column("t"), words)
             nodes = [_node(s) if len(s) else None for s in sets]
             none = pa.nulls(len(sets), pa.int64())
@@ -177,7 +181,7 @@ def _prefixes(docs: DataFrame, frequent, words: int, percent: int, bitmap=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, df, bits = shared.value
-        for batch in text_blocks(batches, "t"):
+        for batch in text_blocks(batches, "t", BLOCK):
             seen: set[int] = set()
             columns: list[list[np.ndarray]] = [[], [], []]
             for s in shingle_sets(batch.column("t"), words):
@@ -236,7 +240,7 @@ def _texts(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, words: int) -> D
     rows = docs.join(ids, docs["id"].eqNullSafe(ids["one"]), "left_semi").select("t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_blocks(batches, "t"):
+        for batch in text_blocks(batches, "t", BLOCK):
             sets = shingle_sets(batch.column("t"), words)
             nodes = pa.array([_node(s) if len(s) else None for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([nodes, batch.column("t")], ["node", "text"])
@@ -255,7 +259,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, words: int, per
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, x = None, None
-        for batch in text_blocks(batches, "tb", 4 << 20):
+        for batch in text_blocks(batches, "tb", BLOCK):
             keep = []
             for a, ta, y in zip(batch.column("a").to_pylist(), batch.column("ta"), shingle_sets(batch.column("tb"), words)):
                 if a != last:

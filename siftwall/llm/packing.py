@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_codes, gathered, text_blocks
-from .tokenizer import chunk_encoder
+from .common import BLOCK_BYTES, chunk_codes, gathered, give_back, text_blocks
+from .tokenizer import KEPT_PIECES, chunk_encoder
 
 #: Context sizes, longest first; all are powers of two, so full windows need no padding.
 TIERS = (1024, 512, 256, 128)
@@ -141,17 +141,21 @@ def pack_documents(
     tiers: Sequence[int] = TIERS,
     step_tokens: int = 64 * 1024,
     keep_ids: bool = True,
+    block_bytes: int = BLOCK_BYTES,
+    kept_pieces: int = KEPT_PIECES,
 ) -> DataFrame:
     """One row per piece of a document: its place in the document and in its sequence.
 
     Columns ``id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     sequence_tokens, context, step_group, ids`` (``ids`` little-endian unsigned 32-bit, or
     null without ``keep_ids``). ``context`` is the size a sequence is padded to; sequences
-    of a power of two need no padding, and of each task's documents at most one sequence
-    does. Each document's tokens are followed by ``end_id``; null text is empty and gives
-    that id alone. A repeated row is a document of its own. Step groups are balanced within a task's
+    of a power of two need no padding, and of each block of ``block_bytes`` of a task's texts
+    at most one sequence does. Each document's tokens are followed by ``end_id``; null text is empty and gives
+    that id alone. A repeated row is a document of its own. Step groups are balanced within a block's
     sequences, ``step_tokens`` being the aim. ``tokenizer`` is a path that every executor
-    can read; nothing else is gathered, and a task holds one block of texts and its ids.
+    can read; nothing else is gathered, and a task holds one block of texts and its ids. A worker
+    keeps the ids of at most ``kept_pieces`` pieces of text. Other columns are ignored; an
+    empty table gives no piece.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -160,8 +164,8 @@ def pack_documents(
     end = np.array([end_id], dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = chunk_encoder(tokenizer, glued=True)
-        for block, batch in enumerate(text_blocks(batches, "t")):
+        encode = chunk_encoder(tokenizer, glued=True, keep=kept_pieces)
+        for block, batch in enumerate(text_blocks(batches, "t", block_bytes)):
             keys, codes, offsets = chunk_codes(batch.column("t"), glued=True)
             values, starts = encode(keys)
             tokens = [np.concatenate([x, end]) for x in gathered(codes, offsets, values, starts)]
@@ -185,6 +189,8 @@ def pack_documents(
             arrays.append(pa.array(columns[-1], pa.binary()))
             for at in range(0, len(out), 4096):
                 yield pa.RecordBatch.from_arrays([a.slice(at, 4096) for a in arrays], names)
+            del batch, keys, codes, tokens, windows, out, columns, arrays
+            give_back()
 
     pieces = rows.mapInArrow(run, schema)
     # a task's number above, its blocks and windows below: unique, and the same on a retry

@@ -53,7 +53,7 @@ def _pieces(chunk: str) -> list[str] | None:
 
 
 @lru_cache(maxsize=2)
-def chunk_encoder(path: str, glued: bool, joined: int = 64) -> Encoder:
+def chunk_encoder(path: str, glued: bool, joined: int = 64, keep: int = KEPT_PIECES) -> Encoder:
     """A function from chunks to all their ids, with the bounds of each chunk.
 
     Control strings are ordinary text. Most of the library's time goes into single calls,
@@ -62,7 +62,7 @@ def chunk_encoder(path: str, glued: bool, joined: int = 64) -> Encoder:
     a blank; otherwise the plain words and runs of marks of a chunk, whose last id is one
     that ends a word. If the borders found are not as many as the pieces, these pieces are
     encoded one by one. A Python worker keeps the encoder, and with it the ids of the first
-    KEPT_PIECES pieces and chunks, over blocks and tasks.
+    ``keep`` pieces and chunks, over blocks and tasks.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -130,8 +130,8 @@ def chunk_encoder(path: str, glued: bool, joined: int = 64) -> Encoder:
         for c, pieces in composed.items():
             fresh[c] = b"".join([kept[x] if x in kept else fresh[x] for x in pieces])
         found = [kept[c] if c in kept else fresh[c] for c in chunks]
-        if len(kept) < KEPT_PIECES:
-            kept.update(islice(fresh.items(), KEPT_PIECES - len(kept)))
+        if len(kept) < keep:
+            kept.update(islice(fresh.items(), keep - len(kept)))
         starts = np.zeros(len(found) + 1, dtype=np.int64)
         np.cumsum([len(x) // 4 for x in found], out=starts[1:])
         return np.frombuffer(b"".join(found), dtype=np.uint32), starts
