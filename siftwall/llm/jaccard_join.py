@@ -2,12 +2,13 @@
 
 Every distinct shingle set is a node. Under one order of all shingles, rare before
 frequent, two sets that are similar enough share a shingle of their first few (the prefix),
-so only prefixes are compared. Similar sets are first partitioned into groups: sets that
-agree in smallest hashes are compared with one leader each, which is linear however many
-sets agree. The matrix then has a row per shingle and group, the union of the members'
-prefixes. For each set and each other group, the number of its prefix shingles in the
-group's union bounds the overlap with any member; only groups that can still hold a
-partner are opened, and members are compared with the set itself. All partners are found.
+so only prefixes are compared. Similar sets are first partitioned into groups: of the sets
+that hold a shingle the most central one leads, and each set is compared with the leader it
+shares most shingles with, which is linear however many sets agree. The matrix then has a
+row per shingle and group, the union of the members' prefixes. For each set and each other
+group, the number of its prefix shingles in the group's union bounds the overlap with any
+member; only groups that can still hold a partner are opened, and members are compared with
+the set itself. No two groups between which there is a link stay apart.
 """
 
 from __future__ import annotations
@@ -34,8 +35,11 @@ _ODD = np.array(
 )
 
 
-#: Hash functions whose smallest values propose leaders; an order of work, not a filter.
-SEEDS = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 3)) % (1 << 64)) for k in range(8)]
+#: Rounds in which sets are compared with leaders; the candidates that they leave are all
+#: compared. An order of work, not a filter.
+ROUNDS = 4
+#: Partners of one set that one task compares it with.
+PARTNERS = 1024
 
 
 #: Text bytes per block; the sets of a block take many times as much.
@@ -87,18 +91,13 @@ def _node(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), seed=len(shingles))).astype(np.int64))
 
 
-def _least_hashes(shingles: np.ndarray) -> list[int]:
-    """Smallest hash of a set under each of SEEDS functions."""
-    return [int(_mixed(shingles * seed).min().astype(np.int64)) for seed in SEEDS]
-
-
 def prefix_length(n: int, percent: int) -> int:
     """Shingles of which a partner must share one: n less the least overlap, plus one."""
     return n - -(-percent * n // 100) + 1
 
 
 def _sizes(docs: DataFrame, words: int) -> DataFrame:
-    """Rows of texts (``id, n, node, least``) and, mixed with them, of locally frequent shingles."""
+    """Rows of texts (``id, n, node``) and, mixed with them, of locally frequent shingles."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,13 +105,11 @@ def _sizes(docs: DataFrame, words: int) -> DataFrame:
             sets = shingle_sets(batch.column("t"), words)
             nodes = [_node(s) if len(s) else None for s in sets]
             none = pa.nulls(len(sets), pa.int64())
-            least = pa.array([_least_hashes(s) if len(s) else None for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(nodes, pa.int64()),
-                    least,
                     none,
                     none,
                 ],
@@ -130,17 +127,14 @@ def _sizes(docs: DataFrame, words: int) -> DataFrame:
                         [
                             pa.nulls(size, batch.schema.field("id").type),
                             *(pa.nulls(size, pa.int64()) for _ in range(2)),
-                            pa.nulls(size, pa.list_(pa.int64())),
                             pa.array(tokens[part]),
                             pa.array(df[part].astype(np.int64)),
                         ],
                         names,
                     )
 
-    names = ["id", "n", "node", "least", "token", "df"]
-    return docs.mapInArrow(
-        run, f"id {kind}, n long, node long, least array<bigint>, token long, df long"
-    )
+    names = ["id", "n", "node", "token", "df"]
+    return docs.mapInArrow(run, f"id {kind}, n long, node long, token long, df long")
 
 
 def _frequent(sizes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -172,46 +166,58 @@ def _bitmap(several: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _prefixes(docs: DataFrame, frequent, words: int, percent: int, bitmap=None) -> DataFrame:
-    """``token, node, n`` of every set's prefix, rare shingles first.
-
-    With ``bitmap``, shingles whose bit is not set are left out.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((*frequent, bitmap))
+def _prefixes(docs: DataFrame, frequent, words: int, percent: int) -> DataFrame:
+    """``node, n, prefix`` of every set, rare shingles first; a set may occur in several blocks."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, df, bits = shared.value
+        known, df = shared.value
         for batch in text_blocks(batches, "t", BLOCK):
-            seen: set[int] = set()
-            columns: list[list[np.ndarray]] = [[], [], []]
+            rows: dict[int, tuple[int, np.ndarray]] = {}
             for s in shingle_sets(batch.column("t"), words):
-                if not len(s):
-                    continue
-                node = _node(s)
-                if node in seen:
+                node = _node(s) if len(s) else None
+                if node is None or node in rows:
                     continue
-                seen.add(node)
                 weight = np.zeros(len(s), dtype=np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     weight = np.where(known[at] == s, df[at], 0)
-                first = s[np.lexsort((s, weight))[: prefix_length(len(s), percent)]]
-                if bits is not None:
-                    low = first & np.uint64(BITMAP_BITS - 1)
-                    found = (bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) == 1
-                    first = first[found]
-                size = len(first)
-                columns[0].append(first.view(np.int64))
-                columns[1].append(np.full(size, node, dtype=np.int64))
-                columns[2].append(np.full(size, len(s), dtype=np.int32))
-            if columns[0]:
-                flat = [pa.array(np.concatenate(c)) for c in columns]
-                for at in range(0, len(flat[0]), 1 << 17):
-                    yield pa.RecordBatch.from_arrays(
-                        [c.slice(at, 1 << 17) for c in flat], ["token", "node", "n"]
-                    )
+                rows[node] = len(s), s[np.lexsort((s, weight))[: prefix_length(len(s), percent)]].view(np.int64)
+            if rows:
+                starts = np.cumsum([0, *(len(first) for _, first in rows.values())])
+                flat = pa.array(np.concatenate([first for _, first in rows.values()]))
+                whole = pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(list(rows), pa.int64()),
+                        pa.array([n for n, _ in rows.values()], pa.int32()),
+                        pa.ListArray.from_arrays(pa.array(starts, pa.int32()), flat),
+                    ],
+                    ["node", "n", "prefix"],
+                )
+                for at in range(0, whole.num_rows, 1024):
+                    yield whole.slice(at, 1024)
+
+    return docs.select("t").mapInArrow(run, "node long, n int, prefix array<bigint>")
+
+
+def _marked(prefixes: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """``token, node, n`` of the prefix shingles whose bit is set."""
+    shared = prefixes.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            lists = batch.column("prefix")
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            sizes = np.diff(np.asarray(lists.offsets, dtype=np.int64))
+            low = flat.view(np.uint64) & np.uint64(BITMAP_BITS - 1)
+            found = (bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) == 1
+            columns = [flat, *(np.repeat(batch.column(c).to_numpy(), sizes) for c in ("node", "n"))]
+            whole = pa.RecordBatch.from_arrays([pa.array(c[found]) for c in columns], ["token", "node", "n"])
+            for at in range(0, whole.num_rows, 1 << 17):
+                yield whole.slice(at, 1 << 17)
 
-    return docs.select("t").mapInArrow(run, "token long, node long, n int")
+    return prefixes.mapInArrow(run, "token long, node long, n int")
 
 
 def _least_overlap(n1: Column, n2: Column, percent: int) -> Column:
@@ -249,13 +255,22 @@ def _texts(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, words: int) -> D
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The ``a, b`` pairs whose sets are similar enough, by exact intersection.
+    """The ``a, b`` of the staged ``pairs`` whose sets are similar enough, by exact intersection.
 
-    Texts travel rather than sets, which are larger; both are cut into shingles again.
+    Texts travel rather than sets, which are larger; both are cut into shingles again. A set
+    with many partners is dealt to a task for every PARTNERS of them.
     """
     texts = stage(_texts(docs, sizes, pairs, words), "jaccard-texts")
-    other = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    both = other.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    counts = stage(pairs.groupBy("a").agg(F.count("*").alias("c")), "jaccard-partners")
+    parts = F.ceil(F.col("c") / F.lit(float(PARTNERS)))
+    dealt = attach(pairs.select("a", "b"), counts, ["a"], "c", F.col("b")).select(
+        "a", "b", F.pmod(F.xxhash64("b"), parts).alias("part")
+    )
+    leads = counts.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select(
+        "a", "ta", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")
+    )
+    other = dealt.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    both = other.join(leads, ["a", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, x = None, None
@@ -274,69 +289,69 @@ def _linked(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, words: int, per
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _stars(signatures: DataFrame, groups: DataFrame | None, leader, percent: int) -> DataFrame:
-    """At most one ``a, b`` pair per set ``b``: a leader that it agrees with in two hashes or more."""
-    labelled = signatures.withColumn("g", F.col("node"))
-    if groups is not None:
-        labelled = signatures.join(groups, "node", "left").withColumn("g", F.coalesce("label", "node"))
-    leads = labelled.groupBy("h", "v").agg(
-        leader(F.struct("node", "n", "g")).alias("lead"), F.count("*").alias("c")
-    )
-    agreed = (
-        labelled.join(leads.where("c > 1").drop("c"), ["h", "v"])
-        .where((F.col("lead.node") != F.col("node")) & (F.col("lead.g") != F.col("g")))
-        .where(F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent)
-        .groupBy(F.col("node").alias("b"), F.col("lead.node").alias("a"))
-        .agg(F.count("*").alias("c"))
-        .where("c > 1")
+def _alike(n1: str, n2: str, percent: int) -> Column:
+    """Whether sets of these sizes can be similar enough at all."""
+    return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
+
+
+def _open(placed: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``placed`` that can still belong to a link between two groups.
+
+    A set needs a certain number of prefix shingles that other groups hold as well, by its
+    own size and the sizes that occur with these shingles; sets with fewer have no partner.
+    """
+    across = placed.groupBy("token").agg(
+        F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi")
     )
-    return agreed.groupBy("b").agg(F.max(F.struct("c", "a"))["a"].alias("a"))
+    rows = placed.join(across.where("lo <> hi").drop("lo", "hi"), "token")
+    low = F.greatest(F.min("n_lo"), F.ceil(F.col("n") * percent / F.lit(100.0)))
+    high = F.least(F.max("n_hi"), F.floor(F.col("n") * 100 / F.lit(float(percent))))
+    needed = F.least(_needed(F.col("n"), low, percent), _needed(F.col("n"), high, percent)) - 1
+    able = rows.groupBy("node", "n").agg(F.count("*").alias("c"), low.alias("low"), high.alias("high"), needed.alias("least"))
+    able = able.where("low <= high AND c >= least").select("node")
+    return rows.join(able, "node", "left_semi").select(*placed.columns)
 
 
-def links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Nodes of all rows and enough links between nodes to give every component.
+def _stars(placed: DataFrame, tested: DataFrame | None, percent: int, shift: float) -> DataFrame:
+    """At most one ``a, b`` pair per set ``b``: the leader it shares most shingles with.
 
-    ``docs`` has ``id`` and ``t``. Returns ``(sizes, edges)``: ``id, n, node`` per row, and
-    ``a, b`` pairs. Every edge is a true link. Links inside a group that the first
-    comparison has already connected are not all listed, since they join nothing new; every
-    link between sets of different groups is.
+    Of the sets of about one size that hold a shingle the most central leads. Of several
+    pairs between two groups the one with most shared shingles is kept.
     """
-    mixed = stage(_sizes(docs, words), "jaccard-sizes")
-    sizes = mixed.where("token IS NULL").select("id", "n", "node")
-    frequent = _frequent(mixed)
-    # most shingles are in one set only: they are counted, but not shuffled as rows
-    nodes_of = _prefixes(docs, frequent, words, percent).groupBy("token").agg(
-        F.min("node").alias("lo"), F.max("node").alias("hi")
+    band = F.floor(F.log(F.col("n")) / F.lit(float(np.log(100.0 / percent))) + F.lit(shift))
+    banded = placed.withColumn("band", band)
+    leads = banded.groupBy("token", "band").agg(
+        F.max(F.struct("central", "node", "n", "g")).alias("lead"), F.min("g").alias("lo"), F.max("g").alias("hi")
     )
-    several = stage(nodes_of.where("lo <> hi").select("token"), "jaccard-several")
-    shared = _prefixes(docs, frequent, words, percent, _bitmap(several))
-    blocks = stage(shared.join(small(several), "token").distinct(), "jaccard-blocks")
-
-    # partition into groups: each set against the leader it agrees with in most hashes,
-    # then once more those that this left outside the group of another leader
-    signatures = (
-        mixed.where("node IS NOT NULL")
-        .groupBy("node", "n", "least")
-        .agg(F.count("*").alias("copies"))
-        .select("node", "n", F.posexplode("least").alias("h", "v"))
+    leads = leads.where("lo <> hi").select("token", "band", *(F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("node", "n", "g")))
+    agreed = (
+        banded.join(leads, ["token", "band"])
+        .where("lead_g <> g")
+        .where(_alike("n", "lead_n", percent))
+        .groupBy(F.col("lead_node").alias("a"), F.col("node").alias("b"), F.col("lead_g").alias("ga"), F.col("g").alias("gb"), "n", "lead_n")
+        .agg(F.count("*").alias("c"))
+        .where(F.col("c") * 2 >= _needed(F.col("n"), F.col("lead_n"), percent))
     )
-    signatures = stage(signatures, "jaccard-signatures")
-    first, groups = None, None
-    for leader in (F.min, F.max):
-        stars = stage(_stars(signatures, groups, leader, percent), "jaccard-stars")
-        linked = stage(_linked(stars, docs, sizes, words, percent), "jaccard-first")
-        first = linked if first is None else first.unionByName(linked)
-        groups = components(first)
-
-    # the matrix: shingles of several groups only
-    placed = stage(
-        blocks.join(groups, "node", "left").select(
-            "token", "node", "n", F.coalesce("label", "node").alias("g")
-        ),
-        "jaccard-placed",
+    if tested is not None:
+        agreed = agreed.join(tested, ["a", "b"], "left_anti")
+    best = agreed.groupBy("b", "gb").agg(F.max(F.struct("c", "a", "ga")).alias("x"))
+    return (
+        best.groupBy("gb", F.col("x.ga").alias("ga"))
+        .agg(F.max(F.struct(F.col("x.c").alias("c"), F.col("x.a").alias("a"), "b")).alias("x"))
+        .select("x.a", "x.b")
     )
-    across = placed.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi")
-    placed = stage(placed.join(across.select("token"), "token", "left_semi"), "jaccard-across")
+
+
+def _regrouped(rows: DataFrame, moves: DataFrame, groups: tuple[str, ...]) -> DataFrame:
+    """``rows`` with the ``node, label`` of merged groups in place of the groups' own names."""
+    for g in groups:
+        moved = moves.select(F.col("node").alias(g), "label")
+        rows = rows.join(moved, g, "left").withColumn(g, F.coalesce("label", g)).drop("label")
+    return rows
+
+
+def _candidates(placed: DataFrame, percent: int) -> DataFrame:
+    """``a, b, ga, gb, c``: all pairs of sets of different groups that may be a link."""
     matrix = placed.groupBy("token", F.col("g").alias("to")).agg(
         F.min("n").alias("n_lo"), F.max("n").alias("n_hi")
     )
@@ -354,22 +369,90 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame
     bound = F.least(_needed(F.col("n"), low, percent), _needed(F.col("n"), high, percent)) - 1
     opened = matched.where((low <= high) & (F.col("c") >= bound)).select("node", "to")
     queries = placed.join(opened, "node").select(
-        "token", F.col("node").alias("a"), F.col("n").alias("an"), "to"
-    )
-    members = placed.select(
-        "token", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("g").alias("to")
+        "token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("g").alias("ga"), "to"
     )
-    candidates = (
+    members = placed.select("token", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("g").alias("to"))
+    return (
         queries.join(members, ["token", "to"])
-        .groupBy("a", "b", "an", "bn")
+        .where(_alike("an", "bn", percent))
+        .groupBy("a", "b", "an", "bn", "ga", F.col("to").alias("gb"))
         .agg(F.count("*").alias("c"))
-        .where((F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent))
         .where(F.col("c") >= _needed(F.col("an"), F.col("bn"), percent))
-        .select("a", "b")
+        .select("a", "b", "ga", "gb", "c")
     )
-    candidates = stage(candidates, "jaccard-candidates")
-    second = stage(_linked(candidates, docs, sizes, words, percent), "jaccard-second")
-    return sizes, first.unionByName(second)
+
+
+def _named(edges: DataFrame, placed: DataFrame) -> DataFrame:
+    """Edges between sets as edges between the groups that hold them."""
+    of = placed.select("node", "g").distinct()
+    one = edges.join(of.select(F.col("node").alias("a"), F.col("g").alias("ga")), "a")
+    both = one.join(of.select(F.col("node").alias("b"), F.col("g").alias("gb")), "b")
+    return both.select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+
+
+def links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """Nodes of all rows and enough links between nodes to give every component.
+
+    ``docs`` has ``id`` and ``t``. Returns ``(sizes, edges)``: ``id, n, node`` per row, and
+    ``a, b`` pairs. Every edge is a true link. Links inside a group that others have already
+    connected are not all listed, since they join nothing new; two groups between which
+    there is a link are always connected.
+    """
+    mixed = stage(_sizes(docs, words), "jaccard-sizes")
+    sizes = mixed.where("token IS NULL").select("id", "n", "node")
+    prefixes = stage(_prefixes(docs, _frequent(mixed), words, percent), "jaccard-prefixes")
+    # most shingles are in one set only: they are counted, but not shuffled as rows
+    nodes_of = prefixes.select("node", F.explode("prefix").alias("token")).groupBy("token").agg(
+        F.min("node").alias("lo"), F.max("node").alias("hi")
+    )
+    several = stage(nodes_of.where("lo <> hi").select("token"), "jaccard-several")
+    marked = _marked(prefixes, _bitmap(several))
+    blocks = stage(marked.join(small(several), "token").distinct(), "jaccard-blocks")
+
+    # a set is central if much of its prefix is in many other sets
+    held = blocks.groupBy("token").agg(F.count("*").alias("df"))
+    weights = blocks.join(held, "token").groupBy("node", "n").agg(F.sum(F.log("df")).alias("w"))
+    length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0)) + 1
+    central = weights.select("node", (F.col("w") / length).alias("central"))
+    placed = blocks.join(central, "node").withColumn("g", F.col("node"))
+    placed = stage(_open(placed, percent), "jaccard-placed")
+
+    found, tested = [], None
+    for k in range(ROUNDS):
+        stars = stage(_stars(placed, tested, percent, 0.5 * (k % 2)), "jaccard-stars")
+        if stars.isEmpty():
+            break
+        tested = stars if tested is None else tested.unionByName(stars)
+        found.append(stage(_linked(stars, docs, sizes, words, percent), "jaccard-linked"))
+        if k and found[-1].isEmpty():
+            break
+        moves = components(_named(found[-1], placed))
+        placed = stage(_open(_regrouped(placed, moves, ("g",)), percent), "jaccard-placed")
+
+    left = stage(_candidates(placed, percent), "jaccard-candidates")
+    if tested is not None:
+        left = stage(left.join(tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"), "jaccard-candidates")
+    merging = True
+    while not left.isEmpty():
+        best = left
+        if merging:
+            of_pair = left.groupBy(F.least("ga", "gb").alias("x"), F.greatest("ga", "gb").alias("y"))
+            best = of_pair.agg(F.max(F.struct("c", "a", "b")).alias("m")).select("m.a", "m.b")
+        best = stage(best.select("a", "b"), "jaccard-best")
+        found.append(stage(_linked(best, docs, sizes, words, percent), "jaccard-linked"))
+        if not merging:
+            break
+        # once a round merges nothing, the rest is compared in full
+        merging = not found[-1].isEmpty()
+        moves = components(_named(found[-1], placed))
+        placed = _regrouped(placed, moves, ("g",))
+        rest = _regrouped(left.join(best, ["a", "b"], "left_anti"), moves, ("ga", "gb"))
+        left = stage(rest.where("ga <> gb"), "jaccard-candidates")
+
+    edges = docs.sparkSession.createDataFrame([], "a long, b long")
+    for part in found:
+        edges = edges.unionByName(part)
+    return sizes, edges
 
 
 def jaccard_components(
