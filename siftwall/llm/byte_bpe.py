@@ -1,14 +1,18 @@
 """Byte-level BPE with Spark higher-order functions.
 
-Texts are cut into words by the pre-tokenizer pattern, block by block; each block carries
-its distinct words as arrays of byte ids. Higher-order functions fold the ranked merges over
-every distinct word, looking ranks up in a literal table, and decode by concatenating the
-binary pieces of the ids. Word results are then dealt back to the texts of the block.
+Texts are cut into words by the pre-tokenizer pattern. Higher-order functions fold the ranked
+merges over distinct words as arrays of byte ids, looking ranks up in a literal table, and
+decode by concatenating the binary pieces of the ids. The words of the corpus' most frequent
+chunks are folded once, and their ids are a bounded broadcast table; each block of texts
+folds only the distinct words that this table lacks. Results are then dealt back to the
+texts of the block. A step of the fold copies its word, so very long words, which would cost
+the square of their length, are merged with a heap instead.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_codes, flat_lists, gathered, text_blocks
+from ..session import stage
+from .common import chunk_codes, flat_lists, gathered, give_back, text_blocks
 
 _BITS = 17  # of a token id
+#: Chunks whose ids are broadcast, and their bytes at most; others are folded block by block.
+KNOWN, KNOWN_BYTES = 1 << 19, 48
+#: Bytes of a word above which it is merged with a heap.
+LONG = 512
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -126,6 +135,34 @@ def encode_word(ids: Column, table: Column, sizes: tuple[int, int]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), start, lambda s, _: step(s))["tokens"]
 
 
+def merge_long(ids: list[int], merged: dict[tuple[int, int], int]) -> list[int]:
+    """The merges of one long word with a heap of pairs, lowest rank and leftmost first.
+
+    ``merged`` has the id, which is also the rank, of every pair that merges.
+    """
+    ids = list(ids)
+    n = len(ids)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(merged[pair], k, *pair) for k, pair in enumerate(zip(ids, ids[1:])) if pair in merged]
+    heapq.heapify(heap)
+    while heap:
+        token, k, left, right = heapq.heappop(heap)
+        then = after[k]
+        # -1 marks an id that has become part of the one before it
+        if ids[k] != left or then >= n or ids[then] != right:
+            continue
+        ids[k], ids[then] = token, -1
+        after[k] = after[then]
+        if after[k] < n:
+            before[after[k]] = k
+        for at in (before[k], k):
+            if at >= 0 and after[at] < n:
+                pair = ids[at], ids[after[at]]
+                if pair in merged:
+                    heapq.heappush(heap, (merged[pair], at, *pair))
+    return [i for i in ids if i >= 0]
+
+
 def _words(chunk_list: list[str], pattern) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words of chunks, and each chunk's words by number."""
     known: dict[str, int] = {}
@@ -134,6 +171,48 @@ def _words(chunk_list: list[str], pattern) -> tuple[list[str], np.ndarray, np.nd
     return list(known), values, starts
 
 
+def _taken(values: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists numbered ``which`` one after another, and their bounds."""
+    n = np.diff(starts)[which]
+    ends = np.cumsum(n, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    index = np.repeat(starts[which] - (ends - n), n) + np.arange(total, dtype=np.int64)
+    return values[index], np.concatenate([[0], ends])
+
+
+def _frequent_chunks(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """``id, t``, both a chunk: the KNOWN most frequent ones or fewer, of those that repeat."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_blocks(batches, "t", block_bytes):
+            chunks, codes, _ = chunk_codes(batch.column("t"), glued=True)
+            counts = pa.array(np.bincount(codes, minlength=len(chunks)))
+            whole = pa.RecordBatch.from_arrays([pa.array(chunks, pa.string()), counts], ["chunk", "c"])
+            del chunks, codes
+            for at in range(0, whole.num_rows, 1 << 15):
+                yield whole.slice(at, 1 << 15)
+            give_back()
+
+    counted = (
+        rows.select("t")
+        .mapInArrow(count, "chunk string, c long")
+        .where(F.octet_length("chunk") <= KNOWN_BYTES)
+        .groupBy("chunk")
+        .agg(F.sum("c").alias("c"))
+        .where("c > 1")
+    )
+    counted = stage(counted, "bpe-chunks")
+    top = F.least("c", F.lit(1 << 16)).alias("c")
+    sizes = counted.select(top).groupBy("c").count().orderBy(F.desc("c")).collect()
+    least, total = (1 << 16) + 1, 0
+    for r in sizes:
+        total += r["count"]
+        if total > KNOWN:
+            break
+        least = r["c"]
+    return counted.where(F.col("c") >= least).select(F.col("chunk").alias("id"), F.col("chunk").alias("t"))
+
+
 def encode_documents(
     docs: DataFrame,
     ranks_path: str,
@@ -145,27 +224,63 @@ def encode_documents(
     """``id, ids, decoded`` of every text: the ids as little-endian unsigned 32-bit numbers.
 
     Null counts as empty, which has no ids; control strings are ordinary text; repeated rows
-    give repeated results, and other columns are not looked at. ``decoded`` is made from the
-    ids. There is no shuffle; a task holds one block of about ``block_bytes`` of text, and a
-    longer text is a block of its own.
+    give repeated results, an empty table gives none, and other columns are not looked at.
+    ``decoded`` is made from the ids. Only counts of chunks are shuffled; a task holds one
+    block of about ``block_bytes`` of text, and a longer text is a block of its own.
     """
     ranks = read_ranks(ranks_path)
     if set(ranks) < {bytes([b]) for b in range(256)}:
         raise ValueError("every byte needs a rank")
-    byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    chunks = _frequent_chunks(rows, block_bytes)
+    # KNOWN rows of KNOWN_BYTES at most
+    known = stage(_encoded(chunks, ranks, pattern, block_bytes, None), "bpe-known").toArrow().combine_chunks()
+    return _encoded(rows, ranks, pattern, block_bytes, known)
+
+
+def _encoded(
+    rows: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int, known: pa.Table | None
+) -> DataFrame:
+    """``id, ids, decoded`` of rows ``id, t``, given the same of known chunks."""
+    byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
     kind = rows.schema["id"].dataType.simpleString()
+    first, second = merge_tables(ranks)
+    mask = (1 << _BITS) - 1
+    pairs = {}
+    for cell in (c for c in (*first, *second) if c >= 0):
+        pairs[cell >> 2 * _BITS, (cell >> _BITS) & mask] = cell & mask
+    if known is None or not known.num_rows:
+        bounds = np.zeros(1, dtype=np.int64)
+        table_of = (pa.array([], pa.string()), np.zeros(0, "<u4"), bounds, np.zeros(0, "u1"), bounds)
+    else:
+        ids, ids_starts = _bytes(known["ids"])
+        out, out_starts = _bytes(known["decoded"])
+        names = known["id"].cast(pa.string())
+        table_of = (names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names, ids.view("<u4"), ids_starts // 4, out, out_starts)
+    shared = rows.sparkSession.sparkContext.broadcast(table_of)
+    merges = rows.sparkSession.sparkContext.broadcast(pairs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
         import regex
 
         compiled = regex.compile(pattern)
+        names = shared.value[0]
         for batch in text_blocks(batches, "t", block_bytes):
             chunks, codes, offsets = chunk_codes(batch.column("t"), glued=True)
-            words, chunk_words, chunk_starts = _words(chunks, compiled)
+            at = pc.fill_null(pc.index_in(pa.array(chunks, pa.string()), value_set=names), -1).to_numpy(False)
+            rest = np.flatnonzero(at < 0)
+            place = at.astype(np.int32)
+            place[rest] = len(names) + np.arange(len(rest))
+            words, chunk_words, chunk_starts = _words([chunks[k] for k in rest.tolist()], compiled)
+            del chunks
             raw = [w.encode("utf-8") for w in words]
-            flat = byte_ids[np.frombuffer(b"".join(raw), dtype=np.uint8)]
-            ends = np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)])
+            lists = [byte_ids[np.frombuffer(r, dtype=np.uint8)] for r in raw]
+            for k, r in enumerate(raw):
+                if len(r) > LONG:
+                    lists[k] = np.array(merge_long(lists[k].tolist(), merges.value), dtype=np.int64)
+            flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
             bytes_of = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -173,25 +288,28 @@ def encode_documents(
                     pa.ListArray.from_arrays(pa.array([0, len(bytes_of)], pa.int32()), bytes_of),
                     *(
                         pa.array([x.astype(t).tobytes()], pa.binary())
-                        for x, t in ((codes, "i4"), (offsets, "i8"), (chunk_words, "i4"), (chunk_starts, "i8"))
+                        for x, t in zip((codes, offsets, place, chunk_words, chunk_starts), ("i4", "i8", "i4", "i4", "i8"))
                     ),
                 ],
-                ["id", "words", "codes", "offsets", "chunk_words", "chunk_starts"],
+                ["id", "words", *packed],
             )
+            del words, raw, lists, flat, bytes_of, codes
+            give_back()
 
+    packed = ["codes", "offsets", "place", "chunk_words", "chunk_starts"]
     blocks = rows.mapInArrow(
-        cut,
-        f"id array<{kind}>, words array<array<bigint>>, codes binary, offsets binary,"
-        " chunk_words binary, chunk_starts binary",
+        cut, f"id array<{kind}>, words array<array<bigint>>, " + ", ".join(f"{c} binary" for c in packed)
     )
-    first, second = merge_tables(ranks)
     sizes = (len(first), len(second))
     table = F.struct(_numbers(first).alias("a"), _numbers(second).alias("b"))
     # a one-element array binds the table to a name, so that the plan has it once
     encoded = F.get(
         F.transform(
             F.array(table),
-            lambda tab: F.transform("words", lambda w: encode_word(w, tab, sizes)),
+            # longer lists are merged already
+            lambda tab: F.transform(
+                "words", lambda w: F.when(F.size(w) > LONG, w).otherwise(encode_word(w, tab, sizes))
+            ),
         ),
         F.lit(0),
     )
@@ -199,53 +317,52 @@ def encode_documents(
     pieces = [b""] * (by_id[-1][0] + 1)
     for i, token in by_id:
         pieces[i] = token
-    vocabulary = F.transform(F.split(F.lit(",".join(p.hex() for p in pieces)), ","), F.unhex)
+    vocabulary = F.split(F.lit(",".join(p.hex() for p in pieces)), ",")
+    # hexadecimal pieces are joined in one go, binary ones only two at a time
     decoded = F.get(
         F.transform(
             F.array(vocabulary),
             lambda v: F.transform(
                 "tokens",
-                lambda ids: F.aggregate(
-                    ids, F.lit(b""), lambda out, i: F.concat(out, F.get(v, i.cast("int")))
-                ),
+                lambda ids: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(v, i.cast("int"))), "")),
             ),
         ),
         F.lit(0),
     )
-    folded = blocks.withColumn("tokens", encoded).select(
-        "id", "codes", "offsets", "chunk_words", "chunk_starts", "tokens", decoded.alias("bytes")
-    )
+    folded = blocks.withColumn("tokens", encoded).select("id", *packed, "tokens", decoded.alias("bytes"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 block = batch.slice(k, 1)
                 ids = block.column("id").flatten()
-                codes, offsets, chunk_words, chunk_starts = (
+                codes, offsets, place, chunk_words, chunk_starts = (
                     np.frombuffer(block.column(c)[0].as_py(), dtype=t)
-                    for c, t in (("codes", "i4"), ("offsets", "i8"), ("chunk_words", "i4"), ("chunk_starts", "i8"))
+                    for c, t in zip(packed, ("i4", "i8", "i4", "i4", "i8"))
                 )
                 outs = []
-                for values, starts, dtype in (
-                    (*_lists(block.column("tokens")), "<u4"),
-                    (*_binaries(block.column("bytes")), "u1"),
+                for (values, starts), (known_values, known_starts) in (
+                    (_lists(block.column("tokens")), shared.value[1:3]),
+                    (_bytes(block.column("bytes").flatten()), shared.value[3:5]),
                 ):
-                    # first the words of a chunk, then the chunks of a text
-                    of_chunk = list(gathered(chunk_words, chunk_starts, values.astype(dtype), starts))
-                    chunk_ends = np.concatenate([[0], np.cumsum([len(x) for x in of_chunk], dtype=np.int64)])
-                    flat = np.concatenate(of_chunk) if of_chunk else np.zeros(0, dtype)
-                    outs.append(gathered(codes, offsets, flat, chunk_ends))
-                rows = [(a.tobytes(), b.tobytes()) for a, b in zip(*outs)]
-                for at in range(0, len(rows), 1024):
-                    part = rows[at : at + 1024]
+                    # first the words of a new chunk, then the chunks of the block, known or new
+                    new, ends = _taken(values.astype(known_values.dtype), starts, chunk_words)
+                    every = np.concatenate([known_values, new])
+                    bounds = np.concatenate([known_starts[:-1], ends[chunk_starts] + len(known_values)])
+                    flat, chunk_ends = _taken(every, bounds, place)
+                    outs.append(gathered(codes, offsets, flat, chunk_ends, 1 << 18))
+                rows = zip(*outs)
+                for at in range(0, len(ids), 512):
+                    part = [(a.tobytes(), b.tobytes()) for _, (a, b) in zip(range(min(512, len(ids) - at)), rows)]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            ids.slice(at, 1024),
+                            ids.slice(at, 512),
                             pa.array([a for a, _ in part], pa.binary()),
                             pa.array([b for _, b in part], pa.binary()),
                         ],
                         ["id", "ids", "decoded"],
                     )
+                give_back()
 
     return folded.mapInArrow(deal, f"id {kind}, ids binary, decoded binary")
 
@@ -257,8 +374,14 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return inner.flatten().to_numpy(zero_copy_only=False), starts - starts[0]
 
 
-def _binaries(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    inner = column.flatten()
-    values = b"".join(inner.to_pylist())
-    sizes = np.array([len(x) for x in inner.to_pylist()], dtype=np.int64)
-    return np.frombuffer(values, dtype=np.uint8), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+def _bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes and bounds of a binary column."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return data[bounds[0] : bounds[-1]], bounds - bounds[0]
