@@ -34,7 +34,7 @@ class HmmSettings:
     #: 200,000 x 128 bytes.
     frequent: int = 200_000
     frequent_bytes: int = 128
-    #: Training cuts texts into runs of so many tokens; scoring takes them whole.
+    #: Training works through texts in runs of so many tokens; its counts do not depend on it.
     run_tokens: int = 256
 
     @property
@@ -70,54 +70,145 @@ def first_guess(class_counts: np.ndarray, settings: HmmSettings) -> Hmm:
     return Hmm(np.full(k, 1.0 / k), moves, emits / emits.sum(1, keepdims=True))
 
 
-def expected_counts(
-    model: Hmm, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray
+def _transfers(model: Hmm, codes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Per run, up to a factor, the matrix that takes the distribution before its first token
+    to that before the token after its last one."""
+    order = np.argsort(-length, kind="stable")
+    begin, length = begin[order], length[order]
+    k, longest = len(model.start), int(length[0]) if len(length) else 0
+    alive = np.searchsorted(-length, -np.arange(longest), "left")
+    emit = np.ascontiguousarray(model.emits.T)
+    found = np.tile(np.eye(k), (len(begin), 1, 1))
+    for t in range(longest):
+        n = int(alive[t])
+        ahead = found[:n] * emit[codes[begin[:n] + t]][:, None, :]
+        if t % 8 == 7:
+            ahead /= ahead.max((1, 2))[:, None, None]
+        found[:n] = (ahead.reshape(-1, k) @ model.moves).reshape(n, k, k)
+    out = np.empty_like(found)
+    out[order] = found / found.max((1, 2))[:, None, None]
+    return out
+
+
+def _run_counts(
+    model: Hmm,
+    codes: np.ndarray,
+    begin: np.ndarray,
+    length: np.ndarray,
+    entry: np.ndarray,
+    after: np.ndarray,
+    first: np.ndarray,
+    last: np.ndarray,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts (start, moves, emits) of many runs at once, and their log10 likelihood.
+    """Counts of many runs at once, given what the rest of their texts says about their ends.
 
-    Runs are sorted by length, so that step ``t`` works on the runs that are that long.
+    ``entry`` is the distribution before a run's first token, ``after`` the likelihood of all
+    that follows the run by the state it starts in. Runs are sorted by length, so that step
+    ``t`` works on the runs that are that long.
     """
-    order = np.argsort(-sizes, kind="stable")
-    starts, sizes = starts[order], sizes[order]
-    k, longest = len(model.start), int(sizes[0]) if len(sizes) else 0
-    alive = np.searchsorted(-sizes, -np.arange(longest), "left")
+    order = np.argsort(-length, kind="stable")
+    begin, length, entry, after, first, last = (
+        x[order] for x in (begin, length, entry, after, first, last)
+    )
+    k, longest = len(model.start), int(length[0]) if len(length) else 0
+    alive = np.searchsorted(-length, -np.arange(longest), "left")
     emit = model.emits.T
     alphas, scales, seen = [], [], []
     loglik = 0.0
     for t in range(longest):
         n = int(alive[t])
-        codes_t = codes[starts[:n] + t]
-        alpha = (model.start if t == 0 else alphas[-1][:n] @ model.moves) * emit[codes_t]
+        codes_t = codes[begin[:n] + t]
+        alpha = (entry if t == 0 else alphas[-1][:n] @ model.moves) * emit[codes_t]
         scale = alpha.sum(1)
         loglik += float(np.log10(scale).sum())
         alphas.append(alpha / scale[:, None])
         scales.append(scale)
         seen.append(codes_t)
     moves = np.zeros((k, k))
+    beyond = after @ model.moves.T
     gammas = []
     beta = np.ones((0, k))
     for t in range(longest - 1, -1, -1):
         n = int(alive[t])
-        if t + 1 < longest:
-            m = int(alive[t + 1])
+        m = int(alive[t + 1]) if t + 1 < longest else 0
+        if m:
             ahead = emit[seen[t + 1]] * beta / scales[t + 1][:, None]
             moves += model.moves * (alphas[t][:m].T @ ahead)
-            beta = np.concatenate([ahead @ model.moves.T, np.ones((n - m, k))])
-        else:
-            beta = np.ones((n, k))
+            beta = ahead @ model.moves.T
+        # runs that end here: the move into the next run, if there is one, counts as well
+        ends = alphas[t][m:]
+        total = (ends * beyond[m:n]).sum(1)
+        inner = ~last[m:n]
+        moves += model.moves * (ends[inner].T @ (after[m:n][inner] / total[inner, None]))
+        beta = np.concatenate([beta, beyond[m:n] / total[:, None]])
         gammas.append(alphas[t] * beta)
     emits = np.zeros_like(model.emits)
+    start = np.zeros(k)
     if longest:
-        start = gammas[-1].sum(0)
+        start = gammas[-1][first].sum(0)
         all_codes = np.concatenate(seen[::-1])
         gamma = np.concatenate(gammas)
         for s in range(k):
             emits[s] = np.bincount(all_codes, gamma[:, s], emits.shape[1])
-    else:
-        start = np.zeros(k)
     return start, moves, emits, loglik
 
 
+def expected_counts(
+    model: Hmm, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, run_tokens: int = 256
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts (start, moves, emits) of whole sequences, and their log10 likelihood.
+
+    Long sequences are worked through in runs, side by side: the product of a run's steps is
+    one small matrix, and chains of these give the exact distribution at each run's begin and
+    the exact likelihood of what follows it. So the counts do not depend on ``run_tokens``,
+    and neither do memory and steps on the length of a text, but for one matrix a run.
+    """
+    k = len(model.start)
+    pieces = -(-sizes // run_tokens)
+    heads = np.cumsum(pieces) - pieces
+    nth = np.arange(pieces.sum()) - np.repeat(heads, pieces)
+    begin = np.repeat(starts, pieces) + nth * run_tokens
+    length = np.minimum(run_tokens, np.repeat(sizes, pieces) - nth * run_tokens)
+    first, last = nth == 0, nth == np.repeat(pieces, pieces) - 1
+    entry = np.tile(model.start, (len(begin), 1))
+    after = np.ones((len(begin), k))
+    cut = np.flatnonzero(~(first & last))
+    if len(cut):
+        matrices = np.concatenate(
+            [_transfers(model, codes, begin[part], length[part]) for part in _parts(cut)]
+        )
+        place = np.empty(len(begin), dtype=np.int64)
+        place[cut] = np.arange(len(cut))
+        # texts with most runs first, so that step r works on the texts that have run r
+        order = np.argsort(-pieces, kind="stable")
+        heads, counts = heads[order], pieces[order]
+        alive = np.searchsorted(-counts, -np.arange(int(counts[0])), "left")
+        for r in range(len(alive) - 1):
+            own = heads[: alive[r + 1]] + r
+            ahead = np.einsum("ni,nij->nj", entry[own], matrices[place[own]])
+            entry[own + 1] = ahead / ahead.sum(1, keepdims=True)
+        for r in range(len(alive) - 1, 0, -1):
+            own = heads[: alive[r]] + r
+            back = np.einsum("nij,nj->ni", matrices[place[own]], after[own])
+            after[own - 1] = back / back.max(1, keepdims=True)
+    sums = [np.zeros_like(x) for x in (model.start, model.moves, model.emits)]
+    loglik = 0.0
+    for part in _parts(np.arange(len(begin))):
+        *counted, value = _run_counts(
+            model, codes, *(x[part] for x in (begin, length, entry, after, first, last))
+        )
+        for total, x in zip(sums, counted):
+            total += x
+        loglik += value
+    return *sums, loglik
+
+
+def _parts(which: np.ndarray) -> Iterator[np.ndarray]:
+    """About half a million tokens of runs at a time."""
+    for at in range(0, len(which), 2048):
+        yield which[at : at + 2048]
+
+
 def next_model(start: np.ndarray, moves: np.ndarray, emits: np.ndarray, prior: np.ndarray) -> Hmm:
     """Parameters from counts; ``prior`` keeps every class possible in every state."""
     start = start + 0.1
@@ -256,15 +347,8 @@ def train(coded: DataFrame, class_counts: np.ndarray, settings: HmmSettings) ->
             sums = np.zeros(cells)
             for batch in batches:
                 flat, starts, sizes = _sequences(batch.column("codes"))
-                pieces = -(-sizes // settings.run_tokens)
-                nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                begin = np.repeat(starts, pieces) + nth * settings.run_tokens
-                length = np.minimum(settings.run_tokens, np.repeat(sizes, pieces) - nth * settings.run_tokens)
-                # about half a million tokens at a time
-                for at in range(0, len(begin), 2048):
-                    part = slice(at, at + 2048)
-                    counts = expected_counts(model, flat, begin[part], length[part])
-                    sums += np.concatenate([x.ravel() for x in counts[:3]])
+                counts = expected_counts(model, flat, starts, sizes, settings.run_tokens)
+                sums += np.concatenate([x.ravel() for x in counts[:3]])
             found = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[found])], ["cell", "v"])
 

@@ -104,10 +104,28 @@ def test_forward_and_counts_against_all_paths():
                 moves[a, b] += p / total
             for s, o in zip(states, seq):
                 emits[s, o] += p / total
-    counted = hmm.expected_counts(model, flat, starts, sizes)
-    for a, b in zip(counted, (start, moves, emits)):
-        assert np.allclose(a, b)
-    assert math.isclose(counted[3], got.sum())
+    for run in (256, 1, 2, 3):
+        counted = hmm.expected_counts(model, flat, starts, sizes, run)
+        for a, b in zip(counted, (start, moves, emits)):
+            assert np.allclose(a, b)
+        assert math.isclose(counted[3], got.sum())
+
+
+def test_counts_do_not_depend_on_runs():
+    rng = np.random.default_rng(9)
+    k, c = 8, 500
+    parts = [rng.gamma(0.3, 1.0, s) + 1e-9 for s in ((k,), (k, k), (k, c))]
+    model = hmm.Hmm(*(p / p.sum(-1, keepdims=True) for p in parts))
+    sizes = np.array([1000, 1, 256, 257, 30_000, 512, 12])
+    flat = rng.integers(0, c, sizes.sum())
+    starts = np.cumsum(sizes) - sizes
+    whole = hmm.expected_counts(model, flat, starts, sizes, 1 << 20)
+    assert math.isclose(whole[3], hmm.forward_log10(model, flat, starts, sizes).sum(), rel_tol=1e-9)
+    assert math.isclose(whole[0].sum(), len(sizes)) and math.isclose(whole[1].sum(), (sizes - 1).sum())
+    for run in (256, 7):
+        cut = hmm.expected_counts(model, flat, starts, sizes, run)
+        for a, b in zip(cut, whole):
+            assert np.allclose(a, b, rtol=1e-7, atol=1e-9)
 
 
 def test_rounds_never_lose_likelihood():
