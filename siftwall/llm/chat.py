@@ -40,6 +40,48 @@ def turn_events(conversations: DataFrame) -> DataFrame:
     )
 
 
+def streamed_events(conversations: DataFrame, width: int = 64, most: int = 8) -> DataFrame:
+    """The log of a chat service for rows ``conv_id, turn, role, text``, newest events first.
+
+    A turn's hash tells how its text comes about: streamed in deltas; streamed again, in place
+    of a draft, by a ``regenerate``; sent as a draft and set right by an ``edit``; or sent whole
+    as a ``message``, as are null texts. Deltas have ``width`` code points, more where a text
+    would take above ``most`` of them. Only the first event of a turn names the role. Turns
+    are numbered as by ``turn_events``, and ``seq`` counts the events of a conversation.
+    """
+    size = F.char_length("text")
+    step = F.greatest(F.lit(width), F.ceil(size / most).cast("int"))
+    texts = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(size / F.col("step")).cast("int") - 1, F.lit(0))),
+        lambda k: F.substr("text", k * F.col("step") + 1, F.col("step")),
+    )
+
+    def event(kind: str, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+
+    draft = F.concat(F.lit("draft: "), F.reverse(F.substr("text", F.lit(1), F.lit(width))))
+    deltas = F.transform(texts, lambda t: event("delta", t))
+    way = F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(4))
+    events = (
+        F.when(F.col("text").isNull() | (way == 0), F.array(event("message", F.col("text"))))
+        .when(way == 1, deltas)
+        .when(way == 2, F.concat(F.array(event("delta", draft), event("regenerate", F.lit(None).cast("string"))), deltas))
+        .otherwise(F.array(event("message", draft), event("edit", F.col("text"))))
+    )
+    log = turn_events(conversations).withColumn("step", step).select(
+        "conv_id", "turn", "role", F.posexplode(F.reverse(events)).alias("left", "e"), F.size(events).alias("n")
+    )
+    nth = F.col("n") - 1 - F.col("left")
+    return log.select(
+        "conv_id",
+        "turn",
+        (F.col("turn") * (most + 3) + nth).cast("long").alias("seq"),
+        F.col("e.kind").alias("kind"),
+        F.when(nth == 0, F.col("role")).alias("role"),
+        F.col("e.text").alias("text"),
+    )
+
+
 def reconstruct(events: DataFrame) -> DataFrame:
     """Final messages ``conv_id, turn, role, text`` of an event log.
 
@@ -49,7 +91,8 @@ def reconstruct(events: DataFrame) -> DataFrame:
     Events of equal ``seq`` are ordered by kind and text; events that repeat an earlier
     one in all six columns count once. The role is that of the last event that names one.
     Null text is empty, a null role is an empty one, null ids and turns are groups of
-    their own. The fold is per turn, so a long conversation is spread over its turns.
+    their own. The fold is per turn, so a long conversation is spread over its turns, and
+    linear in a turn's events and text.
     """
     log = events.select(
         "conv_id",
@@ -63,20 +106,18 @@ def reconstruct(events: DataFrame) -> DataFrame:
     )
     turns = log.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_set("e")).alias("es"))
 
-    def fold(state: Column, e: Column) -> Column:
-        return (
-            F.when(e["kind"].isin("message", "edit"), e["text"])
-            .when(e["kind"] == "delta", F.concat(state, e["text"]))
-            .when(e["kind"] == "regenerate", F.lit(""))
-            .otherwise(state)
-        )
-
+    # what counts is the last event that sets the text anew, and what extends it
+    anew = F.transform("es", lambda e, i: F.when(e["kind"].isin("message", "edit", "regenerate"), i))
+    turns = turns.select("*", F.coalesce(F.array_max(anew), F.lit(0)).alias("at"))
+    last = F.filter(
+        "es", lambda e, i: (i >= F.col("at")) & e["kind"].isin("message", "edit", "delta")
+    )
     named = F.filter("es", lambda e: e["role"].isNotNull())
     return turns.select(
         "conv_id",
         "turn",
         F.coalesce(F.try_element_at(named, F.lit(-1))["role"], F.lit("")).alias("role"),
-        F.aggregate("es", F.lit(""), fold).alias("text"),
+        F.array_join(F.transform(last, lambda e: e["text"]), "").alias("text"),
     )
 
 
@@ -142,6 +183,23 @@ def render(messages: DataFrame, learn: str = "assistant") -> DataFrame:
     )
 
 
+#: Pieces whose running sum is an array that grows one by one.
+_BLOCK = 256
+
+
+def _running(values: Column) -> Column:
+    """The running sums of a short array of whole numbers."""
+    sums = F.aggregate(
+        values,
+        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("sums")),
+        lambda s, v: F.struct(
+            (s["at"] + F.coalesce(v, F.lit(0))).alias("at"),
+            F.concat(s["sums"], F.array(s["at"] + F.coalesce(v, F.lit(0)))).alias("sums"),
+        ),
+    )
+    return sums["sums"]
+
+
 def read_back(rendered: DataFrame) -> DataFrame:
     """Turns and learned texts of rendered conversations: ``conv_id, turns, learned,
     formatted_chars``.
@@ -171,22 +229,45 @@ def read_back(rendered: DataFrame) -> DataFrame:
             ),
         ).alias("ps"),
     )
-    starts = F.aggregate(
-        "ps",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts")),
-        lambda s, p: F.struct(
-            (s["at"] + p["size"] + tail).alias("at"),
-            F.concat(s["starts"], F.array(s["at"] + p["size"] - F.char_length(p["body"]))).alias("starts"),
-        ),
-    )["starts"]
-    masked = F.filter(
+    # where each piece begins: running sums within blocks of pieces, and over the blocks
+    sizes = F.transform("ps", lambda p: p["size"] + tail)
+    cut = cut.select("*", sizes.alias("sizes")).select(
+        "*",
+        F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size("ps"), F.lit(1)), F.lit(_BLOCK)),
+            lambda at: _running(F.slice("sizes", at, _BLOCK)),
+        ).alias("within"),
+    )
+    before = _running(F.transform("within", lambda b: F.try_element_at(b, F.lit(-1))))
+    ends = F.flatten(
         F.zip_with(
-            "ps",
-            starts,
-            lambda p, at: F.when(F.array_contains(F.col("loss_spans.start"), at), p["body"]),
+            "within",
+            F.concat(F.array(F.lit(0).cast("long")), F.slice(before, 1, F.size("within") - 1)),
+            lambda block, at: F.transform(block, lambda end: end + at),
+        )
+    )
+    bodies = F.zip_with(
+        "ps", ends, lambda p, end: end - tail - F.char_length(p["body"])
+    )
+    # spans and bodies in one order; a body under the mask follows the span that starts with it
+    both = F.concat(
+        F.transform(bodies, lambda at, i: F.struct(at.alias("at"), i.alias("i"))),
+        F.transform("loss_spans", lambda s: F.struct(s["start"].alias("at"), F.lit(-1).alias("i"))),
+    )
+    cut = cut.select("*", F.array_sort(both).alias("both"))
+    hits = F.filter(
+        F.transform(
+            "both",
+            lambda x, n: F.when(
+                (x["i"] >= 0)
+                & (F.get("both", n - 1)["i"] < 0)
+                & (F.get("both", n - 1)["at"] == x["at"]),
+                x["i"],
+            ),
         ),
-        lambda b: b.isNotNull(),
+        lambda i: i.isNotNull(),
     )
+    masked = F.transform(hits, lambda i: F.get("ps", i)["body"])
     return cut.select(
         "conv_id",
         F.transform(

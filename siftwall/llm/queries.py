@@ -60,6 +60,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as a log of deltas, edits and regenerations, folded, rendered, read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(
@@ -68,7 +69,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(hard).alias("text"),
     )
-    rendered = chat.render(chat.reconstruct(chat.turn_events(rows.unionByName(own))))
+    rendered = chat.render(chat.reconstruct(chat.streamed_events(rows.unionByName(own))))
     back = chat.read_back(rendered)
     whole = F.array_join(
         F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections import defaultdict
 
 import brute
 
+from pyspark.sql import functions as F
+
 from siftwall.llm import chat, queries
 
 EVENTS = "conv_id long, turn long, seq long, kind string, role string, text string"
@@ -63,3 +66,35 @@ def test_query(spark):
 
 def test_empty(spark):
     assert chat.render(chat.reconstruct(spark.createDataFrame([], EVENTS))).count() == 0
+
+
+def test_streamed_log_gives_the_rows_back(spark):
+    texts = [t for _, t in brute.EDGES] + ["x" * 5000, "\U0001f600" * 700, "draft: "]
+    rows = [(c, k, "assistant" if k % 2 else "user", t) for c in range(12) for k, t in enumerate(texts)]
+    rows += [(50, 0, "user", "twice"), (50, 0, "user", "twice"), (None, None, None, None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.streamed_events(frame.withColumn("kind", F.lit("clash")).withColumn("seq", F.lit("clash")))
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    assert log.groupBy("conv_id", "seq").count().where("count > 1").isEmpty()
+    got = defaultdict(list)
+    for r in chat.reconstruct(log).orderBy("conv_id", "turn").collect():
+        got[r.conv_id].append((r.role, r.text))
+    want = defaultdict(list)
+    for c, _, role, t in rows:
+        want[c].append((role or "", t or ""))
+    assert got == want
+    assert chat.streamed_events(frame.limit(0)).count() == 0
+
+
+def test_many_turns_in_one_conversation(spark):
+    turns = spark.range(20_000).select(
+        F.lit(1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"),
+        F.concat(F.lit("<\u00e9 "), "id").alias("text"),
+    )
+    began = time.monotonic()
+    (back,) = chat.read_back(chat.render(turns)).collect()
+    assert time.monotonic() - began < 10
+    assert len(back.turns) == 20_000
+    assert back.learned == [f"<\u00e9 {i}" for i in range(1, 20_000, 2)]
