@@ -77,58 +77,79 @@ def _numbers(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
+def _bound(value: Column, of) -> Column:
+    """``of(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def _merged(left: Column, right: Column, table: Column, sizes: tuple[int, int]) -> Column:
     """The id that two neighbouring ids merge to, or null."""
-    pair = F.shiftleft(left, _BITS) + right
-    looks = []
-    for name, size in zip(("a", "b"), sizes):
-        cell = F.get(table[name], (pair % size).cast("int"))
-        looks.append((F.shiftright(cell, _BITS) == pair, cell.bitwiseAND((1 << _BITS) - 1)))
-    (hit, value), (hit2, value2) = looks
-    return F.when(hit, value).when(hit2, value2)
+
+    def look(pair: Column) -> Column:
+        cells = F.array(*(F.get(table[name], (pair % size).cast("int")) for name, size in zip(("a", "b"), sizes)))
+        return F.aggregate(
+            cells,
+            F.lit(None).cast("bigint"),
+            lambda found, cell: F.when(F.shiftright(cell, _BITS) == pair, cell.bitwiseAND((1 << _BITS) - 1)).otherwise(
+                found
+            ),
+        )
+
+    return _bound(F.shiftleft(left, _BITS) + right, look)
 
 
-def encode_word(ids: Column, table: Column, sizes: tuple[int, int]) -> Column:
+def byte_merges(byte_ids: list[int], merged: dict[tuple[int, int], int]) -> list[int]:
+    """The merge of ids ``l`` and ``r`` of two bytes at ``l * n + r``, or -1; ``n`` is their largest and one."""
+    n = max(byte_ids) + 1
+    out = [-1] * (n * n)
+    for left in byte_ids:
+        for right in byte_ids:
+            out[left * n + right] = merged.get((left, right), -1)
+    return out
+
+
+def encode_word(ids: Column, table: Column, sizes: tuple[int, int], stride: int) -> Column:
     """Fold the merges of one word, an array of byte ids, lowest rank and leftmost first.
 
     The state is the ids and, for each neighbouring pair, the id of its merge; a step
-    replaces one pair and looks up the two pairs beside it.
+    replaces one pair and looks up the two pairs beside it. Pairs of bytes have a table of
+    their own, addressed by ``stride``, for the start.
     """
     n = F.size(ids)
-    nothing = F.array().cast("array<bigint>")
     pairs = F.when(
         n > 1,
         F.transform(
             F.sequence(F.lit(0), n - 2),
-            lambda i: _merged(F.get(ids, i), F.get(ids, i + 1), table, sizes),
+            lambda i: F.nullif(
+                F.get(table["c"], (F.get(ids, i) * stride + F.get(ids, i + 1)).cast("int")), F.lit(-1).cast("bigint")
+            ),
         ),
-    ).otherwise(nothing)
+    ).otherwise(F.array().cast("array<bigint>"))
 
     def step(state: Column) -> Column:
         tokens, merges = state["tokens"], state["merges"]
 
         def merge(s: Column, p: Column) -> Column:
-            token = F.get(merges, p - 1)
-            left, right = F.get(tokens, p - 2), F.get(tokens, p + 1)
-            size = F.size(tokens)
-            return F.when(p.isNull(), s).otherwise(
-                F.struct(
-                    F.concat(
-                        F.slice(tokens, 1, p - 1), F.array(token), F.slice(tokens, p + 2, size)
-                    ).alias("tokens"),
-                    F.concat(
-                        F.slice(merges, 1, F.greatest(p - 2, F.lit(0))),
-                        F.when(p > 1, F.array(_merged(left, token, table, sizes))).otherwise(nothing),
-                        F.when(p + 1 < size, F.array(_merged(token, right, table, sizes))).otherwise(
-                            nothing
-                        ),
-                        F.slice(merges, p + 2, size),
-                    ).alias("merges"),
-                )
+            # slices and concatenations of arrays cost far more than walks over short ones
+            token = F.get(merges, p)
+            left = F.filter(
+                F.transform(tokens, lambda x, i: F.when(i == p, token).otherwise(x)), lambda x, i: i != p + 1
+            )
+            pairs = F.filter(
+                F.transform(
+                    merges,
+                    lambda x, i: F.when(i == p - 1, _merged(F.get(tokens, p - 1), token, table, sizes))
+                    .when(i == p + 1, _merged(token, F.get(tokens, p + 2), table, sizes))
+                    .otherwise(x),
+                ),
+                lambda x, i: i != p,
             )
+            return F.when(p.isNull(), s).otherwise(F.struct(left.alias("tokens"), pairs.alias("merges")))
 
-        # a one-element array binds the place of the lowest rank to a name
-        place = F.array(F.array_position(merges, F.array_min(merges)).cast("int"))
+        # the lowest rank and its place in one number; array_position would throw to return a place.
+        # a one-element array binds the place to a name
+        best = F.array_min(F.transform(merges, lambda m, i: F.shiftleft(m, _BITS) + i))
+        place = F.transform(F.array(best), lambda x: x.bitwiseAND((1 << _BITS) - 1).cast("int"))
         return F.aggregate(place, state, merge)
 
     start = F.struct(ids.alias("tokens"), pairs.alias("merges"))
@@ -246,7 +267,7 @@ def _encoded(
     kind = rows.schema["id"].dataType.simpleString()
     first, second = merge_tables(ranks)
     mask = (1 << _BITS) - 1
-    pairs = {}
+    pairs: dict[tuple[int, int], int] = {}
     for cell in (c for c in (*first, *second) if c >= 0):
         pairs[cell >> 2 * _BITS, (cell >> _BITS) & mask] = cell & mask
     if known is None or not known.num_rows:
@@ -274,6 +295,12 @@ def _encoded(
             place[rest] = len(names) + np.arange(len(rest))
             words, chunk_words, chunk_starts = _words([chunks[k] for k in rest.tolist()], compiled)
             del chunks
+            # words that are chunks of the table as well, and not cut there
+            at = pc.fill_null(pc.index_in(pa.array(words, pa.string()), value_set=names), -1).to_numpy(False)
+            found = [a >= 0 and compiled.findall(w) == [w] for w, a in zip(words, at.tolist())]
+            number = np.where(found, at, len(names) + np.cumsum(~np.array(found, dtype=bool)) - 1).astype(np.int32)
+            chunk_words = number[chunk_words]
+            words = [w for w, known in zip(words, found) if not known]
             raw = [w.encode("utf-8") for w in words]
             lists = [byte_ids[np.frombuffer(r, dtype=np.uint8)] for r in raw]
             for k, r in enumerate(raw):
@@ -301,14 +328,16 @@ def _encoded(
         cut, f"id array<{kind}>, words array<array<bigint>>, " + ", ".join(f"{c} binary" for c in packed)
     )
     sizes = (len(first), len(second))
-    table = F.struct(_numbers(first).alias("a"), _numbers(second).alias("b"))
+    stride = int(byte_ids.max()) + 1
+    start = _numbers(byte_merges(byte_ids.tolist(), pairs))
+    table = F.struct(_numbers(first).alias("a"), _numbers(second).alias("b"), start.alias("c"))
     # a one-element array binds the table to a name, so that the plan has it once
     encoded = F.get(
         F.transform(
             F.array(table),
             # longer lists are merged already
             lambda tab: F.transform(
-                "words", lambda w: F.when(F.size(w) > LONG, w).otherwise(encode_word(w, tab, sizes))
+                "words", lambda w: F.when(F.size(w) > LONG, w).otherwise(encode_word(w, tab, sizes, stride))
             ),
         ),
         F.lit(0),
@@ -345,8 +374,10 @@ def _encoded(
                     (_lists(block.column("tokens")), shared.value[1:3]),
                     (_bytes(block.column("bytes").flatten()), shared.value[3:5]),
                 ):
-                    # first the words of a new chunk, then the chunks of the block, known or new
-                    new, ends = _taken(values.astype(known_values.dtype), starts, chunk_words)
+                    # first the words of a new chunk, then the chunks of the block, all known or new
+                    folded_values = np.concatenate([known_values, values.astype(known_values.dtype)])
+                    folded_starts = np.concatenate([known_starts[:-1], starts + len(known_values)])
+                    new, ends = _taken(folded_values, folded_starts, chunk_words)
                     every = np.concatenate([known_values, new])
                     bounds = np.concatenate([known_starts[:-1], ends[chunk_starts] + len(known_values)])
                     flat, chunk_ends = _taken(every, bounds, place)
