@@ -335,9 +335,12 @@ def _encoded(
     encoded = F.get(
         F.transform(
             F.array(table),
-            # longer lists are merged already
+            # words above LONG bytes are merged already: ids beyond those of bytes tell, or their number
             lambda tab: F.transform(
-                "words", lambda w: F.when(F.size(w) > LONG, w).otherwise(encode_word(w, tab, sizes, stride))
+                "words",
+                lambda w: F.when((F.size(w) > LONG) | (F.array_max(w) >= stride), w).otherwise(
+                    encode_word(w, tab, sizes, stride)
+                ),
             ),
         ),
         F.lit(0),
