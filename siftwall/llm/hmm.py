@@ -20,7 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import text_blocks, word_codes
+from .common import give_back, text_blocks, word_codes
+
+#: Bytes of text that are counted or coded at once, and of class codes that are trained on at once.
+TEXT_BYTES, CODE_BYTES = 8 << 20, 4 << 20
 
 
 @dataclass(frozen=True)
@@ -126,7 +129,6 @@ def _run_counts(
         seen.append(codes_t)
     moves = np.zeros((k, k))
     beyond = after @ model.moves.T
-    gammas = []
     beta = np.ones((0, k))
     for t in range(longest - 1, -1, -1):
         n = int(alive[t])
@@ -141,13 +143,13 @@ def _run_counts(
         inner = ~last[m:n]
         moves += model.moves * (ends[inner].T @ (after[m:n][inner] / total[inner, None]))
         beta = np.concatenate([beta, beyond[m:n] / total[:, None]])
-        gammas.append(alphas[t] * beta)
+        alphas[t] *= beta  # from here on the chance of each state
     emits = np.zeros_like(model.emits)
     start = np.zeros(k)
     if longest:
-        start = gammas[-1][first].sum(0)
-        all_codes = np.concatenate(seen[::-1])
-        gamma = np.concatenate(gammas)
+        start = alphas[0][first].sum(0)
+        all_codes = np.concatenate(seen)
+        gamma = np.concatenate(alphas)
         for s in range(k):
             emits[s] = np.bincount(all_codes, gamma[:, s], emits.shape[1])
     return start, moves, emits, loglik
@@ -243,15 +245,18 @@ def count_words(texts: DataFrame) -> DataFrame:
     """``word, c`` over all texts; blocks are counted before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_blocks(batches, "t"):
+        for batch in text_blocks(batches, "t", TEXT_BYTES):
             words, codes, _ = word_codes(batch.column("t"))
             n = np.bincount(codes, minlength=len(words))
+            del codes
             found = np.flatnonzero(n)
             words = words.take(pa.array(found)).cast(pa.string())
             for at in range(0, len(found), 1 << 16):
                 yield pa.RecordBatch.from_arrays(
                     [words.slice(at, 1 << 16), pa.array(n[found[at : at + (1 << 16)]])], ["word", "c"]
                 )
+            del words, n, found
+            give_back()
 
     return texts.mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -275,7 +280,7 @@ def code_texts(
         place = {w: i for i, w in enumerate(words_known)}
         logs = np.log10(counts_known + 1.0)
         end_log = float(np.log10(train_docs + 1.0))
-        for batch in text_blocks(batches, "t"):
+        for batch in text_blocks(batches, "t", TEXT_BYTES):
             words, codes, offsets = word_codes(batch.column("t"))
             texts = words.to_pylist()
             rank = np.array([place.get(w, -1) for w in texts], dtype=np.int64)
@@ -318,17 +323,25 @@ def code_texts(
                 ],
                 ["k", "id", "held_out", "n_tokens", "n_known", "base", "within", "codes", "rare"],
             )
+            del words, texts, codes, docs, word_rank, sequence, raw, rare, pairs, times, rare_words, items, lists, coded
             for at in range(0, whole.num_rows, 2048):
                 yield whole.slice(at, 2048)
+            del whole
+            give_back()
 
     return rows.select("k", "id", "held_out", "t").mapInArrow(code, _CODED.format(kind=kind_of_id))
 
 
 def _sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    parts = [np.frombuffer(x, dtype="<u2") for x in column.to_pylist()]
-    sizes = np.array([len(p) for p in parts], dtype=np.int64)
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint16)
-    return flat.astype(np.int64), np.cumsum(sizes) - sizes, sizes
+    """The class codes of all texts, not copied, and where each text begins and how long it is."""
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return np.zeros(0, "<u2"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(data, dtype="<u2", count=(bounds[-1] - bounds[0]) // 2, offset=bounds[0])
+    sizes = np.diff(bounds) // 2
+    return flat, np.cumsum(sizes) - sizes, sizes
 
 
 def train(coded: DataFrame, class_counts: np.ndarray, settings: HmmSettings) -> Hmm:
@@ -345,10 +358,10 @@ def train(coded: DataFrame, class_counts: np.ndarray, settings: HmmSettings) ->
 
         def count(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(cells)
-            for batch in batches:
-                flat, starts, sizes = _sequences(batch.column("codes"))
-                counts = expected_counts(model, flat, starts, sizes, settings.run_tokens)
+            for batch in text_blocks(batches, "codes", CODE_BYTES):
+                counts = expected_counts(model, *_sequences(batch.column("codes")), settings.run_tokens)
                 sums += np.concatenate([x.ravel() for x in counts[:3]])
+                give_back()
             found = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[found])], ["cell", "v"])
 
@@ -421,12 +434,13 @@ def score_corpus(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, starts, sizes = _sequences(batch.column("codes"))
-            bounds = np.concatenate([[0], np.cumsum(norm[flat])])
-            words = batch.column("within").to_numpy() - (bounds[starts + sizes] - bounds[starts])
+            # every text has its end at least, so none of these sums is over nothing
+            words = batch.column("within").to_numpy() - np.add.reduceat(norm[flat], starts)
             total_log = forward_log10(model, flat, starts, sizes) + words
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(name) for name in kept), pa.array(total_log)], [*kept, "part"]
             )
+            give_back()
 
     kept = ("k", "id", "held_out", "n_tokens", "n_known", "base")
     kind = rows.schema["id"].dataType.simpleString()
