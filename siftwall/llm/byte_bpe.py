@@ -21,9 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import chunk_codes, flat_lists, gathered, give_back, text_blocks
+from .common import chunk_codes, flat_lists, gathered, give_back, strings, text_blocks
 
 _BITS = 17  # of a token id
+_PLACE = 10  # bits of a place in a word that is folded
+_NONE = 1 << _BITS  # in place of the merge of a pair that does not merge; above all ids
 #: Chunks whose ids are broadcast, and their bytes at most; others are folded block by block.
 KNOWN, KNOWN_BYTES = 1 << 19, 48
 #: Bytes of a word above which it is merged with a heap.
@@ -83,77 +85,81 @@ def _bound(value: Column, of) -> Column:
 
 
 def _merged(left: Column, right: Column, table: Column, sizes: tuple[int, int]) -> Column:
-    """The id that two neighbouring ids merge to, or null."""
+    """The id that two neighbouring ids merge to, or _NONE; a null neighbour is none."""
 
     def look(pair: Column) -> Column:
         cells = F.array(*(F.get(table[name], (pair % size).cast("int")) for name, size in zip(("a", "b"), sizes)))
         return F.aggregate(
             cells,
-            F.lit(None).cast("bigint"),
+            F.lit(_NONE).cast("bigint"),
             lambda found, cell: F.when(F.shiftright(cell, _BITS) == pair, cell.bitwiseAND((1 << _BITS) - 1)).otherwise(
                 found
             ),
         )
 
-    return _bound(F.shiftleft(left, _BITS) + right, look)
+    return _bound(F.shiftleft(left, _BITS).bitwiseOR(right), look)
 
 
 def byte_merges(byte_ids: list[int], merged: dict[tuple[int, int], int]) -> list[int]:
-    """The merge of ids ``l`` and ``r`` of two bytes at ``l * n + r``, or -1; ``n`` is their largest and one."""
+    """The merge of ids ``l`` and ``r`` of two bytes at ``l * n + r``, or _NONE; ``n`` is their largest and one."""
     n = max(byte_ids) + 1
-    out = [-1] * (n * n)
+    out = [_NONE] * (n * n)
     for left in byte_ids:
         for right in byte_ids:
-            out[left * n + right] = merged.get((left, right), -1)
+            out[left * n + right] = merged.get((left, right), _NONE)
     return out
 
 
 def encode_word(ids: Column, table: Column, sizes: tuple[int, int], stride: int) -> Column:
     """Fold the merges of one word, an array of byte ids, lowest rank and leftmost first.
 
-    The state is the ids and, for each neighbouring pair, the id of its merge; a step
-    replaces one pair and looks up the two pairs beside it. Pairs of bytes have a table of
-    their own, addressed by ``stride``, for the start.
+    The state is one number for each id: the merge with the id after it, its place and the id
+    itself. So the least number is the pair to merge next and tells where it is; a step walks
+    over the word once, replaces that pair and looks up the two pairs beside it. Pairs of bytes
+    have a table of their own, addressed by ``stride``, for the start. A word has at most
+    ``LONG`` ids.
     """
-    n = F.size(ids)
-    pairs = F.when(
-        n > 1,
-        F.transform(
-            F.sequence(F.lit(0), n - 2),
-            lambda i: F.nullif(
-                F.get(table["c"], (F.get(ids, i) * stride + F.get(ids, i + 1)).cast("int")), F.lit(-1).cast("bigint")
-            ),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
+    token_mask, one = (1 << _BITS) - 1, 1 << _BITS
+    low, dead = (1 << _BITS + _PLACE) - 1, F.lit(-1).cast("bigint")
+
+    def packed(merge: Column, place: Column, token: Column) -> Column:
+        place = F.shiftleft(place.cast("bigint"), _BITS)
+        return F.shiftleft(merge, _BITS + _PLACE).bitwiseOR(place).bitwiseOR(token)
+
+    def first(x: Column, i: Column) -> Column:
+        merge = F.get(table["c"], (x * stride + F.get(ids, i + 1)).cast("int"))
+        return packed(F.coalesce(merge, F.lit(_NONE).cast("bigint")), i, x)
 
     def step(state: Column) -> Column:
-        tokens, merges = state["tokens"], state["merges"]
+        def merge(s: Column, best: Column) -> Column:
+            token = F.shiftright(best, _BITS + _PLACE)
+
+            def replaced(p: Column) -> Column:
+                following = F.get(state, p + 2).bitwiseAND(token_mask)
+                walked = F.transform(
+                    state,
+                    lambda x, i: F.when(i > p + 1, x - one)
+                    .when(i < p - 1, x)
+                    .when(i == p, packed(_merged(token, following, table, sizes), p, token))
+                    .when(i > p, dead)
+                    .otherwise(
+                        F.shiftleft(
+                            _merged(x.bitwiseAND(token_mask), token, table, sizes), _BITS + _PLACE
+                        ).bitwiseOR(x.bitwiseAND(low))
+                    ),
+                )
+                return F.array_remove(walked, dead)
 
-        def merge(s: Column, p: Column) -> Column:
-            # slices and concatenations of arrays cost far more than walks over short ones
-            token = F.get(merges, p)
-            left = F.filter(
-                F.transform(tokens, lambda x, i: F.when(i == p, token).otherwise(x)), lambda x, i: i != p + 1
-            )
-            pairs = F.filter(
-                F.transform(
-                    merges,
-                    lambda x, i: F.when(i == p - 1, _merged(F.get(tokens, p - 1), token, table, sizes))
-                    .when(i == p + 1, _merged(token, F.get(tokens, p + 2), table, sizes))
-                    .otherwise(x),
-                ),
-                lambda x, i: i != p,
-            )
-            return F.when(p.isNull(), s).otherwise(F.struct(left.alias("tokens"), pairs.alias("merges")))
+            place = F.shiftright(best, _BITS).bitwiseAND((1 << _PLACE) - 1).cast("int")
+            return F.when(token == _NONE, s).otherwise(_bound(place, replaced))
 
-        # the lowest rank and its place in one number; array_position would throw to return a place.
-        # a one-element array binds the place to a name
-        best = F.array_min(F.transform(merges, lambda m, i: F.shiftleft(m, _BITS) + i))
-        place = F.transform(F.array(best), lambda x: x.bitwiseAND((1 << _BITS) - 1).cast("int"))
-        return F.aggregate(place, state, merge)
+        # a one-element array binds the least number to a name
+        return F.aggregate(F.array(F.array_min(state)), state, merge)
 
-    start = F.struct(ids.alias("tokens"), pairs.alias("merges"))
-    return F.aggregate(F.sequence(F.lit(1), n), start, lambda s, _: step(s))["tokens"]
+    # a word of n bytes has n - 1 merges at most; for one byte the sequence runs down and nothing happens
+    steps = F.sequence(F.lit(2), F.size(ids))
+    folded = F.aggregate(steps, F.transform(ids, first), lambda s, _: step(s))
+    return F.transform(folded, lambda x: x.bitwiseAND(token_mask))
 
 
 def merge_long(ids: list[int], merged: dict[tuple[int, int], int]) -> list[int]:
@@ -282,22 +288,21 @@ def _encoded(
     merges = rows.sparkSession.sparkContext.broadcast(pairs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
         import regex
 
         compiled = regex.compile(pattern)
-        names = shared.value[0]
+        # looked up by a dictionary that is made once a task; index_in hashes the whole table for each block
+        names = {name: k for k, name in enumerate(strings(shared.value[0]))}
         for batch in text_blocks(batches, "t", block_bytes):
             chunks, codes, offsets = chunk_codes(batch.column("t"), glued=True)
-            at = pc.fill_null(pc.index_in(pa.array(chunks, pa.string()), value_set=names), -1).to_numpy(False)
-            rest = np.flatnonzero(at < 0)
-            place = at.astype(np.int32)
+            place = np.array([names.get(c, -1) for c in chunks], dtype=np.int32)
+            rest = np.flatnonzero(place < 0)
             place[rest] = len(names) + np.arange(len(rest))
             words, chunk_words, chunk_starts = _words([chunks[k] for k in rest.tolist()], compiled)
             del chunks
             # words that are chunks of the table as well, and not cut there
-            at = pc.fill_null(pc.index_in(pa.array(words, pa.string()), value_set=names), -1).to_numpy(False)
-            found = [a >= 0 and compiled.findall(w) == [w] for w, a in zip(words, at.tolist())]
+            at = [names.get(w, -1) for w in words]
+            found = [a >= 0 and compiled.findall(w) == [w] for w, a in zip(words, at)]
             number = np.where(found, at, len(names) + np.cumsum(~np.array(found, dtype=bool)) - 1).astype(np.int32)
             chunk_words = number[chunk_words]
             words = [w for w, known in zip(words, found) if not known]

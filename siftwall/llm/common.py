@@ -90,6 +90,11 @@ def filled(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
+def strings(column: pa.Array) -> list[str]:
+    """The strings of a column without nulls; ``to_pylist`` would make a scalar for each."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def word_codes(column: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words, the word number of each word of all texts, and each text's bounds.
 
@@ -129,7 +134,7 @@ def chunk_codes(column: pa.Array, glued: bool) -> tuple[list[str], np.ndarray, n
     offsets = np.asarray(lists.offsets, dtype=np.int64)
     offsets = offsets - offsets[0]
     flat = lists.flatten().dictionary_encode()
-    words = flat.dictionary.to_pylist()
+    words = strings(flat.dictionary)
     codes = flat.indices.to_numpy(False)[: offsets[-1]].astype(np.int32)
     if not glued:
         return words, codes, offsets
