@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import attach, small, text_blocks, word_codes
+from .common import attach, give_back, small, text_blocks, word_codes
 from .components import components
 
 #: Shingles known as frequent when prefixes are chosen; an order, not a filter.
@@ -43,7 +43,7 @@ PARTNERS = 1024
 
 
 #: Text bytes per block; the sets of a block take many times as much.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -132,6 +132,8 @@ def _sizes(docs: DataFrame, words: int) -> DataFrame:
                         ],
                         names,
                     )
+            del sets, once
+            give_back()
 
     names = ["id", "n", "node", "token", "df"]
     return docs.mapInArrow(run, f"id {kind}, n long, node long, token long, df long")
@@ -196,6 +198,9 @@ def _prefixes(docs: DataFrame, frequent, words: int, percent: int) -> DataFrame:
                 )
                 for at in range(0, whole.num_rows, 1024):
                     yield whole.slice(at, 1024)
+                del flat, whole
+            del rows
+            give_back()
 
     return docs.select("t").mapInArrow(run, "node long, n int, prefix array<bigint>")
 
@@ -249,44 +254,57 @@ def _texts(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, words: int) -> D
         for batch in text_blocks(batches, "t", BLOCK):
             sets = shingle_sets(batch.column("t"), words)
             nodes = pa.array([_node(s) if len(s) else None for s in sets], pa.int64())
+            del sets
             yield pa.RecordBatch.from_arrays([nodes, batch.column("t")], ["node", "text"])
+            give_back()
 
     return rows.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The ``a, b`` of the staged ``pairs`` whose sets are similar enough, by exact intersection.
+    """The rows ``a, b, ga, gb`` of the staged ``pairs`` whose sets a and b are similar enough, by exact intersection.
 
     Texts travel rather than sets, which are larger; both are cut into shingles again. A set
-    with many partners is dealt to a task for every PARTNERS of them.
+    with many partners is dealt to a task for every PARTNERS of them; there its text comes
+    once, before the texts of its partners.
     """
     texts = stage(_texts(docs, sizes, pairs, words), "jaccard-texts")
     counts = stage(pairs.groupBy("a").agg(F.count("*").alias("c")), "jaccard-partners")
     parts = F.ceil(F.col("c") / F.lit(float(PARTNERS)))
-    dealt = attach(pairs.select("a", "b"), counts, ["a"], "c", F.col("b")).select(
-        "a", "b", F.pmod(F.xxhash64("b"), parts).alias("part")
+    dealt = attach(pairs.select("a", "b", "ga", "gb"), counts, ["a"], "c", F.col("b")).select(
+        "a", "b", "ga", "gb", F.pmod(F.xxhash64("b"), parts).alias("part")
     )
-    leads = counts.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select(
-        "a", "ta", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")
+    none = F.lit(None).cast("long")
+    leads = counts.join(texts.select(F.col("node").alias("a"), "text"), "a").select(
+        "a", none.alias("b"), none.alias("ga"), none.alias("gb"), "text",
+        F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"),
     )
-    other = dealt.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    both = other.join(leads, ["a", "part"])
+    other = dealt.join(texts.select(F.col("node").alias("b"), "text"), "b")
+    both = leads.unionByName(other).repartition("a", "part")
+    both = both.sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "ga", "gb"]
         last, x = None, None
-        for batch in text_blocks(batches, "tb", BLOCK):
+        for batch in text_blocks(batches, "text", BLOCK):
             keep = []
-            for a, ta, y in zip(batch.column("a").to_pylist(), batch.column("ta"), shingle_sets(batch.column("tb"), words)):
-                if a != last:
-                    last, x = a, shingle_sets(pa.array([ta.as_py()]), words)[0]
+            rows = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), shingle_sets(batch.column("text"), words))
+            for a, b, y in rows:
+                if b is None:
+                    # a copy, since the sets of a block may share memory
+                    last, x = a, y.copy()
+                if b is None or a != last:
+                    keep.append(False)
+                    continue
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
                 common = int((y[at] == x).sum())
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in names], names)
+            give_back()
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ga", "gb", "text").mapInArrow(run, "a long, b long, ga long, gb long")
 
 
 def _alike(n1: str, n2: str, percent: int) -> Column:
@@ -313,7 +331,7 @@ def _open(placed: DataFrame, percent: int) -> DataFrame:
 
 
 def _stars(placed: DataFrame, tested: DataFrame | None, percent: int, shift: float) -> DataFrame:
-    """At most one ``a, b`` pair per set ``b``: the leader it shares most shingles with.
+    """At most one pair ``a, b`` of groups ``ga, gb`` per set ``b``: the leader it shares most shingles with.
 
     Of the sets of about one size that hold a shingle the most central leads. Of several
     pairs between two groups the one with most shared shingles is kept.
@@ -338,7 +356,7 @@ def _stars(placed: DataFrame, tested: DataFrame | None, percent: int, shift: flo
     return (
         best.groupBy("gb", F.col("x.ga").alias("ga"))
         .agg(F.max(F.struct(F.col("x.c").alias("c"), F.col("x.a").alias("a"), "b")).alias("x"))
-        .select("x.a", "x.b")
+        .select("x.a", "x.b", "ga", "gb")
     )
 
 
@@ -382,12 +400,12 @@ def _candidates(placed: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _named(edges: DataFrame, placed: DataFrame) -> DataFrame:
-    """Edges between sets as edges between the groups that hold them."""
-    of = placed.select("node", "g").distinct()
-    one = edges.join(of.select(F.col("node").alias("a"), F.col("g").alias("ga")), "a")
-    both = one.join(of.select(F.col("node").alias("b"), F.col("g").alias("gb")), "b")
-    return both.select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+def _merged(found: DataFrame) -> DataFrame:
+    """``node, label`` of the groups that the links ``found`` join, by the groups' names.
+
+    A link carries the names that its groups had when it was chosen, so no shingle is read.
+    """
+    return components(found.select(F.col("ga").alias("a"), F.col("gb").alias("b")))
 
 
 def links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -422,36 +440,34 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame
         stars = stage(_stars(placed, tested, percent, 0.5 * (k % 2)), "jaccard-stars")
         if stars.isEmpty():
             break
-        tested = stars if tested is None else tested.unionByName(stars)
+        pairs = stars.select("a", "b")
+        tested = pairs if tested is None else tested.unionByName(pairs)
         found.append(stage(_linked(stars, docs, sizes, words, percent), "jaccard-linked"))
         if k and found[-1].isEmpty():
             break
-        moves = components(_named(found[-1], placed))
-        placed = stage(_open(_regrouped(placed, moves, ("g",)), percent), "jaccard-placed")
+        placed = stage(_open(_regrouped(placed, _merged(found[-1]), ("g",)), percent), "jaccard-placed")
 
     left = stage(_candidates(placed, percent), "jaccard-candidates")
     if tested is not None:
         left = stage(left.join(tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"), "jaccard-candidates")
     merging = True
     while not left.isEmpty():
-        best = left
+        best = left.select("a", "b", "ga", "gb")
         if merging:
-            of_pair = left.groupBy(F.least("ga", "gb").alias("x"), F.greatest("ga", "gb").alias("y"))
-            best = of_pair.agg(F.max(F.struct("c", "a", "b")).alias("m")).select("m.a", "m.b")
-        best = stage(best.select("a", "b"), "jaccard-best")
+            of_pair = left.groupBy(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb"))
+            best = of_pair.agg(F.max(F.struct("c", "a", "b")).alias("m")).select("m.a", "m.b", "ga", "gb")
+        best = stage(best, "jaccard-best")
         found.append(stage(_linked(best, docs, sizes, words, percent), "jaccard-linked"))
         if not merging:
             break
         # once a round merges nothing, the rest is compared in full
         merging = not found[-1].isEmpty()
-        moves = components(_named(found[-1], placed))
-        placed = _regrouped(placed, moves, ("g",))
-        rest = _regrouped(left.join(best, ["a", "b"], "left_anti"), moves, ("ga", "gb"))
-        left = stage(rest.where("ga <> gb"), "jaccard-candidates")
+        rest = left.join(best.select("a", "b"), ["a", "b"], "left_anti")
+        left = stage(_regrouped(rest, _merged(found[-1]), ("ga", "gb")).where("ga <> gb"), "jaccard-candidates")
 
     edges = docs.sparkSession.createDataFrame([], "a long, b long")
     for part in found:
-        edges = edges.unionByName(part)
+        edges = edges.unionByName(part.select("a", "b"))
     return sizes, edges
 
 
