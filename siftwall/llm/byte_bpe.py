@@ -1,11 +1,10 @@
 """Byte-level BPE with Spark higher-order functions.
 
 Texts are cut into words by the pre-tokenizer pattern. Higher-order functions fold the ranked
-merges over distinct words as arrays of byte ids, looking ranks up in a literal table, and
-decode by concatenating the binary pieces of the ids. The words of the corpus' most frequent
+merges over distinct words as arrays of byte ids, looking ranks up in a literal table. The words of the corpus' most frequent
 chunks are folded once, and their ids are a bounded broadcast table; each block of texts
 folds only the distinct words that this table lacks. Results are then dealt back to the
-texts of the block. A step of the fold copies its word, so very long words, which would cost
+texts of the block, and decoded from the texts' ids, whose pieces are gathered. A step of the fold copies its word, so very long words, which would cost
 the square of their length, are merged with a heap instead.
 """
 
@@ -13,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -261,14 +261,14 @@ def encode_documents(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     chunks = _frequent_chunks(rows, block_bytes)
     # KNOWN rows of KNOWN_BYTES at most
-    known = stage(_encoded(chunks, ranks, pattern, block_bytes, None), "bpe-known").toArrow().combine_chunks()
+    known = stage(_encoded(chunks, ranks, pattern, block_bytes, None).select("id", "ids"), "bpe-known").toArrow().combine_chunks()
     return _encoded(rows, ranks, pattern, block_bytes, known)
 
 
 def _encoded(
     rows: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int, known: pa.Table | None
 ) -> DataFrame:
-    """``id, ids, decoded`` of rows ``id, t``, given the same of known chunks."""
+    """``id, ids, decoded`` of rows ``id, t``, given ``id, ids`` of known chunks."""
     byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
     kind = rows.schema["id"].dataType.simpleString()
     first, second = merge_tables(ranks)
@@ -278,12 +278,11 @@ def _encoded(
         pairs[cell >> 2 * _BITS, (cell >> _BITS) & mask] = cell & mask
     if known is None or not known.num_rows:
         bounds = np.zeros(1, dtype=np.int64)
-        table_of = (pa.array([], pa.string()), np.zeros(0, "<u4"), bounds, np.zeros(0, "u1"), bounds)
+        table_of = (pa.array([], pa.string()), np.zeros(0, "<u4"), bounds)
     else:
         ids, ids_starts = _bytes(known["ids"])
-        out, out_starts = _bytes(known["decoded"])
         names = known["id"].cast(pa.string())
-        table_of = (names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names, ids.view("<u4"), ids_starts // 4, out, out_starts)
+        table_of = (names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names, ids.view("<u4"), ids_starts // 4)
     shared = rows.sparkSession.sparkContext.broadcast(table_of)
     merges = rows.sparkSession.sparkContext.broadcast(pairs)
 
@@ -350,23 +349,11 @@ def _encoded(
         ),
         F.lit(0),
     )
-    by_id = sorted((i, t) for t, i in ranks.items())
-    pieces = [b""] * (by_id[-1][0] + 1)
-    for i, token in by_id:
-        pieces[i] = token
-    vocabulary = F.split(F.lit(",".join(p.hex() for p in pieces)), ",")
-    # hexadecimal pieces are joined in one go, binary ones only two at a time
-    decoded = F.get(
-        F.transform(
-            F.array(vocabulary),
-            lambda v: F.transform(
-                "tokens",
-                lambda ids: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(v, i.cast("int"))), "")),
-            ),
-        ),
-        F.lit(0),
-    )
-    folded = blocks.withColumn("tokens", encoded).select("id", *packed, "tokens", decoded.alias("bytes"))
+    by_id = {i: token for token, i in ranks.items()}
+    pieces = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+    piece_starts = np.concatenate([[0], np.cumsum([len(p) for p in pieces], dtype=np.int64)])
+    vocabulary = rows.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(pieces), dtype=np.uint8), piece_starts))
+    folded = blocks.withColumn("tokens", encoded).select("id", *packed, "tokens")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,22 +364,21 @@ def _encoded(
                     np.frombuffer(block.column(c)[0].as_py(), dtype=t)
                     for c, t in zip(packed, ("i4", "i8", "i4", "i4", "i8"))
                 )
-                outs = []
-                for (values, starts), (known_values, known_starts) in (
-                    (_lists(block.column("tokens")), shared.value[1:3]),
-                    (_bytes(block.column("bytes").flatten()), shared.value[3:5]),
-                ):
-                    # first the words of a new chunk, then the chunks of the block, all known or new
-                    folded_values = np.concatenate([known_values, values.astype(known_values.dtype)])
-                    folded_starts = np.concatenate([known_starts[:-1], starts + len(known_values)])
-                    new, ends = _taken(folded_values, folded_starts, chunk_words)
-                    every = np.concatenate([known_values, new])
-                    bounds = np.concatenate([known_starts[:-1], ends[chunk_starts] + len(known_values)])
-                    flat, chunk_ends = _taken(every, bounds, place)
-                    outs.append(gathered(codes, offsets, flat, chunk_ends, 1 << 18))
-                rows = zip(*outs)
+                known_values, known_starts = shared.value[1:3]
+                values, starts = _lists(block.column("tokens"))
+                # first the words of a new chunk, then the chunks of the block, all known or new
+                folded_values = np.concatenate([known_values, values.astype(known_values.dtype)])
+                folded_starts = np.concatenate([known_starts[:-1], starts + len(known_values)])
+                new, ends = _taken(folded_values, folded_starts, chunk_words)
+                every = np.concatenate([known_values, new])
+                bounds = np.concatenate([known_starts[:-1], ends[chunk_starts] + len(known_values)])
+                flat, chunk_ends = _taken(every, bounds, place)
+                texts = gathered(codes, offsets, flat, chunk_ends, 1 << 18)
                 for at in range(0, len(ids), 512):
-                    part = [(a.tobytes(), b.tobytes()) for _, (a, b) in zip(range(min(512, len(ids) - at)), rows)]
+                    own = list(itertools.islice(texts, 512))
+                    joined, cuts = _taken(*vocabulary.value, np.concatenate(own))
+                    cuts = cuts[np.cumsum([0, *(len(x) for x in own)])]
+                    part = [(x.tobytes(), joined[a:b].tobytes()) for x, a, b in zip(own, cuts[:-1], cuts[1:])]
                     yield pa.RecordBatch.from_arrays(
                         [
                             ids.slice(at, 512),

@@ -46,6 +46,13 @@ def test_a_step_is_one_walk(spark):
     assert "filter(" not in plan and plan.count("array_remove(") == 1
 
 
+def test_decoded_outside_the_plan(spark):
+    docs = spark.createDataFrame([(1, "the same é日 the same"), (2, ""), (3, None), (4, "x" * 2000)], "doc_id long, text string")
+    got = byte_bpe.encode_documents(docs, RANKS, r"\S+|\s+")
+    assert "unhex(" not in got._jdf.queryExecution().analyzed().toString()
+    assert {r.id: r.decoded for r in got.collect()} == {1: "the same é日 the same".encode(), 2: b"", 3: b"", 4: b"x" * 2000}
+
+
 def test_strings():
     column = pa.array(["", "a", "\U0001f600 b", "\x00", "é"], pa.large_string())
     assert common.strings(column) == column.to_pylist() and common.strings(column.slice(5)) == []
