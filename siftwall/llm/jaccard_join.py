@@ -17,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import attach, give_back, small, text_blocks, word_codes
+from .common import attach, filled, give_back, small, text_blocks
 from .components import components
 
 #: Shingles known as frequent when prefixes are chosen; an order, not a filter.
@@ -42,6 +42,14 @@ ROUNDS = 4
 PARTNERS = 1024
 
 
+#: Bytes up to which words are hashed side by side.
+LONG_WORD = 64
+_BYTES = np.arange(256, dtype=np.uint8)
+_IN_WORD = (_BYTES != 0x20) & ((_BYTES < 0x09) | (_BYTES > 0x0D))
+_LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astype(np.uint8)
+#: The lowest bytes of a number, by how many.
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
 #: Text bytes per block; the sets of a block take many times as much.
 BLOCK = 2 << 20
 
@@ -56,29 +64,79 @@ def _multiplier(k: int) -> np.uint64:
     return _ODD[k] if k < len(_ODD) else np.uint64((int(_ODD[k % len(_ODD)]) * (2 * k + 1)) % (1 << 64) | 1)
 
 
+def _word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of all texts, A-Z in lower case, and each text's bounds.
+
+    Words are hashed side by side, eight bytes at a time; the few long ones one by one.
+    """
+    import xxhash
+
+    texts = filled(column)
+    if not len(texts):
+        return np.zeros(0, dtype=np.uint64), np.zeros(1, dtype=np.int64)
+    _, places, data = texts.buffers()
+    offsets = np.frombuffer(places, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    inside = _IN_WORD[raw]
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
+    # texts lie next to each other, so a word also ends where its text does
+    heads, tails = offsets[:-1][offsets[:-1] < len(raw)], offsets[1:][offsets[1:] > 0] - 1
+    opens[heads], closes[tails] = inside[heads], inside[tails]
+    starts = np.flatnonzero(opens)
+    sizes = np.flatnonzero(closes) + 1 - starts
+    del inside, opens, closes
+    bounds = np.searchsorted(starts, offsets)
+    lowered = np.concatenate([_LOWER[raw], np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=lowered, strides=(1,))
+    h = sizes.astype(np.uint64) * _ODD[0]
+    for k in range(0, LONG_WORD, 8):
+        some = np.flatnonzero((sizes > k) & (sizes <= LONG_WORD)) if k else np.flatnonzero(sizes <= LONG_WORD)
+        if not len(some):
+            break
+        chunk = eight[starts[some] + k] & _LOW_BYTES[np.minimum(sizes[some] - k, 8)]
+        h[some] = _mixed(_mixed(h[some] ^ chunk) + _ODD[1])
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(lowered[starts[i] : starts[i] + sizes[i]].tobytes())
+    return h, bounds
+
+
 def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
     """Per text the sorted distinct 64-bit hashes of its ``words``-word shingles.
 
     A text of fewer words has its whole sequence as one; a text without words has none.
     """
-    import xxhash
-
-    vocabulary, codes, offsets = word_codes(column)
-    hashes = np.array(
-        [xxhash.xxh3_64_intdigest(w.encode("utf-8")) for w in vocabulary.to_pylist()] or [0], dtype=np.uint64
-    )
-    h = hashes[codes]
+    h, bounds = _word_hashes(column)
     rolled = np.zeros(max(0, len(h) - words + 1), dtype=np.uint64)
     for k in range(words):
         rolled += h[k : k + len(rolled)] * _multiplier(k)
     rolled = _mixed(rolled)
+    # a run of shingles per text that has enough words, sorted in place
+    counts = np.diff(bounds)
+    first = bounds[:-1][counts >= words]
+    behind = bounds[1:][counts >= words] - words + 1
+    for a, b in zip(first.tolist(), behind.tolist()):
+        rolled[a:b].sort()
+    keep = np.zeros(len(rolled) + 1, dtype=np.int8)
+    keep[first] = 1
+    keep[behind] -= 1
+    keep = np.cumsum(keep[:-1], dtype=np.int8).astype(bool)
+    again = rolled[1:] == rolled[:-1]
+    again[first[first > 0] - 1] = False
+    keep[1:] &= ~again
+    seen = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])
+    rolled = rolled[keep]
+    runs = iter(zip(seen[first].tolist(), seen[behind].tolist()))
     out = []
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-        if b - a >= words:
-            out.append(np.unique(rolled[a : b - words + 1]))
-        elif b > a:
-            weights = np.array([_multiplier(k) for k in range(b - a)], dtype=np.uint64)
-            whole = (h[a:b] * weights).sum(keepdims=True, dtype=np.uint64) + np.uint64(words - (b - a))
+    for a, n in zip(bounds[:-1].tolist(), counts.tolist()):
+        if n >= words:
+            x, y = next(runs)
+            out.append(rolled[x:y])
+        elif n:
+            weights = np.array([_multiplier(k) for k in range(n)], dtype=np.uint64)
+            whole = (h[a : a + n] * weights).sum(keepdims=True, dtype=np.uint64) + np.uint64(words - n)
             out.append(_mixed(whole))
         else:
             out.append(np.zeros(0, dtype=np.uint64))
@@ -184,7 +242,9 @@ def _prefixes(docs: DataFrame, frequent, words: int, percent: int) -> DataFrame:
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     weight = np.where(known[at] == s, df[at], 0)
-                rows[node] = len(s), s[np.lexsort((s, weight))[: prefix_length(len(s), percent)]].view(np.int64)
+                # the shingles are sorted, so a stable order by weight keeps theirs within one weight
+                rare = np.argsort(weight, kind="stable")[: prefix_length(len(s), percent)]
+                rows[node] = len(s), s[rare].view(np.int64)
             if rows:
                 starts = np.cumsum([0, *(len(first) for _, first in rows.values())])
                 flat = pa.array(np.concatenate([first for _, first in rows.values()]))
@@ -312,22 +372,40 @@ def _alike(n1: str, n2: str, percent: int) -> Column:
     return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
 
 
-def _open(placed: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``placed`` that can still belong to a link between two groups.
+def _able(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of those sets that can have a partner, with ``n_lo, n_hi`` of each row's shingle.
+
+    A set needs a certain number of prefix shingles that others hold as well, by its own
+    size and the sizes that occur with these shingles. All rows of a set, its prefix, meet
+    in one window.
+    """
+    of_set = Window.partitionBy("node")
+    low = F.greatest(F.min("n_lo").over(of_set), F.ceil(F.col("n") * percent / F.lit(100.0)))
+    high = F.least(F.max("n_hi").over(of_set), F.floor(F.col("n") * 100 / F.lit(float(percent))))
+    needed = F.least(_needed(F.col("n"), F.col("low"), percent), _needed(F.col("n"), F.col("high"), percent)) - 1
+    counted = rows.withColumns({"low": low, "high": high, "c": F.count("*").over(of_set)})
+    return counted.where((F.col("low") <= F.col("high")) & (F.col("c") >= needed)).drop("low", "high", "c")
+
+
+def _placed(blocks: DataFrame, percent: int) -> DataFrame:
+    """``token, node, n, central, g`` of the sets that can have a partner, each a group of its own.
 
-    A set needs a certain number of prefix shingles that other groups hold as well, by its
-    own size and the sizes that occur with these shingles; sets with fewer have no partner.
+    A set is central if much of its prefix is in many other sets.
     """
+    held = blocks.groupBy("token").agg(F.count("*").alias("df"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
+    length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0)) + 1
+    weight = F.sum(F.log("df")).over(Window.partitionBy("node"))
+    rows = blocks.join(held, "token").withColumn("central", weight / length)
+    return _able(rows, percent).select("token", "node", "n", "central", F.col("node").alias("g"))
+
+
+def _open(placed: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``placed`` that can still belong to a link between two groups."""
     across = placed.groupBy("token").agg(
         F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi")
     )
     rows = placed.join(across.where("lo <> hi").drop("lo", "hi"), "token")
-    low = F.greatest(F.min("n_lo"), F.ceil(F.col("n") * percent / F.lit(100.0)))
-    high = F.least(F.max("n_hi"), F.floor(F.col("n") * 100 / F.lit(float(percent))))
-    needed = F.least(_needed(F.col("n"), low, percent), _needed(F.col("n"), high, percent)) - 1
-    able = rows.groupBy("node", "n").agg(F.count("*").alias("c"), low.alias("low"), high.alias("high"), needed.alias("least"))
-    able = able.where("low <= high AND c >= least").select("node")
-    return rows.join(able, "node", "left_semi").select(*placed.columns)
+    return _able(rows, percent).select(*placed.columns)
 
 
 def _stars(placed: DataFrame, tested: DataFrame | None, percent: int, shift: float) -> DataFrame:
@@ -427,18 +505,13 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame
     marked = _marked(prefixes, _bitmap(several))
     blocks = stage(marked.join(small(several), "token").distinct(), "jaccard-blocks")
 
-    # a set is central if much of its prefix is in many other sets
-    held = blocks.groupBy("token").agg(F.count("*").alias("df"))
-    weights = blocks.join(held, "token").groupBy("node", "n").agg(F.sum(F.log("df")).alias("w"))
-    length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0)) + 1
-    central = weights.select("node", (F.col("w") / length).alias("central"))
-    placed = blocks.join(central, "node").withColumn("g", F.col("node"))
-    placed = stage(_open(placed, percent), "jaccard-placed")
+    placed = stage(_placed(blocks, percent), "jaccard-placed")
 
-    found, tested = [], None
+    found, tested, compared = [], None, 0
     for k in range(ROUNDS):
         stars = stage(_stars(placed, tested, percent, 0.5 * (k % 2)), "jaccard-stars")
-        if stars.isEmpty():
+        compared += (stars_found := stars.count())
+        if not stars_found:
             break
         pairs = stars.select("a", "b")
         tested = pairs if tested is None else tested.unionByName(pairs)
@@ -451,16 +524,18 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame
     if tested is not None:
         left = stage(left.join(tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"), "jaccard-candidates")
     merging = True
-    while not left.isEmpty():
+    while remaining := left.count():
+        # once a round merges nothing, or no more is left than was compared, the rest is compared in full
+        merging = merging and remaining > compared
         best = left.select("a", "b", "ga", "gb")
         if merging:
             of_pair = left.groupBy(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb"))
             best = of_pair.agg(F.max(F.struct("c", "a", "b")).alias("m")).select("m.a", "m.b", "ga", "gb")
         best = stage(best, "jaccard-best")
+        compared += best.count()
         found.append(stage(_linked(best, docs, sizes, words, percent), "jaccard-linked"))
         if not merging:
             break
-        # once a round merges nothing, the rest is compared in full
         merging = not found[-1].isEmpty()
         rest = left.join(best.select("a", "b"), ["a", "b"], "left_anti")
         left = stage(_regrouped(rest, _merged(found[-1]), ("ga", "gb")).where("ga <> gb"), "jaccard-candidates")
