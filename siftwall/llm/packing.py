@@ -143,6 +143,7 @@ def pack_documents(
     keep_ids: bool = True,
     block_bytes: int = BLOCK_BYTES,
     kept_pieces: int = KEPT_PIECES,
+    part_bytes: int | None = None,
 ) -> DataFrame:
     """One row per piece of a document: its place in the document and in its sequence.
 
@@ -154,7 +155,8 @@ def pack_documents(
     that id alone. A repeated row is a document of its own. Step groups are balanced within a block's
     sequences, ``step_tokens`` being the aim. ``tokenizer`` is a path that every executor
     can read; nothing else is gathered, and a task holds one block of texts and its ids. A worker
-    keeps the ids of at most ``kept_pieces`` pieces of text. Other columns are ignored; an
+    keeps the ids of at most ``kept_pieces`` pieces of text, and encodes ``part_bytes`` of a
+    block at a time (None: the block), which changes no piece. Other columns are ignored; an
     empty table gives no piece.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
@@ -166,9 +168,12 @@ def pack_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = chunk_encoder(tokenizer, glued=True, keep=kept_pieces)
         for block, batch in enumerate(text_blocks(batches, "t", block_bytes)):
-            keys, codes, offsets = chunk_codes(batch.column("t"), glued=True)
-            values, starts = encode(keys)
-            tokens = [np.concatenate([x, end]) for x in gathered(codes, offsets, values, starts)]
+            tokens: list[np.ndarray] = []
+            for part in text_blocks(iter([batch]), "t", part_bytes or block_bytes):
+                keys, codes, offsets = chunk_codes(part.column("t"), glued=True)
+                values, starts = encode(keys)
+                tokens.extend(np.concatenate([x, end]) for x in gathered(codes, offsets, values, starts))
+                del part, keys, codes, offsets, values, starts
             windows = pack([len(x) for x in tokens], tiers)
             totals = [sum(n for _, _, n in w) for w in windows]
             groups = step_groups(totals, step_tokens)
@@ -189,7 +194,7 @@ def pack_documents(
             arrays.append(pa.array(columns[-1], pa.binary()))
             for at in range(0, len(out), 4096):
                 yield pa.RecordBatch.from_arrays([a.slice(at, 4096) for a in arrays], names)
-            del batch, keys, codes, tokens, windows, out, columns, arrays
+            del batch, tokens, windows, out, columns, arrays
             give_back()
 
     pieces = rows.mapInArrow(run, schema)

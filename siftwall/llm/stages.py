@@ -12,8 +12,8 @@ from . import gam, jaccard_join, quality_rules as rules
 from . import packing as packer
 from .common import small, table
 
-#: Text bytes per block and pieces with kept ids, small since workers serve several stages.
-BLOCK, KEPT = 4 << 20, 1 << 17
+#: Text bytes per block, those encoded at once and pieces with kept ids, small since workers serve several stages.
+BLOCK, PART, KEPT = 4 << 20, 1 << 20, 1 << 17
 #: Least score of a document that stays.
 MIN_SCORE = 0.3
 
@@ -68,5 +68,5 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed pieces of all documents."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    pieces = packer.pack_documents(docs, path, keep_ids=False, block_bytes=BLOCK, kept_pieces=KEPT)
+    pieces = packer.pack_documents(docs, path, keep_ids=False, block_bytes=BLOCK, kept_pieces=KEPT, part_bytes=PART)
     return pieces.drop("ids").withColumnRenamed("id", "doc_id")
