@@ -26,6 +26,8 @@ from .components import components
 
 #: Shingles known as frequent when prefixes are chosen; an order, not a filter.
 FREQUENT = 1 << 18
+#: One of so many sets, by hash, tells which shingles are frequent. For that order only: all sets are compared.
+COUNTED = 16
 #: Size of the bitmap that spares the shuffle most of the shingles that only one set has.
 BITMAP_BITS = 1 << 24
 
@@ -155,7 +157,11 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _sizes(docs: DataFrame, words: int) -> DataFrame:
-    """Rows of texts (``id, n, node``) and, mixed with them, of locally frequent shingles."""
+    """Rows of texts (``id, n, node``) and, mixed with them, the shingles of one set in COUNTED.
+
+    Counts within a block would miss shingles that are frequent over all blocks only; as part
+    of prefixes these would be compared as often as the square of the table's size.
+    """
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,11 +179,11 @@ def _sizes(docs: DataFrame, words: int) -> DataFrame:
                 ],
                 names,
             )
-            once = list({node: s for node, s in zip(nodes, sets) if node is not None}.values())
+            once = [s for node, s in zip(nodes, sets) if node is not None and node % COUNTED == 0]
+            once = list({_node(s): s for s in once}.values())
             if once:
                 tokens, df = np.unique(np.concatenate(once), return_counts=True)
-                often = df >= 4
-                tokens, df = tokens[often].astype(np.int64), df[often]
+                tokens = tokens.view(np.int64)
                 for at in range(0, len(tokens), 1 << 16):
                     part = slice(at, at + (1 << 16))
                     size = len(tokens[part])
@@ -198,12 +204,12 @@ def _sizes(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _frequent(sizes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles and their counts, at most FREQUENT of them."""
+    """The most frequent shingles of the counted sets and their counts, at most FREQUENT of them."""
     rows = (
         sizes.where("token IS NOT NULL")
         .groupBy("token")
         .agg(F.sum("df").alias("df"))
-        .where("df >= 16")
+        .where("df >= 3")
         .orderBy(F.desc("df"), "token")
         .limit(FREQUENT)
         .toArrow()
@@ -516,7 +522,8 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame
         pairs = stars.select("a", "b")
         tested = pairs if tested is None else tested.unionByName(pairs)
         found.append(stage(_linked(stars, docs, sizes, words, percent), "jaccard-linked"))
-        if k and found[-1].isEmpty():
+        # once few leaders are links, a further round would read all rows for little
+        if k and found[-1].count() * 10 < stars_found:
             break
         placed = stage(_open(_regrouped(placed, _merged(found[-1]), ("g",)), percent), "jaccard-placed")
 
