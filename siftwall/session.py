@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether a query's shuffle files are removed at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app: str = "siftwall", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators are written for."""
@@ -58,8 +61,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Used where one result feeds several later passes: it cuts the lineage,
-    outlives executors, and the later passes still prune and push down.
+    outlives executors, and the later passes still prune and push down. The
+    shuffle files of the write go once it is done, not when the driver happens
+    to collect its garbage.
     """
-    path = fresh_path(df.sparkSession, name)
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("errorifexists").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
